@@ -31,11 +31,23 @@ def content_id(link: Column) -> Column:
     return F.when(link.startswith("ipfs://"), F.substr(link, F.lit(8)))
 
 
-def resolve(rows: DataFrame, link: str, content: DataFrame, out: str, spread_by: Column) -> DataFrame:
-    """Attach the body behind a link; null where there is no such content."""
-    keyed = rows.withColumn("link_cid", F.coalesce(content_id(F.col(link)), F.lit("")))
-    bodies = content.select(F.col("cid").alias("link_cid"), F.col("body").alias(out))
-    return spread_lookup(keyed, bodies, "link_cid", spread_by).drop("link_cid")
+def resolve(rows: DataFrame, key: str, links: dict[str, Column], content: DataFrame) -> DataFrame:
+    """Attach the body behind each link as a column; null where there is no such content.
+
+    Links are melted to one row each, so all of them share one join, which moves
+    only keys on the registry side, and one regrouping by ``key``.
+    """
+    parts = F.array(
+        *[F.struct(F.lit(out).alias("part"), content_id(link).alias("cid")) for out, link in links.items()]
+    )
+    asked = rows.select(key, F.inline(parts)).where(F.col("cid").isNotNull())
+    found = spread_lookup(asked, content.select("cid", "body"), "cid", F.col(key))
+    wide = (
+        found.where(F.col("body").isNotNull())
+        .groupBy(key)
+        .agg(*[F.any_value(F.when(F.col("part") == out, F.col("body")), True).alias(out) for out in links])
+    )
+    return rows.join(wide, key, "left")
 
 
 def personalization(registry: DataFrame, content: DataFrame) -> DataFrame:
@@ -58,6 +70,5 @@ def personalization(registry: DataFrame, content: DataFrame) -> DataFrame:
             "nsfw": F.when(F.col("valid"), F.col("nsfw")).otherwise("true"),
         }
     )
-    for part in ("portal", "designer", "socials"):
-        rows = resolve(rows, part, content, f"{part}_body", F.col("name"))
-    return rows.drop("valid", "portal", "designer", "socials")
+    links = {f"{part}_body": F.col(part) for part in ("portal", "designer", "socials")}
+    return resolve(rows, "name", links, content).drop("valid", "portal", "designer", "socials")

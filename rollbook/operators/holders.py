@@ -57,13 +57,14 @@ def page_with_default(page: DataFrame, registry: DataFrame) -> DataFrame:
     return page.join(rollup, "holder", "left")
 
 
-def moved_holders(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Holders touched by a set of ownership changes (``name, holder`` before and after)."""
-    left = before.select("name", F.col("holder").alias("was"))
-    right = after.select("name", F.col("holder").alias("now"))
-    changed = left.join(right, "name", "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
+def touched_holders(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Holders with an asset that came, went or changed between two registry states."""
+    compared = ("holder", "created_slot", "og_number")
+    was = before.select("name", F.struct(*compared).alias("was"))
+    now = after.select("name", F.struct(*compared).alias("now"))
+    changed = was.join(now, "name", "full_outer").where(~F.col("was").eqNullSafe(F.col("now")))
     return (
-        changed.select(F.explode(F.array("was", "now")).alias("holder"))
+        changed.select(F.explode(F.array("was.holder", "now.holder")).alias("holder"))
         .where(F.col("holder").isNotNull())
         .distinct()
     )
@@ -72,5 +73,28 @@ def moved_holders(before: DataFrame, after: DataFrame) -> DataFrame:
 def refreshed_rollup(old_rollup: DataFrame, after: DataFrame, touched: DataFrame) -> DataFrame:
     """Incremental rollup: keep untouched holders, recompute the touched ones."""
     kept = old_rollup.join(touched, "holder", "left_anti")
-    redone = holder_rollup(after.join(touched, "holder", "left_semi"))
-    return kept.unionByName(redone)
+    return kept.unionByName(holder_rollup(after.join(touched, "holder", "left_semi")))
+
+
+def manual_defaults(held: DataFrame, events: DataFrame) -> DataFrame:
+    """Default asset per holder, where holders may have picked one.
+
+    ``events`` are the accepted events that asked for it (``holder, name, seq``), ``held``
+    the assets with the arrival of their last save. Any later save, move or burn of the
+    picked asset clears the choice and an older choice does not come back: so the choice
+    is the holder's latest such event, valid iff it is still that asset's last save.
+    """
+    latest = events.groupBy("holder").agg(F.max_by(F.struct("name", "seq"), "seq").alias("pick"))
+    last_save = held.select("name", "holder", F.col("last_saved_seq").alias("seq"))
+    valid = latest.select("holder", "pick.*").join(last_save, ["name", "holder", "seq"], "left_semi")
+    picked = valid.select("holder", F.col("name").alias("picked"))
+    return (
+        holder_rollup(held)
+        .join(picked, "holder", "left")
+        .select(
+            "holder",
+            "total_handles",
+            F.col("picked").isNotNull().alias("manually_set"),
+            F.coalesce("picked", "default_handle").alias("default_handle"),
+        )
+    )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from rollbook.plans import catalog, flagship  # noqa: F401
+from rollbook.plans import block_queries, catalog, flagship, ledger_queries  # noqa: F401
 from rollbook.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

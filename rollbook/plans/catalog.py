@@ -218,8 +218,8 @@ from reg left join doc p on portal_link = concat('ipfs://', p.cid)
 def enrich_content(spark, sf):
     content = enrich.content_table(*X.content(spark, sf))
     rows = X.registry(spark, sf).select("name", "portal_link", "designer_link", "socials_link")
-    for part in ("portal", "designer", "socials"):
-        rows = enrich.resolve(rows, f"{part}_link", content, f"{part}_body", F.col("name"))
+    links = {f"{part}_body": F.col(f"{part}_link") for part in ("portal", "designer", "socials")}
+    rows = enrich.resolve(rows, "name", links, content)
     return rows.select(
         "name", *_digest("portal_body", "portal"), *_digest("designer_body", "designer"),
         *_digest("socials_body", "socials"),
