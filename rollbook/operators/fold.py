@@ -174,7 +174,7 @@ def _annotator(fields: tuple[str, ...]):
 # and the one that started from nothing was not alive at that moment either.
 # Late events, and the first owner event of a stretch (it may repeat the
 # incoming output), are kept as they are.
-RUN = 7
+RUN, BASE = 7, 8
 OPS_SQL = (
     "name string, chunk long, op_no long, op long, slot long, seq long, utxo string, holder string, "
     f"lovelace long, datum string, low long, {state_sql('p_')}, {state_sql('z_')}"
@@ -212,11 +212,13 @@ class _Stretch:
         return out
 
 
+def _ghost_of(row: dict) -> State | None:
+    return None if row["z_life"] is None else State(*(row[f"z_{f}"] for f in State._fields))
+
+
 def run_stretch(state: State | None, row: dict) -> State | None:
     if state is None or state.amount + row["low"] <= 0:
-        if row["z_life"] is None:
-            return None
-        return State(*(row[f"z_{f}"] for f in State._fields))
+        return _ghost_of(row)
     set_here = {
         f: row[f"p_{f}"]
         for f in State._fields[4:]
@@ -279,7 +281,9 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names.append(here[0])
                 chunks.append(here[1])
                 states.append(state)
-            if row["op"] == RUN:
+            if row["op"] == BASE:
+                state = _ghost_of(row)
+            elif row["op"] == RUN:
                 state = run_stretch(state, row)
             else:
                 state, _, _ = advance(state, Event(*(row[f] for f in Event._fields)))
@@ -287,8 +291,15 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict(out | _arrow_state(states, "in_"))
 
 
-def incoming_states(hot: DataFrame) -> DataFrame:
-    """Exact state before every chunk of the hot assets: ``name, chunk, in_*``."""
+def _field_nulls(prefix: str) -> dict[str, Column]:
+    return {f"{prefix}{f}": F.lit(None).cast("string" if f in STRINGS else "long") for f in State._fields}
+
+
+def incoming_states(hot: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """Exact state before every chunk of the hot assets: ``name, chunk, in_*``.
+
+    ``base`` holds the states the fold starts from (``name`` and the state fields).
+    """
     carries_slot = F.when(~F.col("op").isin(BURN, REJECT), F.col("slot"))
     earlier = Window.partitionBy("name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     tops = (
@@ -296,6 +307,12 @@ def incoming_states(hot: DataFrame) -> DataFrame:
         .agg(F.max(carries_slot).alias("top"))
         .select("name", "chunk", F.max("top").over(earlier).alias("before_top"))
     )
+    if base is not None:
+        names = hot.select("name").distinct()
+        start = base.join(names, "name", "left_semi")
+        tops = tops.join(start.select("name", "updated"), "name", "left").select(
+            "name", "chunk", F.greatest("before_top", "updated").alias("before_top")
+        )
     ops = (
         hot.select("name", "chunk", *Event._fields)
         .join(tops, ["name", "chunk"])
@@ -303,6 +320,16 @@ def incoming_states(hot: DataFrame) -> DataFrame:
         .sortWithinPartitions("name", "chunk", "seq")
         .mapInArrow(_summarise, OPS_SQL)
     )
+    if base is not None:
+        fixed = {"chunk": 0, "op_no": 0, "op": BASE}
+        ops = ops.unionByName(
+            start.select(
+                "name",
+                *[F.lit(v).cast("long").alias(c) for c, v in fixed.items()],
+                *[F.col(f).alias(f"z_{f}") for f in State._fields],
+            ),
+            allowMissingColumns=True,
+        ).select(*OPS_ARROW.names)
     return (
         ops.repartition("name")
         .sortWithinPartitions("name", "chunk", "op_no")
@@ -310,19 +337,28 @@ def incoming_states(hot: DataFrame) -> DataFrame:
     )
 
 
-def annotate(ledger: DataFrame, width: int = CHUNK_ROWS, detail: bool = False) -> DataFrame:
+def annotate(
+    ledger: DataFrame,
+    width: int = CHUNK_ROWS,
+    detail: bool = False,
+    base: DataFrame | None = None,
+) -> DataFrame:
     """Every ledger row with ``accepted``, ``saved`` and the state before and after it.
 
     ``detail`` adds the payload fields to the states; the brief form has the
-    counters, the life and the output only.
+    counters, the life and the output only. ``base`` gives states to start from.
     """
     fields = State._fields if detail else BRIEF
     events = ledger.withColumn("op", op_code(F.col("kind"), F.col("datum")).cast("long"))
     chunked = mark_chunks(events, "name", "seq", width)
-    nothing = {f"in_{f}": F.lit(None).cast("string" if f in STRINGS else "long") for f in State._fields}
-    cold = chunked.where(F.col("chunk") == 0).withColumns(nothing)
+    cold = chunked.where(F.col("chunk") == 0)
+    if base is None:
+        cold = cold.withColumns(_field_nulls("in_"))
+    else:
+        start = base.select("name", *[F.col(f).alias(f"in_{f}") for f in State._fields])
+        cold = cold.join(start, "name", "left")
     hot = chunked.where(F.col("chunk") > 0)
-    both = cold.unionByName(hot.join(incoming_states(hot), ["name", "chunk"], "left"))
+    both = cold.unionByName(hot.join(incoming_states(hot, base), ["name", "chunk"], "left"))
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if not f.name.startswith("in_")]
         + ["accepted boolean", "saved boolean", state_sql("old_", fields), state_sql("new_", fields)]
@@ -337,15 +373,20 @@ def annotate(ledger: DataFrame, width: int = CHUNK_ROWS, detail: bool = False) -
 # ------------------------------------------------------------------ from annotated rows to tables
 
 
-def current_state(annotated: DataFrame) -> DataFrame:
-    """One row per asset that exists. Mergeable aggregates only: a hot asset, spread
-    over many chunks, reaches the shuffle as one partial row per task."""
+def final_state(annotated: DataFrame) -> DataFrame:
+    """One row per asset seen, with nulls for those that are gone. Mergeable aggregates
+    only: a hot asset, spread over many chunks, shuffles one partial row per task."""
     fields = [c[4:] for c in annotated.columns if c.startswith("new_")]
     last = annotated.groupBy("name").agg(
         F.max_by(F.struct(*[F.col(f"new_{f}").alias(f) for f in fields]), "seq").alias("state"),
         F.max(F.when(F.col("saved"), F.col("seq"))).alias("last_saved_seq"),
     )
-    return last.where(F.col("state.life").isNotNull()).select("name", "state.*", "last_saved_seq")
+    return last.select("name", "state.*", "last_saved_seq")
+
+
+def current_state(annotated: DataFrame) -> DataFrame:
+    """One row per asset that exists."""
+    return final_state(annotated).where(F.col("life").isNotNull())
 
 
 LOG_FIELDS = tuple(f for f in State._fields if not f.endswith("datum") and f != "life")

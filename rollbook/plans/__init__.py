@@ -1,6 +1,13 @@
 """All registered queries."""
 
-from rollbook.plans import block_queries, catalog, flagship, ledger_queries  # noqa: F401
+from rollbook.plans import (  # noqa: F401
+    block_queries,
+    catalog,
+    flagship,
+    ledger_queries,
+    snapshot_queries,
+    stream_queries,
+)
 from rollbook.plans.base import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
