@@ -89,19 +89,25 @@ def truthy(value: Column) -> Column:
 
 
 def parts(datum: Column) -> Column:
-    return F.get_json_object(datum, "$.constructor_0")
+    """The elements of ``constructor_0`` as JSON text, parsed once; null if there is no such array."""
+    return F.from_json(datum, "constructor_0 array<string>")["constructor_0"]
 
 
-def is_asset_datum(datum: Column) -> Column:
-    return F.coalesce(F.json_array_length(parts(datum)) == 3, F.lit(False))
+def is_asset_datum(items: Column) -> Column:
+    return F.coalesce(F.size(items) == 3, F.lit(False))
 
 
-def asset_attributes(datum: Column) -> Column:
-    """Columns a reference event overwrites, as one struct; null if the datum is not an asset datum."""
-    a = F.from_json(F.get_json_object(datum, "$.constructor_0[0]"), ASSET_TYPE)
-    p = F.from_json(F.get_json_object(datum, "$.constructor_0[2]"), PROJECT_TYPE)
+def asset_attributes(items: Column) -> Column:
+    """Columns a reference event overwrites, as one struct; null if these are not the parts
+    of an asset datum."""
+    a = F.from_json(F.get(items, F.lit(0)), ASSET_TYPE)
+    p = F.from_json(F.get(items, F.lit(2)), PROJECT_TYPE)
+    return F.when(is_asset_datum(items), _overwritten(a, p))
+
+
+def _overwritten(a: Column, p: Column) -> Column:
     blank = F.lit("")
-    fields = F.struct(
+    return F.struct(
         F.coalesce(a["og_number"], F.lit(0)).alias("og_number"),
         F.coalesce(a["image"], blank).alias("image"),
         F.coalesce(p["image_hash"], blank).alias("image_hash"),
@@ -122,7 +128,6 @@ def asset_attributes(datum: Column) -> Column:
         F.when(p["virtual"].isNotNull(), truthy(p["virtual"]["public_mint"])).alias("virtual_public_mint"),
         F.regexp_replace(p["resolved_addresses"]["ada"], "^(.*?)0x", "$1").alias("virtual_address"),
     )
-    return F.when(is_asset_datum(datum), fields)
 
 
 def missing_keys(json: Column, required: tuple[str, ...]) -> Column:

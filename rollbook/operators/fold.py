@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.operators.skew import CHUNK_ROWS, mark_chunks
+from rollbook.operators.skew import CHUNK_ROWS, split_hot
 
 # Operation codes
 MINT, TRANSFER, REFERENCE, VIRTUAL, SETTINGS, BURN, REJECT = range(7)
@@ -350,14 +350,12 @@ def annotate(
     """
     fields = State._fields if detail else BRIEF
     events = ledger.withColumn("op", op_code(F.col("kind"), F.col("datum")).cast("long"))
-    chunked = mark_chunks(events, "name", "seq", width)
-    cold = chunked.where(F.col("chunk") == 0)
+    cold, hot = split_hot(events, "name", "seq", width)
     if base is None:
         cold = cold.withColumns(_field_nulls("in_"))
     else:
         start = base.select("name", *[F.col(f).alias(f"in_{f}") for f in State._fields])
         cold = cold.join(start, "name", "left")
-    hot = chunked.where(F.col("chunk") > 0)
     both = cold.unionByName(hot.join(incoming_states(hot, base), ["name", "chunk"], "left"))
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if not f.name.startswith("in_")]

@@ -22,12 +22,23 @@ def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
     return counts.where((F.col("hot_rows") > min_rows) & (F.col("hot_rows") * MAX_HOT > total))
 
 
-def mark_chunks(df: DataFrame, key: str, order: str, width: int = CHUNK_ROWS) -> DataFrame:
-    """Add ``chunk``: 0 for ordinary keys, 1 + floor(order / width) for hot ones.
+def split_hot(
+    df: DataFrame, key: str, order: str, width: int = CHUNK_ROWS
+) -> tuple[DataFrame, DataFrame]:
+    """Rows of ordinary keys (``chunk`` 0) and of hot keys (``chunk`` 1 + floor(order / width)).
 
     ``order`` is unique per row, so a (key, chunk) group of a hot key has at most
-    ``width`` rows.
+    ``width`` rows. Without hot keys the second plan is empty once the broadcast
+    is known, and adaptive execution drops it.
     """
+    hot = F.broadcast(hot_keys(df, key, width).select(key))
+    chunk = (1 + F.floor(F.col(order) / width)).cast("long")
+    cold_rows = df.join(hot, key, "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    return cold_rows, df.join(hot, key, "left_semi").withColumn("chunk", chunk)
+
+
+def mark_chunks(df: DataFrame, key: str, order: str, width: int = CHUNK_ROWS) -> DataFrame:
+    """All rows with ``chunk``: 0 for ordinary keys, 1 + floor(order / width) for hot ones."""
     hot = hot_keys(df, key, width).select(key, F.lit(True).alias("is_hot"))
     chunk = F.when(F.col("is_hot"), 1 + F.floor(F.col(order) / width)).otherwise(F.lit(0))
     return df.join(F.broadcast(hot), key, "left").withColumn("chunk", chunk.cast("long")).drop("is_hot")

@@ -155,11 +155,12 @@ select utxo, asset, valid,
     ),
 )
 def k_datum_attrs(spark, sf):
-    rows = _references(spark, sf).select(
+    rows = _references(spark, sf).select("utxo", "asset", D.parts(F.col("datum")).alias("parts"))
+    rows = rows.select(
         "utxo",
         "asset",
-        D.is_asset_datum(F.col("datum")).alias("valid"),
-        D.asset_attributes(F.col("datum")).alias("attributes"),
+        D.is_asset_datum(F.col("parts")).alias("valid"),
+        D.asset_attributes(F.col("parts")).alias("attributes"),
     )
     return rows.select(
         "utxo",
@@ -189,8 +190,9 @@ def _missing_sql(keys, side: str) -> str:
     ),
 )
 def k_missing_keys(spark, sf):
-    rows = _references(spark, sf).where(D.is_asset_datum(F.col("datum")))
-    side = lambda i: F.get_json_object("datum", f"$.constructor_0[{i}]")
+    rows = _references(spark, sf).select("utxo", "asset", D.parts(F.col("datum")).alias("parts"))
+    rows = rows.where(D.is_asset_datum(F.col("parts")))
+    side = lambda i: F.get("parts", F.lit(i))
     return rows.select(
         "utxo",
         "asset",

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rollbook.operators import fold, holders, progress, rollback
 from rollbook.operators.skew import mark_chunks, running
 from rollbook.plans.base import LEDGER_CTE, ledger_sql, query
+from rollbook.session import stored
 from rollbook.sources import fixtures as X
 from rollbook.sources import snapshots
 
@@ -74,6 +75,11 @@ def _state(spark, sf):
     return fold.current_state(_annotated(spark, sf))
 
 
+def _folded(spark, sf):
+    """The folded ledger as a table, for queries that read it more than once."""
+    return stored(spark, sf, "folded", _annotated)
+
+
 # ------------------------------------------------------------------ windows and progress
 
 
@@ -356,7 +362,7 @@ def _held(state):
 @query("st_holder_move", fold_sql(_L_ROLLUP))
 def st_holder_move(spark, sf):
     """Rollup after the second half of the ledger, recomputed for touched holders only."""
-    rows = _annotated(spark, sf)
+    rows = _folded(spark, sf)
     half = rows.where(F.col("seq") <= X.ledger(spark, sf).agg(F.max("seq") / 2).scalar())
     before, after = _held(fold.current_state(half)), _held(fold.current_state(rows))
     changed = holders.touched_holders(before, after)
@@ -377,7 +383,7 @@ from roll left join d on d.holder = roll.holder
     ),
 )
 def a_manual_default(spark, sf):
-    rows = _annotated(spark, sf)
+    rows = _folded(spark, sf)
     held = _held(fold.current_state(rows))
     events = rows.where(
         (F.col("kind") == "reference") & F.col("accepted") & F.col("is_default") & (F.col("new_holder") != "")
@@ -444,7 +450,7 @@ def k_diff(spark, sf):
     fold_sql(f"{_LOG_CTE} {_FLAT_LOG} where slot >= (select max(slot) - {rollback.TWELVE_HOURS} from h)"),
 )
 def st_history_retention(spark, sf):
-    return _flat_log(rollback.retained(_log(spark, sf)))
+    return _flat_log(rollback.retained(fold.change_log(_folded(spark, sf))))
 
 
 @query(
@@ -464,10 +470,11 @@ from x where untouched or has_now or has_old"""
     ),
 )
 def st_rewind(spark, sf):
-    log = _log(spark, sf)
+    rows = _folded(spark, sf)
+    log = fold.change_log(rows)
     target = log.agg(F.max("slot") - rollback.TWELVE_HOURS).scalar()
-    rows = rollback.rewind(_state(spark, sf), log, target)
-    return rows.select("name", "action", *[F.col(f"state.{f}") for f in ("amount", "updated", "utxo", "holder")])
+    back = rollback.rewind(fold.current_state(rows), log, target)
+    return back.select("name", "action", *[F.col(f"state.{f}") for f in ("amount", "updated", "utxo", "holder")])
 
 
 @query(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,3 +45,26 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="rollbook-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+_STORED: dict[tuple[str, str, str], str] = {}
+
+
+def stored(
+    spark: SparkSession,
+    sf_dir: str,
+    label: str,
+    build: Callable[[SparkSession, str], DataFrame],
+) -> DataFrame:
+    """A derived table, written once per application to the shared folder and read back.
+
+    What is read more than once (the registry, the block archive, the folded
+    ledger) is a Parquet table here, not a lineage that is computed again: filters
+    and column selection reach the files and a lost executor costs one re-read.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, label)
+    if key not in _STORED:
+        path = scratch_dir(spark, label)
+        build(spark, sf_dir).write.parquet(path)
+        _STORED[key] = path
+    return spark.read.parquet(_STORED[key])

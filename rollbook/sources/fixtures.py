@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import scalars as S
 from rollbook.operators.skew import hot_keys
-from rollbook.session import read_table
+from rollbook.session import read_table, stored
 
 # ---------------------------------------------------------------- C: catalog
 
@@ -101,6 +101,16 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry table, in name order: pages and name lookups skip most files."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = build_registry(spark, sf_dir)
+        return rows.repartitionByRange("name").sortWithinPartitions("name")
+
+    return stored(spark, sf_dir, "registry", build)
+
+
+def build_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog plus the columns derived from the name when a row is built."""
     name = F.col("name")
     sub = S.sub_part(name)
@@ -253,6 +263,11 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The block archive: nested rows as a node hands them out."""
+    return stored(spark, sf_dir, "blocks", build_blocks)
+
+
+def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested blocks: slot, transaction id, outputs, mint map and metadata JSON."""
     order = read_table(spark, sf_dir, "orders").select(
         "o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("o_epoch")
@@ -403,7 +418,7 @@ PARAM_SQL = {
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = catalog(spark, sf_dir).select(F.col("asset_id").alias("request_id"), "name")
+    taken = registry(spark, sf_dir).select(F.col("asset_id").alias("request_id"), "name")
     asked = read_table(spark, sf_dir, "customer").select(
         (F.col("c_custkey") + 1000000000000).alias("request_id"), F.expr(REQUEST_SQL).alias("name")
     )
