@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,12 +97,24 @@ def is_asset_datum(items: Column) -> Column:
     return F.coalesce(F.size(items) == 3, F.lit(False))
 
 
-def asset_attributes(items: Column) -> Column:
-    """Columns a reference event overwrites, as one struct; null if these are not the parts
-    of an asset datum."""
-    a = F.from_json(F.get(items, F.lit(0)), ASSET_TYPE)
-    p = F.from_json(F.get(items, F.lit(2)), PROJECT_TYPE)
-    return F.when(is_asset_datum(items), _overwritten(a, p))
+def with_attributes(rows: DataFrame, datum: str = "datum") -> DataFrame:
+    """Add ``valid`` and ``attributes``: the columns a reference event overwrites, as one
+    struct, null if the datum is not an asset datum.
+
+    Step by step, so that each JSON text is parsed once and not once per field.
+    """
+    split = rows.withColumn("parts", parts(F.col(datum)))
+    parsed = split.withColumns(
+        {
+            "valid": is_asset_datum(F.col("parts")),
+            "own_part": F.from_json(F.get("parts", F.lit(0)), ASSET_TYPE),
+            "project_part": F.from_json(F.get("parts", F.lit(2)), PROJECT_TYPE),
+        }
+    )
+    fields = _overwritten(F.col("own_part"), F.col("project_part"))
+    return parsed.withColumn("attributes", F.when(F.col("valid"), fields)).drop(
+        "parts", "own_part", "project_part"
+    )
 
 
 def _overwritten(a: Column, p: Column) -> Column:

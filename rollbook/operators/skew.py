@@ -37,65 +37,55 @@ def split_hot(
     return cold_rows, df.join(hot, key, "left_semi").withColumn("chunk", chunk)
 
 
-def mark_chunks(df: DataFrame, key: str, order: str, width: int = CHUNK_ROWS) -> DataFrame:
-    """All rows with ``chunk``: 0 for ordinary keys, 1 + floor(order / width) for hot ones."""
-    hot = hot_keys(df, key, width).select(key, F.lit(True).alias("is_hot"))
-    chunk = F.when(F.col("is_hot"), 1 + F.floor(F.col(order) / width)).otherwise(F.lit(0))
-    return df.join(F.broadcast(hot), key, "left").withColumn("chunk", chunk.cast("long")).drop("is_hot")
+Specs = dict[str, tuple[str, Column]]  # output column -> (max, min, sum or last; value)
+
+
+def _window(keys: list[str], order: list[str], descending: bool, end: int):
+    ordering = [F.col(c).desc() if descending else F.col(c).asc() for c in order]
+    return Window.partitionBy(*keys).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, end)
+
+
+def _scan(kind: str, value: Column, window) -> Column:
+    if kind == "last":
+        return F.last(value, ignorenulls=True).over(window)
+    return getattr(F, kind)(value).over(window)
 
 
 def running(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    specs: dict[str, tuple[str, Column]],
+    specs: Specs,
     descending: bool = False,
     exclusive: bool = False,
 ) -> DataFrame:
-    """Running ``max``/``min``/``sum``/``last`` per key over ``order`` in two levels.
+    """Running aggregates per key over ``order`` in two levels.
 
     ``df`` carries a ``chunk`` column that follows the order. Each (keys, chunk)
     group is scanned on its own; one summary row per chunk carries the result
     over to the later chunks. No task sees a whole hot key.
     """
-    direction = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    ordering = [direction(c) for c in order]
-    inside = (
-        Window.partitionBy(*keys, "chunk")
-        .orderBy(*ordering)
-        .rowsBetween(Window.unboundedPreceding, -1 if exclusive else 0)
-    )
-    earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(direction("chunk"))
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    key_last = F.struct(*[F.col(c) for c in order])
-
-    def scan(kind: str, value: Column, window) -> Column:
-        if kind == "last":
-            return F.last(value, ignorenulls=True).over(window)
-        return getattr(F, kind)(value).over(window)
+    inside = _window([*keys, "chunk"], order, descending, -1 if exclusive else 0)
+    earlier = _window(keys, ["chunk"], descending, -1)
+    position = F.struct(*[F.col(c) for c in order])
 
     def total(kind: str, value: Column) -> Column:
         if kind == "last":
             pick = F.min_by if descending else F.max_by
-            return pick(value, F.when(value.isNotNull(), key_last))
+            return pick(value, F.when(value.isNotNull(), position))
         return getattr(F, kind)(value)
 
-    values = {f"v_{out}": value for out, (_, value) in specs.items()}
-    based = df.withColumns(values)
+    based = df.withColumns({f"v_{out}": value for out, (_, value) in specs.items()})
     local = based.withColumns(
-        {f"in_{out}": scan(kind, F.col(f"v_{out}"), inside) for out, (kind, _) in specs.items()}
+        {f"in_{out}": _scan(kind, F.col(f"v_{out}"), inside) for out, (kind, _) in specs.items()}
     )
-    source = based.where(F.col("chunk") > 0) if keys else based
-    totals = source.groupBy(*keys, "chunk").agg(
+    totals = based.groupBy(*keys, "chunk").agg(
         *[total(kind, F.col(f"v_{out}")).alias(f"t_{out}") for out, (kind, _) in specs.items()]
     )
     carry = totals.select(
         *keys,
         "chunk",
-        *[scan(kind, F.col(f"t_{out}"), earlier).alias(f"c_{out}") for out, (kind, _) in specs.items()],
+        *[_scan(kind, F.col(f"t_{out}"), earlier).alias(f"c_{out}") for out, (kind, _) in specs.items()],
     )
     joined = local.join(carry, [*keys, "chunk"], "left")
     combine = {
@@ -110,6 +100,21 @@ def running(
     return joined.select(*df.columns, *[value.alias(out) for out, value in result.items()])
 
 
+def running_pair(
+    pair: tuple[DataFrame, DataFrame], keys: list[str], order: list[str], specs: Specs
+) -> tuple[DataFrame, DataFrame]:
+    """Exclusive running aggregates for the two sides of ``split_hot``: a plain window for
+    ordinary keys, two levels for hot ones."""
+    cold, hot = pair
+    before = _window(keys, order, False, -1)
+    plain = {out: _scan(kind, value, before) for out, (kind, value) in specs.items()}
+    plain = {
+        out: F.coalesce(value, F.lit(0)) if specs[out][0] == "sum" else value
+        for out, value in plain.items()
+    }
+    return cold.withColumns(plain), running(hot, keys, order, specs, exclusive=True)
+
+
 def spread_lookup(
     left: DataFrame,
     right: DataFrame,

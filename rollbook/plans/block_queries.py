@@ -155,13 +155,7 @@ select utxo, asset, valid,
     ),
 )
 def k_datum_attrs(spark, sf):
-    rows = _references(spark, sf).select("utxo", "asset", D.parts(F.col("datum")).alias("parts"))
-    rows = rows.select(
-        "utxo",
-        "asset",
-        D.is_asset_datum(F.col("parts")).alias("valid"),
-        D.asset_attributes(F.col("parts")).alias("attributes"),
-    )
+    rows = D.with_attributes(_references(spark, sf).select("utxo", "asset", "datum"))
     return rows.select(
         "utxo",
         "asset",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rollbook.operators import fold, holders, progress, rollback
-from rollbook.operators.skew import mark_chunks, running
+from rollbook.operators.skew import running_pair, split_hot
 from rollbook.plans.base import LEDGER_CTE, ledger_sql, query
 from rollbook.session import stored
 from rollbook.sources import fixtures as X
@@ -111,14 +111,12 @@ def w_latest_per_asset(spark, sf):
 def w_accept_gate(spark, sf):
     """Running maximum per life, with a life ending at each burn."""
     rows = X.ledger(spark, sf).select("seq", "name", "slot", "kind")
-    chunked = mark_chunks(rows, "name", "seq")
     burned = F.when(F.col("kind") == "burn", 1).otherwise(0)
-    lives = running(chunked, ["name"], ["seq"], {"life": ("sum", burned)}, exclusive=True)
-    # the chunk column is kept through the first scan
-    live = lives.where(F.col("kind") != "burn")
-    gate = running(live, ["name", "life"], ["seq"], {"top": ("max", F.col("slot"))}, exclusive=True)
+    lives = running_pair(split_hot(rows, "name", "seq"), ["name"], ["seq"], {"life": ("sum", burned)})
+    cold, hot = (side.where(F.col("kind") != "burn") for side in lives)
+    gate = running_pair((cold, hot), ["name", "life"], ["seq"], {"top": ("max", F.col("slot"))})
     accepted = F.col("top").isNull() | (F.col("slot") >= F.col("top"))
-    return gate.select("seq", "name", "slot", "life", accepted.alias("accepted"))
+    return gate[0].unionByName(gate[1]).select("seq", "name", "slot", "life", accepted.alias("accepted"))
 
 
 @query(

@@ -101,11 +101,10 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The registry table, in name order: pages and name lookups skip most files."""
+    """The registry table; files are in name order, so a name lookup reads few pages of each."""
 
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = build_registry(spark, sf_dir)
-        return rows.repartitionByRange("name").sortWithinPartitions("name")
+        return build_registry(spark, sf_dir).sortWithinPartitions("name")
 
     return stored(spark, sf_dir, "registry", build)
 
