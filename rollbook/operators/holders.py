@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions import scalars as S
-from rollbook.operators.skew import spread_lookup
+from rollbook.operators.skew import spread_filter, spread_lookup
 
 
 def preference(og_number: Column, name: Column, created: Column) -> Column:
@@ -73,7 +73,8 @@ def touched_holders(before: DataFrame, after: DataFrame) -> DataFrame:
 def refreshed_rollup(old_rollup: DataFrame, after: DataFrame, touched: DataFrame) -> DataFrame:
     """Incremental rollup: keep untouched holders, recompute the touched ones."""
     kept = old_rollup.join(touched, "holder", "left_anti")
-    return kept.unionByName(holder_rollup(after.join(touched, "holder", "left_semi")))
+    redone = spread_filter(after, touched, "holder", F.col("name"))
+    return kept.unionByName(holder_rollup(redone))
 
 
 def manual_defaults(held: DataFrame, events: DataFrame) -> DataFrame:

@@ -9,6 +9,12 @@ from rollbook.operators.skew import CHUNK_ROWS, running
 
 CAUGHT_UP_SLOTS = 120
 
+# Status answers, worst first.
+WAITING = "waiting_on_cardano_node"
+SOURCE_BEHIND = "ogmios_behind"
+STORAGE_BEHIND = "storage_behind"
+CURRENT = "current"
+
 
 def late_blocks(ledger: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
     """Rows whose slot is below the slot of the row that arrived just before."""
@@ -44,8 +50,8 @@ def caught_up(last: Column, current: Column, tip_hash: Column, current_hash: Col
 
 def status(is_caught_up: Column, network_sync: Column, connected: Column) -> Column:
     return (
-        F.when(~connected, "waiting_on_cardano_node")
-        .when(network_sync < 1, "ogmios_behind")
-        .when(~is_caught_up, "storage_behind")
-        .otherwise("current")
+        F.when(~connected, WAITING)
+        .when(network_sync < 1, SOURCE_BEHIND)
+        .when(~is_caught_up, STORAGE_BEHIND)
+        .otherwise(CURRENT)
     )

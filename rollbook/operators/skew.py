@@ -115,6 +115,15 @@ def running_pair(
     return cold.withColumns(plain), running(hot, keys, order, specs, exclusive=True)
 
 
+def spread_filter(
+    left: DataFrame, keys: DataFrame, key: str, spread_by: Column, keep: bool = True
+) -> DataFrame:
+    """Rows of ``left`` whose key is (or is not) among ``keys`` (unique), balanced under hot keys."""
+    flagged = spread_lookup(left, keys.select(key, F.lit(True).alias("is_listed")), key, spread_by)
+    listed = F.col("is_listed").isNotNull()
+    return flagged.where(listed if keep else ~listed).drop("is_listed")
+
+
 def spread_lookup(
     left: DataFrame,
     right: DataFrame,

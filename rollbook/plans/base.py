@@ -67,9 +67,9 @@ REGISTRY_CTE = (
     + f""",
 c2 as (select *, case when contains(name,'@') then split_part(name,'@',1) end as sub_name,
    case when contains(name,'@') then split_part(name,'@',2) end as root from c),
-reg as (select *, length(name) as length, {rarity_sql('name')} as rarity,
+reg as (select *, cast(length(name) as integer) as length, {rarity_sql('name')} as rarity,
    {characters_sql('name')} as characters, {numeric_sql('name')} as numeric_modifiers,
-   length(sub_name) as sub_length,
+   cast(length(sub_name) as integer) as sub_length,
    case when sub_name is not null then {rarity_sql('sub_name')} end as sub_rarity,
    case when sub_name is not null then {characters_sql('sub_name')} end as sub_characters,
    case when sub_name is not null then {numeric_sql('sub_name')} end as sub_numeric_modifiers,

@@ -208,8 +208,8 @@ def _digest(column: str, alias: str):
     "enrich_content",
     reg_sql(
         f"""{_CONTENT_CTE}
-select name, md5(p.body) as portal_md5, length(p.body) as portal_chars, md5(d.body) as designer_md5,
- length(d.body) as designer_chars, md5(s.body) as socials_md5, length(s.body) as socials_chars
+select name, md5(p.body) as portal_md5, cast(length(p.body) as integer) as portal_chars, md5(d.body) as designer_md5,
+ cast(length(d.body) as integer) as designer_chars, md5(s.body) as socials_md5, cast(length(s.body) as integer) as socials_chars
 from reg left join doc p on portal_link = concat('ipfs://', p.cid)
  left join doc d on designer_link = concat('ipfs://', d.cid)
  left join doc s on socials_link = concat('ipfs://', s.cid)"""

@@ -104,8 +104,8 @@ def w_latest_per_asset(spark, sf):
     ledger_sql(
         """select seq, name, slot, life, top is null or slot >= top as accepted from (select *,
  max(slot) over (partition by name, life order by seq rows between unbounded preceding and 1 preceding) as top from (
- select *, coalesce(sum(case when kind = 'burn' then 1 else 0 end) over (partition by name order by seq
-   rows between unbounded preceding and 1 preceding), 0) as life from l) where kind <> 'burn')"""
+ select *, cast(coalesce(sum(case when kind = 'burn' then 1 else 0 end) over (partition by name order by seq
+   rows between unbounded preceding and 1 preceding), 0) as bigint) as life from l) where kind <> 'burn')"""
     ),
 )
 def w_accept_gate(spark, sf):
@@ -506,7 +506,7 @@ def _manifest(ledger):
 @query(
     "src_resume_filter",
     ledger_sql(
-        f"{_MANIFEST_SQL} select seq, name, slot, kind from l where slot > (select max(slot) from man where version = 48)"
+        f"{_MANIFEST_SQL} select seq, name, slot, kind from l where slot > (select coalesce(max(slot), 0) from man where version = 48)"
     ),
 )
 def src_resume_filter(spark, sf):

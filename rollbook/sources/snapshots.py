@@ -61,17 +61,21 @@ def read_rows(spark: SparkSession, path: str, schema) -> DataFrame:
     )
 
 
-def ranked(manifest: DataFrame, group: list[str] | None = None, version: int = SCHEMA_VERSION) -> DataFrame:
-    """Usable snapshots in the order they should be tried: newest slot first, remote wins ties."""
-    order = Window.partitionBy(*(group or [])).orderBy(F.col("slot").desc(), F.col("is_remote").desc())
-    usable = manifest.where(F.col("schema_version") == version)
-    return usable.withColumn("attempt", F.row_number().over(order))
+def usable(manifest: DataFrame, version: int = SCHEMA_VERSION) -> DataFrame:
+    return manifest.where(F.col("schema_version") == version)
+
+
+def ranked(manifest: DataFrame, group: list[str]) -> DataFrame:
+    """Usable snapshots per group in the order they should be tried: newest slot first, remote wins ties."""
+    order = Window.partitionBy(*group).orderBy(F.col("slot").desc(), F.col("is_remote").desc())
+    return usable(manifest).withColumn("attempt", F.row_number().over(order))
 
 
 def candidates(spark: SparkSession, base: str) -> list[str]:
     """Paths to try, best first. Two at most: the first and one fallback."""
-    rows = ranked(read_manifest(spark, base)).where(F.col("attempt") <= 2).orderBy("attempt")
-    return [r["path"] for r in rows.select("path").collect()]
+    order = (F.col("slot").desc(), F.col("is_remote").desc())
+    best = usable(read_manifest(spark, base)).orderBy(*order).limit(2)
+    return [r["path"] for r in best.collect()]
 
 
 def restore(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame] | None:
@@ -89,7 +93,5 @@ def restore(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame] | Non
 
 def resume_from(ledger: DataFrame, manifest: DataFrame, genesis: int = 0) -> DataFrame:
     """Ledger rows after the chosen snapshot's slot, or after the network's start."""
-    start = ranked(manifest).where(F.col("attempt") == 1).agg(
-        F.coalesce(F.max("slot"), F.lit(genesis))
-    )
+    start = usable(manifest).agg(F.coalesce(F.max("slot"), F.lit(genesis)))
     return ledger.where(F.col("slot") > start.scalar())

@@ -6,7 +6,8 @@ or driver overwrites exactly what it wrote before:
 
 * ``ledger`` and ``controls``: the append-only input as it arrived;
 * ``delta``: new states of the assets a batch touched (nulls where one is gone);
-* ``history``: the change log.
+* ``history``: the change log;
+* ``compact``: all deltas up to some batch in one table.
 
 A batch folds its rows from the states of the assets it touches. Control rows
 (rollbacks) cannot un-emit what was published, so the assets with cancelled
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from rollbook.operators import fold, rollback
-from rollbook.operators.skew import CHUNK_ROWS
+from rollbook.operators.skew import CHUNK_ROWS, spread_filter
+from rollbook.sources import snapshots
 
 LEDGER_SQL = (
     "seq long, name string, slot long, kind string, holder string, utxo string, "
@@ -63,8 +65,10 @@ def run_available(
 class RegistryStream:
     STATE_SQL = f"name string, {fold.state_sql('')}, last_saved_seq long"
 
-    def __init__(self, spark: SparkSession, base: str, width: int = CHUNK_ROWS):
-        self.spark, self.base, self.width = spark, base, width
+    def __init__(
+        self, spark: SparkSession, base: str, width: int = CHUNK_ROWS, compact_every: int = 50
+    ):
+        self.spark, self.base, self.width, self.compact_every = spark, base, width, compact_every
         for table, schema in self._schemas().items():  # so that a first read finds the folder
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/{table}/batch_id=-1")
 
@@ -75,7 +79,12 @@ class RegistryStream:
 
     @classmethod
     def _schemas(cls) -> dict[str, str]:
-        return {"delta": cls.STATE_SQL, "ledger": LEDGER_SQL, "controls": CONTROL_SQL}
+        return {
+            "delta": cls.STATE_SQL,
+            "ledger": LEDGER_SQL,
+            "controls": CONTROL_SQL,
+            "compactions": "upto long",
+        }
 
     def _read(self, table: str, below: int | None = None) -> DataFrame:
         root, schema = f"{self.base}/{table}", self._schemas()[table]
@@ -83,8 +92,15 @@ class RegistryStream:
         return rows if below is None else rows.where(F.col("batch_id") < below)
 
     def state(self, below: int | None = None) -> DataFrame:
-        """Latest state per asset: newest delta wins."""
+        """Latest state per asset: newest delta wins. Older deltas are read from the last
+        compaction, so the cost follows the live state and not the length of the stream."""
         delta = self._read("delta", below)
+        marks = self._read("compactions", below)
+        done = marks.agg(F.max("upto")).first()[0]
+        if done is not None:
+            full = self.spark.read.schema(self.STATE_SQL).parquet(f"{self.base}/compact/upto={done}")
+            recent = delta.where(F.col("batch_id") > done)
+            delta = recent.unionByName(full.withColumn("batch_id", F.lit(done).cast("long")))
         fields = [c for c in delta.columns if c not in ("name", "batch_id")]
         last = delta.groupBy("name").agg(F.max_by(F.struct(*fields), "batch_id").alias("s"))
         return last.select("name", "s.*")
@@ -92,6 +108,17 @@ class RegistryStream:
     def registry(self) -> DataFrame:
         return self.state().where(F.col("life").isNotNull())
 
+    def compact(self, batch_id: int) -> None:
+        """Fold all deltas up to a batch into one table; the mark is written last."""
+        self.state(batch_id + 1).write.mode("overwrite").parquet(f"{self.base}/compact/upto={batch_id}")
+        mark = self.spark.createDataFrame([(batch_id,)], "upto long")
+        self._write("compactions", mark, batch_id)
+
+    def snapshot(self, base: str, slot: int, block_hash: str) -> str:
+        """Snapshot of the registry and the retained change log."""
+        history = self.spark.read.parquet(f"{self.base}/history").drop("batch_id")
+        return snapshots.write(self.registry(), rollback.retained(history), base, slot, block_hash)
+
     def ledger(self, upto: int) -> DataFrame:
         return self._read("ledger", upto + 1).drop("batch_id")
 
@@ -117,11 +144,13 @@ class RegistryStream:
             valid = rollback.canonical(recent, controls, self.width)
             earlier = rollback.canonical(recent, self.controls(batch_id - 1), self.width)
             hit = earlier.join(valid.select("seq"), "seq", "left_anti").select("name").distinct()
-            redo = rollback.canonical(ledger.join(hit, "name", "left_semi"), controls, self.width)
+            mine = spread_filter(ledger, hit, "name", F.col("seq"))
+            redo = rollback.canonical(mine, controls, self.width)
             refolded = fold.final_state(fold.annotate(redo, self.width, detail=True))
             gone = hit.select("name", *[F.lit(None).cast(t).alias(n) for n, t in self._fields()])
             parts = [refolded, gone.join(redo.select("name").distinct(), "name", "left_anti")]
-            rows = rollback.canonical(rows, controls, self.width).join(hit, "name", "left_anti")
+            rows = rollback.canonical(rows, controls, self.width)
+            rows = spread_filter(rows, hit, "name", F.col("seq"), keep=False)
         touched = rows.select("name").distinct()
         start = self.state(below=batch_id).where(F.col("life").isNotNull())
         start = start.join(touched, "name", "left_semi")
@@ -134,6 +163,8 @@ class RegistryStream:
             delta = delta.unionByName(part)
         self._write("delta", delta, batch_id)
         self._write("history", fold.change_log(folded), batch_id)
+        if (batch_id + 1) % self.compact_every == 0:
+            self.compact(batch_id)
 
     def _fields(self) -> list[tuple[str, str]]:
         return [tuple(f.split()) for f in self.STATE_SQL.split(", ")[1:]]
@@ -147,4 +178,4 @@ class RegistryStream:
             empty = self.spark.createDataFrame([], f"{schema}, batch_id long")
             empty.write.mode("overwrite").partitionBy("batch_id").parquet(f"{self.base}/{table}")
         self.spark.createDataFrame([], "seq long").write.mode("overwrite").parquet(f"{self.base}/history")
-        self.__init__(self.spark, self.base, self.width)
+        self.__init__(self.spark, self.base, self.width, self.compact_every)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from rollbook.session import scratch_dir
 from rollbook.sources import snapshots
@@ -25,7 +26,8 @@ def manifest(spark, rows):
     ],
 )
 def test_choice(spark, rows, want):
-    ranked = snapshots.ranked(manifest(spark, rows)).orderBy("attempt").collect()
+    found = manifest(spark, rows).withColumn("node", F.lit(1))
+    ranked = snapshots.ranked(found, ["node"]).orderBy("attempt").collect()
     assert [r["hash"] for r in ranked] == want
 
 

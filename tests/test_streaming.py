@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rollbook.operators import fold, rollback
 from rollbook.session import scratch_dir
+from rollbook.sources import snapshots
 from rollbook.streaming.registry_stream import ROLLBACK, RegistryStream
 
 STATE = "amount updated created life utxo holder lovelace datum reference_seq settings_seq".split()
@@ -28,12 +29,17 @@ def test_batches_with_rollbacks_equal_one_fold(spark, n, width):
         control.select(F.col("bseq").alias("seq"), F.col("bslot").alias("slot"), F.lit(ROLLBACK).alias("kind")),
         allowMissingColumns=True,
     )
-    stream = RegistryStream(spark, scratch_dir(spark, "registry"), width)
+    stream = RegistryStream(spark, scratch_dir(spark, "registry"), width, compact_every=2)
     for i, batch in enumerate(batches(mixed, n, 240)):
         stream.process(batch, i)
     stream.process(batches(mixed, n, 240)[-1], n - 1)  # a batch that is run again changes nothing
     want = fold.current_state(fold.annotate(rollback.canonical(ledger, control), detail=True))
     assert states(stream.registry()) == states(want)
+    snapshots_dir = scratch_dir(spark, "snapshots")
+    stream.snapshot(snapshots_dir, slot=2390, block_hash="h")
+    restored, history = snapshots.restore(spark, snapshots_dir)
+    assert states(restored) == states(want)
+    assert {"slot", "name", "old", "new", "changed"} <= set(history.columns)
 
 
 def test_reset_leaves_nothing(spark):
