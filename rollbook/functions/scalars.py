@@ -85,7 +85,8 @@ def type_from_hex(hex_name: Column, name: Column) -> Column:
 
 
 def live(utxo: Column) -> Column:
-    return F.coalesce(utxo, F.lit("")) != ""
+    """An empty or missing output means the row is not live. Plain comparisons, so they reach the files."""
+    return utxo.isNotNull() & (utxo != "")
 
 
 def label_of(asset: Column) -> Column:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import datum as D
 from rollbook.functions import scalars as S
-from rollbook.plans.base import block_sql, query
+from rollbook.operators import fold
+from rollbook.plans.base import BLOCK_CTE, block_sql, query
+from rollbook.plans.ledger_queries import fold_sql
 from rollbook.sources import blocks as B
 from rollbook.sources import fixtures as X
 
@@ -246,3 +248,48 @@ from ln where {ALLOWED} and asset <> ''"""
 def st_route(spark, sf):
     rows = B.named(B.allowed(B.outputs(X.blocks(spark, sf)), X.POLICIES))
     return rows.select("utxo", "asset", B.kind_of(F.col("asset")).alias("kind"))
+
+
+_BLOCK_LEDGER = f"""{BLOCK_CTE},
+ord as (select l_orderkey, slot, 0 as phase, 0 as out_pos, asset, cast(null as varchar) as utxo,
+   cast(null as varchar) as address, cast(null as bigint) as lovelace, cast(null as varchar) as datum,
+   false as is_mint, cast(null as varchar) as code from mints where qty = -1 and {ALLOWED}
+   and substr(asset, 1, 8) not in ('000643b0', '00001070')
+ union all select l_orderkey, slot, 1, out_pos, asset, {UTXO}, address, lovelace, datum, {_IS_MINT}, code
+   from ln where {ALLOWED} and asset <> ''),
+kinds as (select *, row_number() over (order by l_orderkey, phase, out_pos, asset) - 1 as seq,
+  case when phase = 0 then 'burn' when code = '100' then 'reference' when code = '000' then 'virtual'
+   when code = '001' then 'settings' when is_mint then 'mint' else 'transfer' end as kind,
+  json_valid(datum) as is_json, case when json_valid(datum) then datum end as j from ord),
+l as (select seq, decode(unhex(case when substr(asset, 1, 8) in ('000de140', '000643b0', '00000000', '00001070')
+   then substr(asset, 9) else asset end)) as name, slot, kind,
+  case when kind = 'virtual' then substr((j ->> '$.constructor_0[2].resolved_addresses.ada'), 3) else address end as holder,
+  utxo, lovelace, false as is_default,
+  case when kind = 'reference' and not is_json then null
+   when kind = 'virtual' and not coalesce(json_array_length(j, '$.constructor_0') = 3, false) then null
+   else datum end as datum from kinds)"""
+
+
+@query(
+    "st_block_fold",
+    fold_sql(
+        """select name, n_amount as amount, n_created as created_slot, n_updated as updated_slot, n_utxo as utxo,
+ n_holder as holder, n_lovelace as lovelace, n_refseq as reference_seq, n_setseq as settings_seq from s""",
+        ledger=_BLOCK_LEDGER,
+    ),
+)
+def st_block_fold(spark, sf):
+    """The whole way: nested blocks to events, in arrival order, to the current registry."""
+    ledger = B.ledger_rows(X.blocks(spark, sf), X.POLICIES)
+    state = fold.current_state(fold.annotate(ledger, detail=True))
+    return state.select(
+        "name",
+        "amount",
+        F.col("created").alias("created_slot"),
+        F.col("updated").alias("updated_slot"),
+        "utxo",
+        "holder",
+        "lovelace",
+        "reference_seq",
+        "settings_seq",
+    )

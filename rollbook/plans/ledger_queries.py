@@ -17,9 +17,9 @@ _OP_SQL = """case when kind = 'mint' then 0 when kind = 'transfer' then 1 when k
 VIRTUAL_SQL = "case when kind = 'reference' and seq % 2 = 0 then 'virtual' else kind end"
 
 
-def fold_sql(body: str, kind: str = "kind") -> str:
+def fold_sql(body: str, kind: str = "kind", ledger: str = LEDGER_CTE) -> str:
     """The fold as a recursive query: one step per event of an asset."""
-    return f"""with recursive {LEDGER_CTE},
+    return f"""with recursive {ledger},
 k as (select * replace ({kind} as kind) from l),
 ev as (select *, {_OP_SQL} as op, row_number() over (partition by name order by seq) as rn from k),
 f as (

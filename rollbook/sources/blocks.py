@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rollbook.functions import datum as D
 from rollbook.functions import scalars as S
+from rollbook.operators.skew import CHUNK_ROWS, running
 
 ASSETS = T.MapType(T.StringType(), T.LongType())
 OUTPUT = T.StructType(
@@ -166,3 +168,63 @@ def ordered_events(blocks: DataFrame, policies: Sequence[str]) -> DataFrame:
     )
     in_tx = Window.partitionBy("seq", "tx_pos", "tx_id").orderBy("phase", "out_pos", "asset")
     return burned.unionByName(sent).withColumn("tx_order", F.row_number().over(in_tx))
+
+
+def arrivals(rows: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
+    """Number rows ordered by ``(seq, tx_pos, tx_order)`` without gaps, as column ``arrival``.
+
+    Rows are counted per transaction; a chunked running sum over those counts gives
+    each transaction its first number. Nothing is sorted as a whole.
+    """
+    sizes = rows.groupBy("seq", "tx_pos").agg(F.count(F.lit(1)).alias("size"))
+    part = F.least(F.floor(F.col("tx_pos") / width), F.lit((1 << 20) - 1))
+    chunk = (1 + F.floor(F.col("seq") / width)) * (1 << 20) + part
+    placed = running(
+        sizes.withColumn("chunk", chunk),
+        [],
+        ["seq", "tx_pos"],
+        {"earlier": ("sum", F.col("size"))},
+        exclusive=True,
+    )
+    numbered = rows.join(placed.select("seq", "tx_pos", "earlier"), ["seq", "tx_pos"])
+    return numbered.withColumn("arrival", F.col("earlier") + F.col("tx_order") - 1).drop("earlier")
+
+
+def ledger_rows(blocks: DataFrame, policies: Sequence[str], width: int = CHUNK_ROWS) -> DataFrame:
+    """Blocks to ledger rows, ready to be folded.
+
+    A reference row keeps its datum if that is JSON at all, a virtual row only if it
+    is an asset datum (its address comes from there); else the fold rejects the row.
+    """
+    burned = burns(blocks, policies).select(
+        "seq", "tx_pos", "slot", "tx_id", F.lit(0).alias("phase"), F.lit(0).alias("out_pos"), "asset"
+    )
+    sent = scanned_events(blocks, policies).withColumn("phase", F.lit(1))
+    both = sent.unionByName(burned, allowMissingColumns=True)
+    in_tx = Window.partitionBy("seq", "tx_pos", "tx_id").orderBy("phase", "out_pos", "asset")
+    both = arrivals(both.withColumn("tx_order", F.row_number().over(in_tx)), width)
+    route = kind_of(F.col("asset"))
+    kind = (
+        F.when(F.col("phase") == 0, "burn")
+        .when(route != "owner", route)
+        .otherwise(F.when(F.col("is_mint"), "mint").otherwise("transfer"))
+    )
+    rows = D.with_attributes(both.withColumn("kind", kind))
+    usable = (
+        F.when(F.col("kind") == "reference", F.try_parse_json("datum").isNotNull())
+        .when(F.col("kind") == "virtual", F.col("valid"))
+        .otherwise(True)
+    )
+    return rows.select(
+        F.col("arrival").alias("seq"),
+        S.asset_text(F.col("asset")).alias("name"),
+        "slot",
+        "kind",
+        F.when(F.col("kind") == "virtual", F.col("attributes.virtual_address"))
+        .otherwise(F.col("address"))
+        .alias("holder"),
+        "utxo",
+        "lovelace",
+        F.coalesce("attributes.is_default", F.lit(False)).alias("is_default"),
+        F.when(usable, F.col("datum")).alias("datum"),
+    )

@@ -90,3 +90,13 @@ def test_reference_before_mint_is_not_live_and_not_a_double_mint(spark):
     ]
     got = fold.annotate(spark.createDataFrame(rows, SCHEMA)).orderBy("seq").collect()
     assert [(r["new_utxo"], r["new_amount"]) for r in got] == [("", 1), ("m#0", 1)]
+
+
+@pytest.mark.parametrize("width", [2, 1 << 20])
+def test_arrivals_are_dense_and_in_order(spark, width):
+    from rollbook.sources import blocks
+
+    rows = [(b * 3, t, o) for b in range(9) for t in range(1 + b % 4) for o in range(1, 2 + (b + t) % 3)]
+    df = spark.createDataFrame(rows, "seq long, tx_pos long, tx_order int")
+    got = blocks.arrivals(df, width).orderBy("seq", "tx_pos", "tx_order").collect()
+    assert [r["arrival"] for r in got] == list(range(len(rows)))
