@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.operators import fold, holders, reconcile, rollback, views
 from rollbook.plans.base import query, reg_sql
+from rollbook.plans.ledger_queries import fold_sql
 from rollbook.session import read_table, scratch_dir
 from rollbook.sources import fixtures as X
 from rollbook.sources import snapshots
@@ -103,7 +104,7 @@ def snap_restore(spark, sf):
     return holders.holder_rollup(registry).select(*ROLLUP_COLUMNS)
 
 
-@query("st_reset")
+@query("st_reset", fold_sql("select cast(0 as bigint) as assets, (select count(*) from s) as assets_before"))
 def st_reset(spark, sf):
     """A registry stream that ran over the ledger, reset to genesis: nothing is left."""
     from rollbook.streaming.registry_stream import RegistryStream
@@ -112,7 +113,7 @@ def st_reset(spark, sf):
     stream.process(X.ledger(spark, sf), 0)
     before = stream.registry().count()
     stream.reset()
-    return stream.registry().agg(F.count(F.lit(1)).alias("assets")).withColumn("assets_before", F.lit(before))
+    return stream.registry().agg(F.count(F.lit(1)).alias("assets")).withColumn("assets_before", F.lit(before).cast("long"))
 
 
 @query("sink_name_list", reg_sql("select name from reg where utxo <> ''"))
