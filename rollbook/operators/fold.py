@@ -115,6 +115,17 @@ def op_code(kind: Column, datum: Column) -> Column:
 
 # ------------------------------------------------------------------ sorted-partition folds
 
+
+def sorted_by_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """All rows of a key in one partition, sorted by key and order.
+
+    ``mapInArrow`` asks for no distribution of its own. A plain ``repartition(*keys)``
+    above a join on the same keys is planned away, and adaptive execution may then
+    turn that join's shuffle into a local read. A hash of the keys is never
+    taken for the partitioning a join left behind, so this shuffle stays.
+    """
+    return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
+
 STRINGS = ("utxo", "holder", "datum", "reference_datum", "settings_datum")
 ARROW = {f: pa.string() if f in STRINGS else pa.int64() for f in State._fields}
 BRIEF = ("amount", "updated", "created", "life", "utxo")
@@ -316,10 +327,8 @@ def incoming_states(hot: DataFrame, base: DataFrame | None = None) -> DataFrame:
     ops = (
         hot.select("name", "chunk", *Event._fields)
         .join(tops, ["name", "chunk"])
-        .repartition("name", "chunk")
-        .sortWithinPartitions("name", "chunk", "seq")
-        .mapInArrow(_summarise, OPS_SQL)
     )
+    ops = sorted_by_key(ops, ["name", "chunk"], "seq").mapInArrow(_summarise, OPS_SQL)
     if base is not None:
         fixed = {"chunk": 0, "op_no": 0, "op": BASE}
         ops = ops.unionByName(
@@ -330,11 +339,8 @@ def incoming_states(hot: DataFrame, base: DataFrame | None = None) -> DataFrame:
             ),
             allowMissingColumns=True,
         ).select(*OPS_ARROW.names)
-    return (
-        ops.repartition("name")
-        .sortWithinPartitions("name", "chunk", "op_no")
-        .mapInArrow(_chain, f"name string, chunk long, {state_sql('in_')}")
-    )
+    chained = sorted_by_key(ops, ["name"], "chunk", "op_no")
+    return chained.mapInArrow(_chain, f"name string, chunk long, {state_sql('in_')}")
 
 
 def annotate(
@@ -361,11 +367,8 @@ def annotate(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if not f.name.startswith("in_")]
         + ["accepted boolean", "saved boolean", state_sql("old_", fields), state_sql("new_", fields)]
     )
-    return (
-        both.repartition("name", "chunk")
-        .sortWithinPartitions("name", "chunk", "seq")
-        .mapInArrow(_annotator(fields), schema)
-    )
+    ordered = sorted_by_key(both, ["name", "chunk"], "seq")
+    return ordered.mapInArrow(_annotator(fields), schema)
 
 
 # ------------------------------------------------------------------ from annotated rows to tables

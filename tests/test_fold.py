@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from ledgers import SCHEMA, flat, random_ledger, walk
 
@@ -11,7 +13,8 @@ STATE = "amount updated created life utxo holder lovelace datum reference_seq se
 def test_annotate_equals_walk_for_any_chunk_width(spark, width, seed):
     rows = random_ledger(600, 8, seed)
     want = walk(rows)
-    got = fold.annotate(spark.createDataFrame(rows, SCHEMA), width=width, detail=True).collect()
+    ledger = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), SCHEMA)
+    got = fold.annotate(ledger.repartition(5), width=width, detail=True).collect()
     assert len(got) == len(rows)
     for r in got:
         accepted, saved, state = want[r["seq"]]
@@ -100,3 +103,23 @@ def test_arrivals_are_dense_and_in_order(spark, width):
     df = spark.createDataFrame(rows, "seq long, tx_pos long, tx_order int")
     got = blocks.arrivals(df, width).orderBy("seq", "tx_pos", "tx_order").collect()
     assert [r["arrival"] for r in got] == list(range(len(rows)))
+
+
+def test_order_survives_a_join_that_turns_into_a_broadcast(spark):
+    """A shuffle join planned on (name, chunk) that becomes a broadcast join at run time
+    reads its shuffle locally; the fold must still see sorted, complete groups."""
+    rows = random_ledger(600, 4, 3)
+    want = walk(rows)
+    ledger = spark.createDataFrame(random.Random(3).sample(rows, len(rows)), SCHEMA).repartition(6)
+    saved = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold",)}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "10MB")
+    try:
+        got = fold.annotate(ledger, width=16, detail=True).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+        for k, v in saved.items():
+            spark.conf.set(k, v)
+    assert {r["seq"]: tuple(r[f"new_{f}"] for f in STATE) for r in got} == {
+        seq: flat(state) for seq, (_, _, state) in want.items()
+    }
