@@ -123,3 +123,11 @@ def test_order_survives_a_join_that_turns_into_a_broadcast(spark):
     assert {r["seq"]: tuple(r[f"new_{f}"] for f in STATE) for r in got} == {
         seq: flat(state) for seq, (_, _, state) in want.items()
     }
+
+
+def test_every_sorted_fold_has_its_own_shuffle(spark):
+    ledger = spark.createDataFrame(random_ledger(50, 2, 1), SCHEMA).repartition(3)
+    plan = fold.annotate(ledger, width=4)._jdf.queryExecution().executedPlan().toString()
+    steps = plan.count("MapInArrow")
+    assert steps == 3
+    assert plan.count("hashpartitioning(xxhash64(") == plan.count("REPARTITION_BY_COL") == steps
