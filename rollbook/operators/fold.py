@@ -94,15 +94,8 @@ def advance(state: State | None, e: Event):
             True,
         )
     twice = e.op == MINT and state.utxo != "" and state.utxo != e.utxo
-    state = state._replace(
-        amount=state.amount + twice,
-        updated=e.slot,
-        utxo=e.utxo,
-        holder=e.holder,
-        lovelace=e.lovelace,
-        datum=e.datum,
-    )
-    return state, True, True
+    head = (state.amount + twice, e.slot, state.created, state.life)
+    return State(*head, e.utxo, e.holder, e.lovelace, e.datum, *state[8:]), True, True
 
 
 def op_code(kind: Column, datum: Column) -> Column:
@@ -142,11 +135,17 @@ def _arrow_state(rows: list[State | None], prefix: str, fields=State._fields) ->
     }
 
 
+def _values(batch: pa.RecordBatch, name: str) -> list:
+    """A column as Python values; numpy is the quick way where it cannot change an integer."""
+    column = batch.column(name)
+    if column.null_count and not pa.types.is_string(column.type):
+        return column.to_pylist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _events(batch: pa.RecordBatch) -> Iterator[tuple[tuple, Event]]:
-    cols = [batch.column(f).to_pylist() for f in Event._fields]
-    keys = zip(batch.column("name").to_pylist(), batch.column("chunk").to_pylist())
-    for key, values in zip(keys, zip(*cols)):
-        yield key, Event(*values)
+    keys = zip(_values(batch, "name"), _values(batch, "chunk"))
+    return zip(keys, map(Event._make, zip(*[_values(batch, f) for f in Event._fields])))
 
 
 def _annotator(fields: tuple[str, ...]):
@@ -183,8 +182,9 @@ def _annotator(fields: tuple[str, ...]):
 # were set, and the change of amount). One that dies in it ends like one that
 # did not exist before (``z_*``): from its death on both see the same events,
 # and the one that started from nothing was not alive at that moment either.
-# Late events, and the first owner event of a stretch (it may repeat the
-# incoming output), are kept as they are.
+# Kept as they are: the first owner event of a stretch (it may repeat the incoming
+# output), and late events, unless the asset was certainly alive and up to date
+# (``sure``), in which case a late event can do no more than lower ``created``.
 RUN, BASE = 7, 8
 OPS_SQL = (
     "name string, chunk long, op_no long, op long, slot long, seq long, utxo string, holder string, "
@@ -197,17 +197,23 @@ KEEP_TEXT, KEEP_INT = "\u0001keep", -1
 IMMORTAL = 1 << 60
 
 
-def _probe(known: str | None) -> State:
+def _probe(first: Event | None) -> State:
     values = {f: KEEP_TEXT if f in STRINGS else KEEP_INT for f in State._fields}
-    values |= {"amount": IMMORTAL, "updated": -IMMORTAL, "created": -IMMORTAL}
-    return State(**values)._replace(utxo=KEEP_TEXT if known is None else known)
+    values |= {"amount": IMMORTAL, "updated": -IMMORTAL, "created": IMMORTAL}
+    if first is not None:
+        values |= {"updated": first.slot, "utxo": first.utxo}
+    return State(**values)
 
 
 class _Stretch:
-    """Summary of consecutive certain events, starting with output ``known`` (if any)."""
+    """Summary of consecutive certain events, right after the certain owner event ``first`` (if any).
 
-    def __init__(self, known: str | None = None):
-        self.probe, self.ghost, self.low, self.used = _probe(known), None, 0, False
+    After such an event the asset is alive, at the least as the event alone leaves it.
+    """
+
+    def __init__(self, first: Event | None = None):
+        self.probe, self.low, self.used = _probe(first), 0, False
+        self.ghost = None if first is None else advance(None, first)[0]
 
     def add(self, event: Event) -> None:
         self.used = True
@@ -236,13 +242,16 @@ def run_stretch(state: State | None, row: dict) -> State | None:
         if row[f"p_{f}"] != (KEEP_TEXT if f in STRINGS else KEEP_INT)
     }
     return state._replace(
-        amount=state.amount + row["p_amount"], updated=max(state.updated, row["p_updated"]), **set_here
+        amount=state.amount + row["p_amount"],
+        updated=max(state.updated, row["p_updated"]),
+        created=min(state.created, row["p_created"]),
+        **set_here,
     )
 
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (name, chunk, seq) with ``before_top``: greatest slot before the chunk."""
-    key, stretch, known, top, rows, count = None, _Stretch(), None, None, [], 0
+    key, stretch, known, top, rows, count, sure = None, _Stretch(), False, None, [], 0, False
 
     def emit(row: dict) -> None:
         nonlocal count
@@ -255,21 +264,29 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if here != key:
                 if stretch.used:
                     emit(stretch.row())
-                key, stretch, known, top, count = here, _Stretch(), None, tops[i], 0
+                key, stretch, known, top, count, sure = here, _Stretch(), False, tops[i], 0, False
                 emit({"op": REJECT, "slot": 0, "seq": 0})  # without effect: every chunk gets a row
             if event.op == REJECT:
                 continue
             late = event.op != BURN and top is not None and event.slot < top
             if event.op != BURN:
                 top = event.slot if top is None else max(top, event.slot)
-            if not late and (event.op not in OWNER or known is not None):
+            if late and sure:
+                if event.op == MINT:
+                    stretch.add(event)
+                continue
+            if event.op == BURN:
+                sure = False
+            elif event.op != SETTINGS:
+                sure = not late
+            if not late and (event.op not in OWNER or known):
                 stretch.add(event)
                 continue
             if stretch.used:
                 emit(stretch.row())
             emit(event._asdict())
-            known = event.utxo if event.op in OWNER and not late else None
-            stretch = _Stretch(known)
+            known = not late
+            stretch = _Stretch(event if known else None)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, OPS_ARROW)
             rows.clear()
@@ -281,9 +298,11 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Operations sorted by (name, chunk, op_no) to the incoming state of every chunk."""
     key, state = None, None
+    fields = OPS_ARROW.names
     for batch in batches:
         names, chunks, states = [], [], []
-        for row in batch.to_pylist():
+        for values in zip(*[_values(batch, f) for f in fields]):
+            row = dict(zip(fields, values))
             here = (row["name"], row["chunk"])
             if here != key:
                 if key is None or here[0] != key[0]:
