@@ -74,8 +74,11 @@ class RegistryStream:
 
     # -------------------------------------------------------------- tables
 
-    def _write(self, table: str, rows: DataFrame, batch_id: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.base}/{table}/batch_id={batch_id}")
+    def _write(self, table: str, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Store rows under the batch's own path and read them back."""
+        path = f"{self.base}/{table}/batch_id={batch_id}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     @classmethod
     def _schemas(cls) -> dict[str, str]:
@@ -130,11 +133,8 @@ class RegistryStream:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         is_mark = F.col("kind") == ROLLBACK
         marks = batch.where(is_mark).select(F.col("seq").alias("bseq"), F.col("slot").alias("bslot"))
-        self._write("ledger", batch.where(~is_mark).select(*batch.columns), batch_id)
-        self._write("controls", marks, batch_id)
-        rows = self._read("ledger").where(F.col("batch_id") == batch_id).drop("batch_id")
-
-        new_marks = self._read("controls").where(F.col("batch_id") == batch_id)
+        rows = self._write("ledger", batch.where(~is_mark).select(*batch.columns), batch_id)
+        new_marks = self._write("controls", marks, batch_id)
         parts = []
         lowest = new_marks.agg(F.min("bslot")).first()[0]
         if lowest is not None:
@@ -144,20 +144,22 @@ class RegistryStream:
             valid = rollback.canonical(recent, controls, self.width)
             earlier = rollback.canonical(recent, self.controls(batch_id - 1), self.width)
             hit = earlier.join(valid.select("seq"), "seq", "left_anti").select("name").distinct()
+            hit = self._write("hit", hit, batch_id)
             mine = spread_filter(ledger, hit, "name", F.col("seq"))
             redo = rollback.canonical(mine, controls, self.width)
             refolded = fold.final_state(fold.annotate(redo, self.width, detail=True))
-            gone = hit.select("name", *[F.lit(None).cast(t).alias(n) for n, t in self._fields()])
-            parts = [refolded, gone.join(redo.select("name").distinct(), "name", "left_anti")]
+            refolded = self._write("redone", refolded, batch_id)
+            gone = hit.join(refolded, "name", "left_anti")
+            nulls = [F.lit(None).cast(t).alias(n) for n, t in self._fields()]
+            parts = [refolded, gone.select("name", *nulls)]
             rows = rollback.canonical(rows, controls, self.width)
             rows = spread_filter(rows, hit, "name", F.col("seq"), keep=False)
         touched = rows.select("name").distinct()
         start = self.state(below=batch_id).where(F.col("life").isNotNull())
         start = start.join(touched, "name", "left_semi")
         annotated = fold.annotate(rows, self.width, detail=True, base=start)
-        # the fold is read twice below: store it once instead of running it again
-        self._write("folded", annotated, batch_id)
-        folded = self.spark.read.parquet(f"{self.base}/folded/batch_id={batch_id}")
+        # read twice below: stored once instead of folded again
+        folded = self._write("folded", annotated, batch_id)
         delta = fold.final_state(folded)
         for part in parts:
             delta = delta.unionByName(part)
