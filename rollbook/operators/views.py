@@ -95,7 +95,9 @@ def asset_view(rows: DataFrame) -> DataFrame:
         "characters",
         "numeric_modifiers",
         "default_in_wallet",
+        "pfp_image",
         S.strip_0x(F.col("pfp_asset")).alias("pfp_asset"),
+        "bg_image",
         S.strip_0x(F.col("bg_asset")).alias("bg_asset"),
         F.create_map(F.lit("ada"), F.col("address")).alias("resolved_addresses"),
         F.col("created_slot").alias("created_slot_number"),
@@ -104,6 +106,7 @@ def asset_view(rows: DataFrame) -> DataFrame:
         "svg_version",
         S.strip_0x(F.col("image_hash")).alias("image_hash"),
         S.strip_0x(F.col("standard_image_hash")).alias("standard_image_hash"),
+        "last_update_address",
         "version",
         F.col("asset_type").alias("handle_type"),
         "payment_key_hash",
@@ -113,6 +116,8 @@ def asset_view(rows: DataFrame) -> DataFrame:
         "sub_characters",
         "sub_numeric_modifiers",
         "virtual",
+        "original_address",
+        "last_edited_time",
         F.coalesce("policy", F.lit("")).alias("policy"),
     )
 

@@ -135,6 +135,7 @@ def f_param_check(spark, sf):
     hold_sql(
         """select hex, name, image, coalesce(standard_image, image) as standard_image, g.holder, holder_type,
  length, og_number, rarity, utxo, characters, numeric_modifiers, h.default_handle as default_in_wallet,
+ pfp_image, bg_image, last_update_address, original_address, last_edited_time,
  replace(pfp_asset, '0x', '') as pfp_asset, substr(bg_asset, 3) as bg_asset, address as resolved_ada,
  created_slot as created_slot_number, updated_slot as updated_slot_number, has_datum,
  coalesce(svg_version, '0') as svg_version, substr(image_hash, 3) as image_hash,

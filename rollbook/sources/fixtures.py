@@ -68,6 +68,11 @@ CATALOG_SQL = {
     "id_hash": "case when o_orderkey % 90 = 0 then concat('0x', repeat('f', 34), "
     "md5(concat('id', cast(o_custkey as string)))) when o_orderkey % 45 = 0 then concat('0x', repeat('f', 34), "
     "md5(unhex(md5(concat('sk', cast(o_custkey as string)))))) else null end",
+    "pfp_image": "case when o_orderkey % 12 = 0 then concat('ipfs://', substr(h,1,12)) else null end",
+    "bg_image": "case when o_orderkey % 16 = 0 then concat('ipfs://', substr(h,13,8)) else null end",
+    "last_update_address": "case when o_orderkey % 5 = 0 then concat('0x', substr(h,5,10)) else null end",
+    "original_address": "case when o_orderkey % 6 = 0 then concat('0x', substr(h,7,10)) else null end",
+    "last_edited_time": "case when o_orderkey % 5 = 0 then o_epoch else null end",
     "script_cbor": "case when o_orderkey % 7 = 0 then md5(concat('s', cast(o_orderkey as string))) else null end",
 }
 
