@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import bpe_reuse, decontam, near_dup, quality_qda
+from rollbook.llm import bpe_reuse, decontam, html_crf, near_dup, quality_qda
 from rollbook.llm.common import stored_once
 from rollbook.session import read_table
 
@@ -26,6 +26,12 @@ def byte_bpe() -> bytes:
         return file.read()
 
 
+@query
+def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_crf.extract(read_table(spark, sf_dir, "pages"))
+
+
 @query
 def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Component of every document under links of two-word shingle sets, and whether it stays."""
