@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import bpe_reuse, decontam, html_crf, near_dup, quality_qda
+from rollbook.llm import bpe_reuse, decontam, html_crf, license_scan, near_dup, quality_qda
 from rollbook.llm.common import stored_once
 from rollbook.session import read_table
 
@@ -57,3 +57,12 @@ def op7_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item that a window of it comes near."""
     return decontam.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence notices in every document."""
+    return license_scan.scan(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op2_license_scan"] = license_scan.scan_sql()
