@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import re
@@ -31,6 +32,7 @@ def _class(wanted) -> str:
     return "".join(parts)
 
 
+@functools.cache
 def _patterns():
     """PATTERN for texts of the basic plane in the faster engine, and as it stands for all others."""
     letter = _class(lambda c: unicodedata.category(c)[0] == "L")
@@ -42,6 +44,13 @@ def _patterns():
     return plain, regex.compile(PATTERN), re.compile(f"[^{space}][{space}]"), re.compile(f"(?s:.*)[^{space}]([{space}])")
 
 
+def split_patterns():
+    """A function from a text to the words that merges or pieces work on; joined they are the text."""
+    plain, full, _, _ = _patterns()
+    astral = re.compile("[\U00010000-\U0010ffff]").search
+    return lambda text: (plain if text.isascii() or not astral(text) else full).findall(text)
+
+
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -79,28 +88,27 @@ class _Words(dict):
     def __missing__(self, word):
         if len(self) >= CACHED_WORDS:
             self.clear()
-        ids = self[word] = array(self.kind, self.encode(word)).tobytes()
+        ids = self[word] = array(self.kind, self.encode(word.encode())).tobytes()
         return ids
 
 
 class ByteBpe:
     """Encode to packed little-endian ids and back, as the tokenizers library does without special tokens added."""
 
-    def __init__(self, content: bytes):
+    def __init__(self, content: bytes, control: tuple[str, ...] = ()):
+        """``control``: further strings that are tokens of their own, with the ids after the vocabulary's."""
         ranks, self.added = vocabulary(content)
+        free = 1 + max([*ranks.values(), *self.added.values()])
+        self.added |= {c: free + k for k, c in enumerate(control) if c not in self.added}
         self.kind = "H" if max([*ranks.values(), *self.added.values()]) < 1 << 16 else "I"
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.words = _Words(self.core._encode_single_piece, self.kind)
-        self.plain, self.full, self.first_gap, self.last_gap = _patterns()
-        self.astral = re.compile("[\U00010000-\U0010ffff]").search
+        self.words = _Words(self.core._core_bpe.encode_single_piece, self.kind)
+        _, _, self.first_gap, self.last_gap = _patterns()
+        self.words_in = split_patterns()
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.bytes_of = {i: t for t, i in ranks.items()} | {i: t.encode() for t, i in self.added.items()}
         self.digits = {i: str(i).encode() for i in self.bytes_of}
 
-    def words_in(self, text: str) -> list[str]:
-        """What the merges work on, in order; joined they are the text."""
-        return (self.plain if text.isascii() or not self.astral(text) else self.full).findall(text)
-
     def encode(self, text: str) -> bytes:
         """Packed ids of a text."""
         if any(t in text for t in self.added):

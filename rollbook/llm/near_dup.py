@@ -5,13 +5,21 @@ one class from the start. Of each set the minima of ROWS * BANDS universal hash
 functions are taken; classes that agree in all minima of a band meet in a bucket.
 A pair of similarity 0.8 misses every band with a probability of 5e-6.
 
-No bucket is expanded into its pairs. Its members are compared with one centre each
-round (signature first, then the full sets), and links are joined to components by
-alternating large-star and small-star. Only buckets that still hold several
-components go on: a round with other centres, then, as the exact way for the rest,
-the members of different components of a bucket are compared block by block, again
-by signature and size before the full sets. So links are lost only where two
-documents meet in no bucket or their signatures differ by far more than chance.
+No bucket is expanded into its pairs, and texts move once:
+
+1. Signatures make a graph of likely pairs. In each bucket all members are compared
+   with one centre; buckets that then still hold several components of that graph
+   are compared with another centre each, and what even then is apart, block by
+   block, from which a spanning forest of the likely pairs comes out.
+2. The edges so found are verified on the full sets; verified links give components.
+3. A component of likely pairs that still holds several components of links has, for
+   certain, all links that are left. All its documents outside its largest component
+   are compared with all others on the full sets, block by block, from which again a
+   spanning forest comes out.
+
+Components come from alternating large-star and small-star throughout. Links are lost
+only where two documents meet in no bucket or their signatures differ by far more
+than chance.
 
 Results for odd rows: a null or empty text, or one without words, has an empty set
 and is linked with nothing; a text with fewer words than a shingle has its whole
@@ -26,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.common import (
@@ -50,8 +58,8 @@ ROWS, BANDS = 6, 40
 PERCENT = 80
 #: How far below it an estimate from signatures may lie: over five standard deviations.
 MARGIN = 0.15
-#: Members of a bucket that one task compares with each other in the last step.
-BLOCK_ROWS = 512
+#: Documents, and their shingles, of one side of a comparison in blocks.
+BLOCK_ROWS, BLOCK_SHINGLES = 256, 1 << 18
 
 _seeds = np.random.default_rng(20260102)
 FACTORS = _seeds.integers(0, 1 << 63, ROWS * BANDS, dtype=U64) * U64(2) + U64(1)
@@ -91,7 +99,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 filled = np.flatnonzero(sizes)
                 sums = np.zeros((2, b - a), U64)
                 keys = np.zeros((b - a, BANDS), U64)
-                signs = np.zeros((b - a, ROWS * BANDS), np.uint16)
+                signs = np.zeros((b - a, ROWS * BANDS), np.uint8)
                 if len(filled):
                     starts = bounds[filled]
                     sums[0, filled] = np.add.reduceat(mix(values), starts)
@@ -102,7 +110,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                         for k in range(band * ROWS, (band + 1) * ROWS):
                             key = mix(key * MIX_B + low[k])
                         keys[filled, band] = key
-                    signs[filled] = (mix(low) & U64(0xFFFF)).astype(np.uint16).T
+                    signs[filled] = (mix(low) & U64(0xFF)).astype(np.uint8).T
                 steps = np.arange(b - a + 1, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -120,18 +128,23 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
+#: Equal bytes of two signatures, as a share, below which a pair is not likely.
+LEAST_ESTIMATE = PERCENT / 100 - MARGIN
+
+
+def _signs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+
+
 def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     """The pairs (a, b) whose signatures and sizes don't rule the similarity out."""
-    least = PERCENT / 100 - MARGIN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            left, right = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for k in (2, 3)
-            )
-            near = (left == right).mean(axis=1) >= least
+            left, right = (_signs(batch.column(k)) for k in (2, 3))
+            near = (left == right).mean(axis=1) >= LEAST_ESTIMATE
             yield batch.select(["a", "b"]).filter(pa.array(near))
 
     one = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("s"), F.col("n_shingles").alias("m"))
@@ -140,8 +153,8 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def _linked(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; texts of documents in no pair don't move."""
+def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, one = None, None  # rows come by a: its set is made once
@@ -159,58 +172,177 @@ def _linked(pairs: DataFrame, docs: DataFrame, width: int) -> DataFrame:
                     keep[k] = same > 0 and 100 * same >= PERCENT * (len(one) + len(other) - same)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.join(wanted, "doc_id", "left_semi")
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("t")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("s")), "a")
+    right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("t")), "b")
+    both = right.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("s")), "a")
     return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
 
 
-def _open_buckets(buckets: DataFrame, members: DataFrame) -> DataFrame:
-    """band, doc and component of the buckets of three or more that still hold several components."""
+def _open(groups: DataFrame, members: DataFrame) -> DataFrame:
+    """grp, doc and component of the groups of three or more (grp, doc) that hold several components."""
     named = (
-        buckets.join(members.withColumnRenamed("node", "doc"), "doc", "left")
+        groups.join(members.select(F.col("node").alias("doc"), "component"), "doc", "left")
         .withColumn("component", F.coalesce("component", "doc"))
-        .select("band", "doc", "component")
+        .select("grp", "doc", "component")
     )
     several = (
-        named.groupBy("band")
+        named.groupBy("grp")
         .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
         .filter("n > 2 and low < high")
     )
-    return named.join(several.select("band", "n"), "band")
+    return named.join(several.select("grp"), "grp")
 
 
-def _rest(rows: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs from different components of a bucket that signatures and sizes don't rule out, block by block."""
-    least = PERCENT / 100 - MARGIN
-    side = signatures.select(F.col("doc_id").alias("doc"), "signature", "n_shingles")
-    blocks = (
-        rows.withColumn("parts", F.ceil(F.col("n") / BLOCK_ROWS).cast("int"))
-        .withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(grp, doc, component, ...) rows dealt to blocks: each document outside the largest component of its group
+    meets all others of the group in one block i, j, in bounded blocks."""
+    sized = rows.join(sizes, "doc")
+    each = sized.groupBy("grp", "component").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("m"))
+    largest = each.groupBy("grp").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.sum("n").alias("n"), F.sum("m").alias("m")
+    )
+    most = each.groupBy("grp").agg(F.max(F.struct("n", "component", "m")).alias("x"))
+    shape = largest.join(most, "grp").select(
+        "grp",
+        "largest",
+        F.greatest(F.lit(1), parts_of("x.n", "x.m")).alias("main_parts"),
+        F.greatest(F.lit(1), parts_of("n - x.n", "m - x.m")).alias("rest_parts"),
+    )
+    main = F.col("component") == F.col("largest")
+    own = F.pmod(F.xxhash64("doc"), F.when(main, F.col("main_parts")).otherwise(F.col("rest_parts"))).cast("int")
+    rest = F.sequence(F.lit(0), F.col("rest_parts") - 1)
+    every = F.sequence(-F.col("main_parts"), F.col("rest_parts") - 1)  # main blocks have negative numbers
+    return (
+        sized.join(shape, "grp")
+        .withColumn("part", F.when(main, -own - 1).otherwise(own))
+        .withColumn("other", F.explode(F.when(main, rest).otherwise(every)))
         .withColumn("i", F.least("part", "other"))
         .withColumn("j", F.greatest("part", "other"))
-        .join(side, "doc")
-        .select("band", "i", "j", "doc", "component", "part", "n_shingles", "signature")
+        .drop("largest", "main_parts", "rest_parts", "other")
     )
 
+
+def parts_of(n: str, m: str) -> Column:
+    """Blocks for n documents with m shingles in all."""
+    return F.ceil(F.greatest(F.expr(n) / BLOCK_ROWS, F.expr(m) / BLOCK_SHINGLES)).cast("int")
+
+
+def spanning(count: int, component: np.ndarray, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[list, list]:
+    """Of pairs of row numbers those that join what neither component nor an earlier pair has joined."""
+    _, group = np.unique(component, return_inverse=True)
+    parent = list(range(count + 1))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    left, right = [], []
+    for one, two in pairs:
+        for a, b in zip(one.tolist(), two.tolist(), strict=True):
+            x, y = root(int(group[a])), root(int(group[b]))
+            if x != y:
+                parent[x] = y
+                left.append(a)
+                right.append(b)
+    return left, right
+
+
+def _apart(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers of a block's two sides, and the component of each row."""
+    part = table.column("part").to_numpy()
+    i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+    return np.flatnonzero(part == i), np.flatnonzero(part == j), table.column("component").to_numpy()
+
+
+def _likely_blocks(rows: DataFrame, signatures: DataFrame) -> DataFrame:
+    """A spanning forest of the likely pairs from different components of a group."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        one, two, component = _apart(table)
+        doc, size = table.column("doc").to_numpy(), table.column("n_shingles").to_numpy()
+        signs = _signs(table.column("signature").combine_chunks())
+
+        def pairs():
+            for a in one.tolist():
+                fits = (component[two] != component[a]) & (
+                    100 * np.minimum(size[two], size[a]) >= PERCENT * np.maximum(size[two], size[a])
+                )
+                near = two[fits]
+                near = near[(signs[near] == signs[a]).mean(axis=1) >= LEAST_ESTIMATE] if len(near) else near
+                yield np.full(len(near), a), near
+
+        left, right = spanning(len(doc), component, pairs())
+        return pa.table({"a": pa.array(doc[left], pa.int64()), "b": pa.array(doc[right], pa.int64())})
+
+    side = signatures.select(F.col("doc_id").alias("doc"), "signature", "n_shingles")
+    return _blocks(rows, side).groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def shared_counts(values: np.ndarray, owner: np.ndarray, one: np.ndarray, two: np.ndarray, count: int) -> np.ndarray:
+    """How many values each row of ``one`` has in common with each of ``two``; values are distinct within an owner."""
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+    place = np.cumsum(new) - 1
+    common = np.bincount(place) > 1 if len(place) else np.zeros(0, bool)
+    kept = common[place]
+    place, owner = (np.cumsum(common) - 1)[place[kept]], owner[kept]
+    out = np.zeros((len(one), len(two)), np.float32)
+    total = int(common.sum())
+    for at in range(0, total, 4096):
+        low, high = np.searchsorted(place, [at, at + 4096])
+        held = np.zeros((count, min(4096, total - at)), np.float32)
+        held[owner[low:high], place[low:high] - at] = 1
+        out += held[one] @ held[two].T
+    return np.rint(out).astype(np.int64)
+
+
+def _linked_blocks(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """A spanning forest of the links between different components of a group."""
+
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        doc, comp, part, size = (table.column(k).to_numpy() for k in ("doc", "component", "part", "n_shingles"))
-        signs = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(doc), -1)
-        inner = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-        out_a, out_b = [], []
-        for k in range(len(doc)):
-            fits = (comp > comp[k]) if inner else (comp != comp[k]) & (part > part[k])
-            fits &= 100 * np.minimum(size, size[k]) >= PERCENT * np.maximum(size, size[k])
-            near = np.flatnonzero(fits)
-            near = near[(signs[near] == signs[k]).mean(axis=1) >= least] if len(near) else near
-            out_a += [np.minimum(doc[near], doc[k])]
-            out_b += [np.maximum(doc[near], doc[k])]
-        return pa.table({"a": np.concatenate(out_a), "b": np.concatenate(out_b)})
-
-    return blocks.groupBy("band", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+        one, two, component = _apart(table)
+        doc = table.column("doc").to_numpy()
+        column = table.column("text").combine_chunks()
+        values, bounds = shingle_sets(column, width)
+        size = np.diff(bounds)
+        shared = shared_counts(values, np.repeat(np.arange(len(doc)), size), one, two, len(doc))
+        linked = 100 * shared >= PERCENT * (size[one][:, None] + size[two][None, :] - shared)
+        linked &= component[one][:, None] != component[two][None, :]
+        a, b = np.nonzero(linked)
+        left, right = spanning(len(doc), component, [(one[a], two[b])])
+        return pa.table({"a": pa.array(doc[left], pa.int64()), "b": pa.array(doc[right], pa.int64())})
+
+    return _blocks(rows, texts).groupBy("grp", "i", "j").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _widened(likely: DataFrame, buckets: DataFrame, signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Likely pairs with those of other centres and of blocks added, and the components they make."""
+    spark = likely.sparkSession
+    families = stored_once(spark, components(likely), "families")
+    rows = stored_once(spark, _open(buckets, families), "open")
+    if rows.isEmpty():
+        return likely, families
+    chosen = rows.groupBy("grp").agg(F.min_by(F.struct("doc", "component"), F.xxhash64("grp", "doc")).alias("c"))
+    pairs = (
+        rows.join(chosen, "grp")
+        .filter("component != c.component")
+        .select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
+        .distinct()
+    )
+    more = stored_once(spark, _likely(pairs, signatures), "likely")
+    if not more.isEmpty():
+        likely = likely.union(more)
+        families = stored_once(spark, components(likely), "families")
+        rows = _open(buckets, families)
+    last = stored_once(spark, _likely_blocks(rows, signatures), "likely")
+    if not last.isEmpty():
+        likely = likely.union(last)
+        families = stored_once(spark, components(likely), "families")
+    return likely, families
 
 
 def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
@@ -232,33 +364,23 @@ def near_duplicates(docs: DataFrame, width: int = 2) -> DataFrame:
     signatures = stored_once(spark, firsts.select("doc_id", "n_shingles", "bands", "signature"), "signatures")
     every = signatures.select(F.explode("bands").alias("band"), F.col("doc_id").alias("doc"))
     centres = every.groupBy("band").agg(F.min("doc").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    buckets = stored_once(spark, every.join(centres, "band").select("band", "doc", "centre"), "buckets")
+    buckets = stored_once(spark, every.join(centres, "band").select(F.col("band").alias("grp"), "doc", "centre"), "buckets")
     signatures = signatures.drop("bands")
 
     pairs = buckets.filter("doc != centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
-    links = stored_once(spark, _linked(_likely(pairs, signatures), docs, width), "links")
+    buckets = buckets.select("grp", "doc")
+    likely = stored_once(spark, _likely(pairs, signatures), "likely")
+    likely, families = _widened(likely, buckets, signatures)
+    wanted = families.select(F.col("node").alias("doc"))
+    texts = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi")
+    texts = texts.join(signatures.select(F.col("doc_id").alias("doc"), "n_shingles"), "doc")
+    texts = stored_once(spark, texts, "texts")
+    links = stored_once(spark, _linked(likely, texts.select("doc", "text"), width), "links")
     members = stored_once(spark, components(links), "members")
-    buckets = buckets.select("band", "doc")
-    rows = stored_once(spark, _open_buckets(buckets, members), "open")
-    if not rows.isEmpty():
-        # other centres, which differ from band to band
-        chosen = rows.groupBy("band").agg(
-            F.min_by(F.struct("doc", "component"), F.xxhash64("band", "doc")).alias("c")
-        )
-        again = (
-            rows.join(chosen, "band")
-            .filter("component != c.component")
-            .select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
-            .distinct()
-        )
-        more = stored_once(spark, _linked(_likely(again, signatures), docs, width), "links")
-        if not more.isEmpty():
-            links = links.union(more)
-            members = stored_once(spark, components(links), "members")
-            rows = stored_once(spark, _open_buckets(buckets, members), "open")
-        last = stored_once(spark, _linked(_rest(rows, signatures), docs, width), "links")
-        if not last.isEmpty():
-            members = stored_once(spark, components(links.union(last)), "members")
+    rows = _open(families.select(F.col("component").alias("grp"), F.col("node").alias("doc")), members)
+    last = stored_once(spark, _linked_blocks(rows, texts, width), "links")
+    if not last.isEmpty():
+        members = stored_once(spark, components(links.union(last)), "members")
 
     of_class = classes.join(members.withColumnRenamed("node", "first"), "first", "left").select(
         "n_shingles", "sum1", "sum2", F.coalesce("component", "first").alias("component_id")

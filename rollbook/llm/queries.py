@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from rollbook.llm import bpe_reuse, decontam, html_crf, license_scan, near_dup, quality_qda
+from rollbook.llm import bpe_reuse, decontam, html_crf, license_scan, near_dup, packing, piece_counts, quality_qda
 from rollbook.llm.common import stored_once
 from rollbook.session import read_table
 
@@ -66,3 +66,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op2_license_scan"] = license_scan.scan_sql()
+
+
+@query
+def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids in packed rows."""
+    return packing.pack(read_table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@query
+def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy longest-match pieces of every document."""
+    return piece_counts.count_pieces(read_table(spark, sf_dir, "documents"), byte_bpe())
