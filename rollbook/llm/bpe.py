@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
 import re
@@ -10,9 +9,12 @@ import unicodedata
 from array import array
 from collections.abc import Iterable
 
+import numpy as np
 import regex
 import tiktoken
 
+from rollbook.llm.common import per_process
+
 #: The pattern that splits text before the merges (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and their ids that a worker keeps; past it the cache starts anew.
@@ -32,7 +34,6 @@ def _class(wanted) -> str:
     return "".join(parts)
 
 
-@functools.cache
 def _patterns():
     """PATTERN for texts of the basic plane in the faster engine, and as it stands for all others."""
     letter = _class(lambda c: unicodedata.category(c)[0] == "L")
@@ -46,7 +47,7 @@ def _patterns():
 
 def split_patterns():
     """A function from a text to the words that merges or pieces work on; joined they are the text."""
-    plain, full, _, _ = _patterns()
+    plain, full, _, _ = per_process("patterns", _patterns)
     astral = re.compile("[\U00010000-\U0010ffff]").search
     return lambda text: (plain if text.isascii() or not astral(text) else full).findall(text)
 
@@ -103,10 +104,11 @@ class ByteBpe:
         self.kind = "H" if max([*ranks.values(), *self.added.values()]) < 1 << 16 else "I"
         self.core = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.words = _Words(self.core._core_bpe.encode_single_piece, self.kind)
-        _, _, self.first_gap, self.last_gap = _patterns()
+        _, _, self.first_gap, self.last_gap = per_process("patterns", _patterns)
         self.words_in = split_patterns()
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
         self.bytes_of = {i: t for t, i in ranks.items()} | {i: t.encode() for t, i in self.added.items()}
+        self.sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)])
         self.digits = {i: str(i).encode() for i in self.bytes_of}
 
     def encode(self, text: str) -> bytes:

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rollbook.llm import bpe_reuse, decontam, html_crf, license_scan, near_dup, packing, piece_counts, quality_qda
+from rollbook.llm import ann, bpe_reuse, chat, decontam, html_crf, license_scan, near_dup, packing, piece_counts, quality_qda
 from rollbook.llm.common import stored_once
 from rollbook.session import read_table
 
@@ -38,6 +39,23 @@ def op3_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(read_table(spark, sf_dir, "documents"), width=2)
 
 
+#: A user and an assistant turn that hold the template's own control strings.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+@query
+def op4_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation's turns and masked texts, read back from its formatted ids."""
+    rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(TRICKY).alias("text"),
+    )
+    return chat.read_back(chat.format_conversations(rows.unionByName(tricky), byte_bpe()), byte_bpe())
+
+
 @query
 def op5_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
@@ -78,3 +96,9 @@ def op8_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy longest-match pieces of every document."""
     return piece_counts.count_pieces(read_table(spark, sf_dir, "documents"), byte_bpe())
+
+
+@query
+def op6_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors found for every vector whose id is divisible by 50."""
+    return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
