@@ -23,24 +23,29 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return kin.union(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether each node that points points once, and to one that does not point."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("points")).union(
+        edges.select(F.col("b").alias("node"), F.lit(0).alias("points"))
+    )
+    each = ends.groupBy("node").agg(F.sum("points").alias("out"), F.min("points").alias("least"))
+    return each.filter("out > 1 or (out = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and component (its smallest node) of every node that an edge (a, b) names.
 
-    Each round is written to the shared folder; the rounds end when one changes
-    nothing. Minima reduce before the shuffle, so a node with very many links is
-    one row a task there; no node's links are collected.
+    Each round is written to the shared folder; the rounds end when every node points
+    at the smallest of its component. Minima reduce before the shuffle, so a node with
+    very many links is one row a task there; no node's links are collected.
     """
-    spark = edges.sparkSession
-    now = stored_once(spark, edges.select("a", "b").distinct(), "edges")
-    mark = None
+    now = edges.select("a", "b")
+    alone = now.filter("a = b").select(F.col("a").alias("node"))
     while True:
-        now = stored_once(spark, _small_star(_large_star(now).distinct()).distinct(), "edges")
-        seen = now.agg(
-            F.count("*").alias("n"),
-            F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"),
-        ).first()
-        if seen == mark:
+        now = stored_once(edges.sparkSession, _small_star(_large_star(now)).distinct(), "edges")
+        if _settled(now):
             break
-        mark = seen
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
+    roots = now.select(F.col("b").alias("node")).union(alone).distinct().join(now.select(F.col("a").alias("node")), "node", "left_anti")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
+        roots.select("node", F.col("node").alias("component"))
+    )

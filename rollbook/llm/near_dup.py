@@ -8,9 +8,9 @@ A pair of similarity 0.8 misses every band with a probability of 5e-6.
 No bucket is expanded into its pairs, and texts move once:
 
 1. Signatures make a graph of likely pairs. In each bucket all members are compared
-   with one centre; buckets that then still hold several components of that graph
-   are compared with another centre each, and what even then is apart, block by
-   block, from which a spanning forest of the likely pairs comes out.
+   with one centre. In buckets that then still hold several components of that graph
+   all members outside the largest are compared with all others, block by block, from
+   which a spanning forest of the likely pairs comes out.
 2. The edges so found are verified on the full sets; verified links give components.
 3. A component of likely pairs that still holds several components of links has, for
    certain, all links that are left. All its documents outside its largest component
@@ -320,24 +320,10 @@ def _linked_blocks(rows: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
 
 def _widened(likely: DataFrame, buckets: DataFrame, signatures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Likely pairs with those of other centres and of blocks added, and the components they make."""
+    """Likely pairs with those of blocks added, and the components they make."""
     spark = likely.sparkSession
     families = stored_once(spark, components(likely), "families")
     rows = stored_once(spark, _open(buckets, families), "open")
-    if rows.isEmpty():
-        return likely, families
-    chosen = rows.groupBy("grp").agg(F.min_by(F.struct("doc", "component"), F.xxhash64("grp", "doc")).alias("c"))
-    pairs = (
-        rows.join(chosen, "grp")
-        .filter("component != c.component")
-        .select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b"))
-        .distinct()
-    )
-    more = stored_once(spark, _likely(pairs, signatures), "likely")
-    if not more.isEmpty():
-        likely = likely.union(more)
-        families = stored_once(spark, components(likely), "families")
-        rows = _open(buckets, families)
     last = stored_once(spark, _likely_blocks(rows, signatures), "likely")
     if not last.isEmpty():
         likely = likely.union(last)
