@@ -18,12 +18,21 @@ PROJECT_TYPE = T.StructType(
 )
 
 
-def content_table(primary: DataFrame, backup: DataFrame) -> DataFrame:
-    """One body per content id, the primary copy first."""
-    a = primary.select("cid", F.col("body").alias("first_body"))
-    b = backup.select("cid", F.col("body").alias("second_body"))
+def unwrap(body: Column) -> Column:
+    """The object that a body wraps in ``constructor_0[0]``, as JSON; the body itself if it wraps none."""
+    return F.coalesce(F.get_json_object(body, "$.constructor_0[0]"), body)
+
+
+def content_facts(primary: DataFrame, backup: DataFrame, facts: dict[str, Column]) -> DataFrame:
+    """``facts`` about the body of each content id, the primary copy first.
+
+    The expressions read ``body`` and are taken where a copy is read, so no body moves.
+    """
+    known = F.struct(*[value.alias(name) for name, value in facts.items()])
+    a = primary.where(F.col("body").isNotNull()).select("cid", known.alias("first_facts"))
+    b = backup.where(F.col("body").isNotNull()).select("cid", known.alias("second_facts"))
     return a.join(b, "cid", "full_outer").select(
-        "cid", F.coalesce("first_body", "second_body").alias("body")
+        "cid", F.coalesce("first_facts", "second_facts").alias("facts")
     )
 
 
@@ -32,7 +41,7 @@ def content_id(link: Column) -> Column:
 
 
 def resolve(rows: DataFrame, key: str, links: dict[str, Column], content: DataFrame) -> DataFrame:
-    """Attach the body behind each link as a column; null where there is no such content.
+    """Attach the facts about the body behind each link as a column; null where there is no such content.
 
     Links are melted to one row each, so all of them share one join, which moves
     only keys on the registry side, and one regrouping by ``key``.
@@ -41,11 +50,11 @@ def resolve(rows: DataFrame, key: str, links: dict[str, Column], content: DataFr
         *[F.struct(F.lit(out).alias("part"), content_id(link).alias("cid")) for out, link in links.items()]
     )
     asked = rows.select(key, F.inline(parts)).where(F.col("cid").isNotNull())
-    found = spread_lookup(asked, content.select("cid", "body"), "cid", F.col(key))
+    found = spread_lookup(asked, content.select("cid", "facts"), "cid", F.col(key))
     wide = (
-        found.where(F.col("body").isNotNull())
+        found.where(F.col("facts").isNotNull())
         .groupBy(key)
-        .agg(*[F.any_value(F.when(F.col("part") == out, F.col("body")), True).alias(out) for out in links])
+        .agg(*[F.any_value(F.when(F.col("part") == out, F.col("facts")), True).alias(out) for out in links])
     )
     return rows.join(wide, key, "left")
 
@@ -70,5 +79,5 @@ def personalization(registry: DataFrame, content: DataFrame) -> DataFrame:
             "nsfw": F.when(F.col("valid"), F.col("nsfw")).otherwise("true"),
         }
     )
-    links = {f"{part}_body": F.col(part) for part in ("portal", "designer", "socials")}
+    links = {f"{part}_facts": F.col(part) for part in ("portal", "designer", "socials")}
     return resolve(rows, "name", links, content).drop("valid", "portal", "designer", "socials")

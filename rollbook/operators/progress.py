@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.operators.skew import CHUNK_ROWS, running
+from rollbook.operators.skew import CHUNK_ROWS, running, with_chunks
 
 CAUGHT_UP_SLOTS = 120
 
@@ -18,7 +18,7 @@ CURRENT = "current"
 
 def late_blocks(ledger: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
     """Rows whose slot is below the slot of the row that arrived just before."""
-    rows = ledger.select("seq", "slot").withColumn("chunk", 1 + F.floor(F.col("seq") / width))
+    rows = with_chunks(ledger.select("seq", "slot"), "seq", width)
     seen = running(rows, [], ["seq"], {"previous": ("last", F.col("slot"))}, exclusive=True)
     return seen.agg(
         F.count(F.lit(1)).alias("blocks"),

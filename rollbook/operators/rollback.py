@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.operators.skew import CHUNK_ROWS, running
+from rollbook.operators.skew import CHUNK_ROWS, running, with_chunks
 
 TWELVE_HOURS = 43200  # slots
 
@@ -22,9 +22,7 @@ def canonical(ledger: DataFrame, controls: DataFrame, width: int = CHUNK_ROWS) -
         F.col("bseq").alias("seq"), F.col("bslot").alias("limit"), F.lit(1).alias("is_mark")
     )
     rows = ledger.withColumns({"limit": F.lit(None).cast("long"), "is_mark": F.lit(0)})
-    both = rows.unionByName(marks, allowMissingColumns=True).withColumn(
-        "chunk", 1 + F.floor(F.col("seq") / width)
-    )
+    both = with_chunks(rows.unionByName(marks, allowMissingColumns=True), "seq", width)
     # descending (seq, is_mark): a mark comes before the row of the same arrival
     scanned = running(
         both, [], ["seq", "is_mark"], {"allowed": ("min", F.col("limit"))}, descending=True

@@ -7,10 +7,12 @@ every broadcast in this module.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HOT = 65536
+MAX_CHUNKS = 4096
 CHUNK_ROWS = 1 << 20
 SPREAD = 1024
 
@@ -37,6 +39,22 @@ def split_hot(
     return cold_rows, df.join(hot, key, "left_semi").withColumn("chunk", chunk)
 
 
+def with_chunks(df: DataFrame, column: str, width: int) -> DataFrame:
+    """Add ``chunk``, which follows ``column`` and holds about ``width`` rows each, however sparse its values are.
+
+    There are at most 4096 chunks; their edges are quantiles, found in one scan.
+    """
+    count = min(MAX_CHUNKS, -(-df.count() // width))
+    shares = [i / count for i in range(1, count)]
+    edges = sorted(set(df.approxQuantile(column, shares, 1 / (4 * count)))) if shares else []
+    if not edges:
+        return df.withColumn("chunk", F.lit(0).cast("long"))
+    found = Bucketizer(
+        splits=[float("-inf"), *edges, float("inf")], inputCol="chunk_at", outputCol="chunk_found"
+    ).transform(df.withColumn("chunk_at", F.col(column).cast("double")))
+    return found.withColumn("chunk", F.col("chunk_found").cast("long")).drop("chunk_at", "chunk_found")
+
+
 Specs = dict[str, tuple[str, Column]]  # output column -> (max, min, sum or last; value)
 
 
@@ -133,14 +151,18 @@ def spread_lookup(
 ) -> DataFrame:
     """Left join to ``right``, which is unique on ``key``, balanced under hot keys.
 
-    Hot keys come from ``weight`` (a column of ``right`` with the number of left
-    rows behind each key) or are counted. Their rows meet their match by broadcast
-    of fewer than 65536 rows of ``right`` and pass the shuffle join under
-    harmless spread keys.
+    Hot keys are counted in ``left``, or come from ``weight``, a column of ``right``
+    with the number of left rows behind each key (then every key of ``left`` is in
+    ``right``). Their rows get their match, or nulls where there is none, by broadcast
+    of fewer than 65536 keys with their payload, and pass the shuffle join under
+    harmless spread keys. So do rows without a key, which match nothing. ``right``
+    should hold what is asked, not whole documents: its hot rows are broadcast.
     """
     payload = [c for c in right.columns if c not in (key, weight)]
     if weight is None:
-        heavy = right.join(F.broadcast(hot_keys(left, key, SPREAD).select(key)), key, "left_semi")
+        hot = F.broadcast(hot_keys(left.where(F.col(key).isNotNull()), key, SPREAD).select(key))
+        found = right.join(hot, key, "left_semi")
+        heavy = hot.join(found, key, "left")
     else:
         heavy = right.where(
             (F.col(weight) > SPREAD) & (F.col(weight) * MAX_HOT > right.agg(F.sum(weight)).scalar())
@@ -152,8 +174,9 @@ def spread_lookup(
     spread_key = F.concat(
         F.lit("\u0000hot"), F.pmod(F.xxhash64(spread_by), F.lit(SPREAD)).cast("string")
     )
+    apart = F.col("hot_key").isNotNull() | F.col(key).isNull()
     marked = left.join(F.broadcast(heavy), F.col(key) == F.col("hot_key"), "left").withColumn(
-        "spread_key", F.when(F.col("hot_key").isNotNull(), spread_key).otherwise(F.col(key))
+        "spread_key", F.when(apart, spread_key).otherwise(F.col(key))
     )
     return marked.join(other, F.col("spread_key") == F.col("lookup_key"), "left").select(
         *left.columns, *[F.coalesce(F.col(f"hot_{c}"), F.col(c)).alias(c) for c in payload]

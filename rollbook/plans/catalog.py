@@ -201,8 +201,8 @@ doc as (select md5(cast(doc_id as string)) as cid, text as body from documents
   where doc_id % 3 <> 0 or doc_id % 5 <> 0)"""
 
 
-def _digest(column: str, alias: str):
-    return [F.md5(column).alias(f"{alias}_md5"), F.length(column).alias(f"{alias}_chars")]
+def _facts():
+    return {"md5": F.md5("body"), "chars": F.length("body")}
 
 
 @query(
@@ -217,14 +217,11 @@ from reg left join doc p on portal_link = concat('ipfs://', p.cid)
     ),
 )
 def enrich_content(spark, sf):
-    content = enrich.content_table(*X.content(spark, sf))
+    content = enrich.content_facts(*X.content(spark, sf), _facts())
     rows = X.registry(spark, sf).select("name", "portal_link", "designer_link", "socials_link")
-    links = {f"{part}_body": F.col(f"{part}_link") for part in ("portal", "designer", "socials")}
-    rows = enrich.resolve(rows, "name", links, content)
-    return rows.select(
-        "name", *_digest("portal_body", "portal"), *_digest("designer_body", "designer"),
-        *_digest("socials_body", "socials"),
-    )
+    parts = ("portal", "designer", "socials")
+    rows = enrich.resolve(rows, "name", {part: F.col(f"{part}_link") for part in parts}, content)
+    return rows.select("name", *[F.col(f"{p}.{fact}").alias(f"{p}_{fact}") for p in parts for fact in ("md5", "chars")])
 
 
 @query(
@@ -243,15 +240,15 @@ from a left join doc p on portal = concat('ipfs://', p.cid) left join doc d on d
     ),
 )
 def p_personalization(spark, sf):
-    content = enrich.content_table(*X.content(spark, sf))
+    content = enrich.content_facts(*X.content(spark, sf), _facts())
     rows = enrich.personalization(X.registry(spark, sf), content)
     return rows.select(
         "name",
         "validated_by",
         "trial",
         "nsfw",
-        F.md5("portal_body").alias("portal_md5"),
-        F.md5("designer_body").alias("designer_md5"),
+        F.col("portal_facts.md5").alias("portal_md5"),
+        F.col("designer_facts.md5").alias("designer_md5"),
     )
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import types as T
 
 from rollbook.functions import datum as D
 from rollbook.functions import scalars as S
-from rollbook.operators.skew import CHUNK_ROWS, running
+from rollbook.operators.skew import CHUNK_ROWS, running, with_chunks
 
 ASSETS = T.MapType(T.StringType(), T.LongType())
 OUTPUT = T.StructType(
     [
+        T.StructField("index", T.IntegerType()),
         T.StructField("address", T.StringType()),
         T.StructField("lovelace", T.LongType()),
         T.StructField("value", T.MapType(T.StringType(), ASSETS)),
@@ -32,6 +33,8 @@ BLOCK = T.StructType(
         T.StructField("slot", T.LongType()),
         T.StructField("tx_pos", T.LongType()),
         T.StructField("tx_id", T.StringType()),
+        T.StructField("pieces", T.IntegerType()),
+        T.StructField("piece", T.IntegerType()),
         T.StructField("outputs", T.ArrayType(OUTPUT)),
         T.StructField("mint", T.MapType(T.StringType(), ASSETS)),
         T.StructField("metadata", T.StringType()),
@@ -61,25 +64,28 @@ METADATA = "map<string, map<string, map<string, struct<image string, core struct
 METADATA_LABEL = "721"
 
 
+# What tells transactions apart and orders them, and in how many nested rows one comes.
+TRANSACTION = ("seq", "tx_pos", "slot", "tx_id", "pieces")
+
+
 def mints(blocks: DataFrame) -> DataFrame:
-    per_policy = blocks.select("seq", "tx_pos", "slot", "tx_id", F.explode("mint").alias("policy", "assets"))
-    return per_policy.select(
-        "seq", "tx_pos", "slot", "tx_id", "policy", F.explode("assets").alias("asset", "qty")
-    )
+    """One row per minted asset of a transaction; an asset is in one piece only."""
+    per_policy = blocks.select(*TRANSACTION, F.explode("mint").alias("policy", "assets"))
+    return per_policy.select(*TRANSACTION, "policy", F.explode("assets").alias("asset", "qty"))
 
 
 def outputs(blocks: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """One row per output asset; ``keep`` names block columns to carry along."""
-    per_output = blocks.select(
-        "seq", "tx_pos", "slot", "tx_id", *keep, F.posexplode("outputs").alias("out_pos", "output")
+    """One row per output asset; ``keep`` names block columns to carry along.
+
+    An output's index is its place in the whole transaction, whatever piece it comes in.
+    """
+    per_output = blocks.select(*TRANSACTION, *keep, F.explode("outputs").alias("output")).withColumn(
+        "out_pos", F.col("output.index")
     )
     per_policy = per_output.select("*", F.explode("output.value").alias("policy", "assets"))
     per_asset = per_policy.select("*", F.explode("assets").alias("asset", "qty"))
     return per_asset.select(
-        "seq",
-        "tx_pos",
-        "slot",
-        "tx_id",
+        *TRANSACTION,
         "out_pos",
         F.concat_ws("#", "tx_id", "out_pos").alias("utxo"),
         "policy",
@@ -154,20 +160,41 @@ def burns(blocks: DataFrame, policies: Sequence[str]) -> DataFrame:
     return rows.where((F.col("qty") == -1) & (label.isNull() | label.isin("222", "000")))
 
 
+def numbered_in_transaction(rows: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
+    """Number the rows of each transaction from 1 as ``tx_order``: burns by asset, then outputs by index.
+
+    A transaction in one piece is small, so a window numbers it; the rows of one in
+    several pieces are numbered in chunks of output indexes.
+    """
+    order = ["phase", "out_pos", "asset"]
+    keys = ["seq", "tx_pos", "tx_id"]
+    whole = rows.where(F.col("pieces") == 1).withColumn(
+        "tx_order", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    )
+    chunk = F.when(F.col("phase") == 0, 0).otherwise(1 + F.floor(F.col("out_pos") / width)).cast("long")
+    cut = running(
+        rows.where(F.col("pieces") > 1).withColumn("chunk", chunk),
+        keys,
+        order,
+        {"earlier": ("sum", F.lit(1))},
+        exclusive=True,
+    )
+    cut = cut.withColumn("tx_order", (F.col("earlier") + 1).cast("int")).drop("chunk", "earlier")
+    return whole.unionByName(cut)
+
+
 def ordered_events(blocks: DataFrame, policies: Sequence[str]) -> DataFrame:
     """Burns first, then outputs in index order, numbered within the transaction.
 
-    A transaction is one nested row, so its window is small; blocks and
-    transactions order by ``(seq, tx_pos)``.
+    Blocks and transactions order by ``(seq, tx_pos)``.
     """
     burned = burns(blocks, policies).select(
-        "seq", "tx_pos", "slot", "tx_id", F.lit(0).alias("phase"), F.lit(0).alias("out_pos"), "asset"
+        *TRANSACTION, F.lit(0).alias("phase"), F.lit(0).alias("out_pos"), "asset"
     )
     sent = named(allowed(outputs(blocks), policies)).select(
-        "seq", "tx_pos", "slot", "tx_id", F.lit(1).alias("phase"), "out_pos", "asset"
+        *TRANSACTION, F.lit(1).alias("phase"), "out_pos", "asset"
     )
-    in_tx = Window.partitionBy("seq", "tx_pos", "tx_id").orderBy("phase", "out_pos", "asset")
-    return burned.unionByName(sent).withColumn("tx_order", F.row_number().over(in_tx))
+    return numbered_in_transaction(burned.unionByName(sent))
 
 
 def arrivals(rows: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
@@ -177,10 +204,8 @@ def arrivals(rows: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
     each transaction its first number. Nothing is sorted as a whole.
     """
     sizes = rows.groupBy("seq", "tx_pos").agg(F.count(F.lit(1)).alias("size"))
-    part = F.least(F.floor(F.col("tx_pos") / width), F.lit((1 << 20) - 1))
-    chunk = (1 + F.floor(F.col("seq") / width)) * (1 << 20) + part
     placed = running(
-        sizes.withColumn("chunk", chunk),
+        with_chunks(sizes, "seq", width),
         [],
         ["seq", "tx_pos"],
         {"earlier": ("sum", F.col("size"))},
@@ -197,12 +222,11 @@ def ledger_rows(blocks: DataFrame, policies: Sequence[str], width: int = CHUNK_R
     is an asset datum (its address comes from there); else the fold rejects the row.
     """
     burned = burns(blocks, policies).select(
-        "seq", "tx_pos", "slot", "tx_id", F.lit(0).alias("phase"), F.lit(0).alias("out_pos"), "asset"
+        *TRANSACTION, F.lit(0).alias("phase"), F.lit(0).alias("out_pos"), "asset"
     )
     sent = scanned_events(blocks, policies).withColumn("phase", F.lit(1))
     both = sent.unionByName(burned, allowMissingColumns=True)
-    in_tx = Window.partitionBy("seq", "tx_pos", "tx_id").orderBy("phase", "out_pos", "asset")
-    both = arrivals(both.withColumn("tx_order", F.row_number().over(in_tx)), width)
+    both = arrivals(numbered_in_transaction(both), width)
     route = kind_of(F.col("asset"))
     kind = (
         F.when(F.col("phase") == 0, "burn")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import scalars as S
-from rollbook.operators.skew import hot_keys
+from rollbook.operators.skew import hot_keys, running
 from rollbook.session import read_table, stored
 
 # ---------------------------------------------------------------- C: catalog
@@ -229,46 +229,53 @@ DATUM_SQL = """case
 
 LANGUAGE_SQL = "case when l_partkey % 6 = 0 then 'plutus:v2' else null end"
 
-MAX_LINES = 1000
+#: Lines that a nested row is meant for; a longer transaction comes in pieces.
+PIECE_LINES = 1000
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat output rows with the block they belong to.
+    """Flat output rows with the transaction they belong to and their index in it.
 
-    An order is one transaction. An order with more than ``MAX_LINES`` lines is
-    cut into several, so that a nested row stays small whatever the data: orders
-    above 1/65536 of all lines before the shuffle, other long ones after it.
+    An order is one transaction. A long one comes in pieces, so that a nested row stays
+    small whatever the data. Lines are numbered over the whole transaction first, and
+    pieces are cut by asset, so identity, order, mint and metadata of a transaction do
+    not depend on whether it is cut. Orders above 1/65536 of all lines are numbered in
+    chunks of their line numbers.
     """
     line = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_returnflag"
     )
-    hot = hot_keys(line, "l_orderkey", MAX_LINES)
-    position = F.xxhash64("l_linenumber", "l_partkey", "l_suppkey")
-
-    def piece(rows):
-        return F.pmod(position, F.ceil(rows / MAX_LINES).cast("long"))
-
-    cut = line.join(F.broadcast(hot), "l_orderkey", "left").withColumn(
-        "hot_part", F.coalesce(1 + piece(F.col("hot_rows")), F.lit(0).cast("long"))
-    )
-    here = F.count(F.lit(1)).over(Window.partitionBy("l_orderkey", "hot_part"))
-    cut = cut.withColumn("here", here).withColumn(
-        "part", F.when(F.col("hot_part") > 0, F.col("hot_part")).otherwise(piece(F.col("here")))
+    hot = F.broadcast(hot_keys(line, "l_orderkey", PIECE_LINES))
+    cold = line.join(hot, "l_orderkey", "left_anti")
+    long = line.join(hot, "l_orderkey").withColumn("chunk", F.floor(F.col("l_linenumber") / PIECE_LINES))
+    order = ["l_linenumber", "l_partkey", "l_suppkey"]
+    whole = Window.partitionBy("l_orderkey")
+    cold = cold.withColumns(
+        {
+            "out_pos": F.row_number().over(whole.orderBy(*order)) - 1,
+            "order_rows": F.count(F.lit(1)).over(whole),
+        }
     )
-    out = cut.withColumns({k: F.expr(v) for k, v in LINE_SQL.items()})
+    long = running(long, ["l_orderkey"], order, {"out_pos": ("sum", F.lit(1))}, exclusive=True)
+    columns = [*line.columns, F.col("out_pos").cast("int").alias("out_pos")]
+    out = cold.select(*columns, "order_rows").union(long.select(*columns, "hot_rows"))
+    out = out.withColumns({k: F.expr(v) for k, v in LINE_SQL.items()})
     out = out.withColumn("asset", F.expr(ASSET_SQL))
+    pieces = F.ceil(F.col("order_rows") / PIECE_LINES).cast("int")
     return out.withColumns(
         {
             "meta_key": F.expr(META_KEY_SQL),
             "datum": F.expr(DATUM_SQL),
             "language": F.expr(LANGUAGE_SQL),
+            "pieces": pieces,
+            "piece": F.pmod(F.xxhash64("policy", "asset"), pieces).cast("int"),
         }
     )
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The block archive: nested rows as a node hands them out."""
-    return stored(spark, sf_dir, "blocks", build_blocks)
+    return stored(spark, sf_dir, f"blocks{PIECE_LINES}", build_blocks)
 
 
 def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,9 +284,7 @@ def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderkey", F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("o_epoch")
     )
     line = F.struct(
-        "l_linenumber",
-        "l_partkey",
-        "l_suppkey",
+        "out_pos",
         "policy",
         "asset",
         "qty",
@@ -289,7 +294,7 @@ def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "datum",
         "language",
     )
-    tx = lines(spark, sf_dir).groupBy("l_orderkey", "hot_part", "part").agg(
+    tx = lines(spark, sf_dir).groupBy("l_orderkey", "pieces", "piece").agg(
         F.array_sort(F.collect_list(line)).alias("lines")
     )
 
@@ -300,6 +305,7 @@ def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         value = F.create_map(x["policy"], F.create_map(x["asset"], F.lit(1).cast("long")))
         return F.struct(
+            x["out_pos"].alias("index"),
             x["address"].alias("address"),
             x["lovelace"].alias("lovelace"),
             value.alias("value"),
@@ -342,10 +348,9 @@ def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     nested = tx.select(
         "l_orderkey",
-        "part",
-        F.when(F.col("part") == 0, F.md5(F.col("l_orderkey").cast("string")))
-        .otherwise(F.md5(F.concat_ws("-", "l_orderkey", "part")))
-        .alias("tx_id"),
+        "pieces",
+        "piece",
+        F.md5(F.col("l_orderkey").cast("string")).alias("tx_id"),
         F.transform("lines", output).alias("outputs"),
         F.map_from_arrays(policies, F.transform(policies, assets_of)).alias("mint"),
         F.to_json(
@@ -356,8 +361,10 @@ def build_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("seq"),
         F.floor(F.col("o_epoch") / 86400).cast("long").alias("day"),
         (F.floor(F.col("o_epoch") / 86400) * 86400).cast("long").alias("slot"),
-        F.col("part").alias("tx_pos"),
+        F.lit(0).cast("long").alias("tx_pos"),
         "tx_id",
+        "pieces",
+        "piece",
         "outputs",
         "mint",
         "metadata",
