@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators import fold, holders, progress, rollback
@@ -345,7 +346,7 @@ _L_ROLLUP = """select holder, count(*) as total_handles, arg_min(name, key) as d
  from s where n_holder <> '') group by holder"""
 
 
-def _held(state):
+def held(state):
     return state.where(F.col("holder") != "").select(
         "name",
         "holder",
@@ -362,15 +363,13 @@ def st_holder_move(spark, sf):
     """Rollup after the second half of the ledger, recomputed for touched holders only."""
     rows = _folded(spark, sf)
     half = rows.where(F.col("seq") <= X.ledger(spark, sf).agg(F.max("seq") / 2).scalar())
-    before, after = _held(fold.current_state(half)), _held(fold.current_state(rows))
+    before, after = held(fold.current_state(half)), held(fold.current_state(rows))
     changed = holders.touched_holders(before, after)
     rollup = holders.refreshed_rollup(holders.holder_rollup(before), after, changed)
     return rollup.select("holder", "total_handles", "default_handle")
 
 
-@query(
-    "a_manual_default",
-    fold_sql(
+MANUAL_DEFAULT = (
         f""", roll as ({_L_ROLLUP}),
 d as (select n_holder as holder, max(seq) as dseq, arg_max(name, seq) as dname from a
   where kind = 'reference' and accepted and is_default and n_holder <> '' group by 1)
@@ -378,15 +377,20 @@ select roll.holder, total_handles, s.name is not null as manually_set,
  coalesce(s.name, default_handle) as default_handle
 from roll left join d on d.holder = roll.holder
  left join s on s.name = d.dname and s.last_saved_seq = d.dseq and s.n_holder = d.holder"""
-    ),
 )
-def a_manual_default(spark, sf):
-    rows = _folded(spark, sf)
-    held = _held(fold.current_state(rows))
-    events = rows.where(
+
+
+def default_events(rows: DataFrame) -> DataFrame:
+    """Accepted events that ask for their asset to be the holder's default."""
+    return rows.where(
         (F.col("kind") == "reference") & F.col("accepted") & F.col("is_default") & (F.col("new_holder") != "")
     ).select(F.col("new_holder").alias("holder"), "name", "seq")
-    return holders.manual_defaults(held, events)
+
+
+@query("a_manual_default", fold_sql(MANUAL_DEFAULT))
+def a_manual_default(spark, sf):
+    rows = _folded(spark, sf)
+    return holders.manual_defaults(held(fold.current_state(rows)), default_events(rows))
 
 
 # ------------------------------------------------------------------ change log and rollback
@@ -404,7 +408,7 @@ _LOG_COLS = (
 _CHANGED = "concat_ws(',', " + ", ".join(
     f"case when o_{c} is distinct from n_{c} then '{f}' end" for f, c in _LOG_COLS
 ) + ")"
-_LOG_CTE = f""", h as (select case when accepted then slot else n_updated end as slot, seq, name,
+LOG_CTE = f""", h as (select case when accepted then slot else n_updated end as slot, seq, name,
  {_CHANGED} as changed, o_life, o_amount, o_updated, o_utxo, o_holder, n_life, n_amount, n_updated, n_utxo, n_holder
  from a where {_CHANGED} <> '')"""
 
@@ -413,7 +417,7 @@ def _log(spark, sf):
     return fold.change_log(_annotated(spark, sf))
 
 
-def _flat_log(log):
+def flat_log(log):
     side = lambda s: [F.col(f"{s}.{f}").alias(f"{s}_{f}") for f in ("amount", "updated", "utxo", "holder")]
     return log.select(
         "slot",
@@ -427,17 +431,17 @@ def _flat_log(log):
     )
 
 
-_FLAT_LOG = """select slot, seq, name, changed, o_life is null as is_create, n_life is null as is_remove,
+FLAT_LOG = """select slot, seq, name, changed, o_life is null as is_create, n_life is null as is_remove,
  o_amount as old_amount, o_updated as old_updated, o_utxo as old_utxo, o_holder as old_holder,
  n_amount as new_amount, n_updated as new_updated, n_utxo as new_utxo, n_holder as new_holder from h"""
 
 
-@query("st_change_log", fold_sql(f"{_LOG_CTE} {_FLAT_LOG}"))
+@query("st_change_log", fold_sql(f"{LOG_CTE} {FLAT_LOG}"))
 def st_change_log(spark, sf):
-    return _flat_log(_log(spark, sf))
+    return flat_log(_log(spark, sf))
 
 
-@query("k_diff", fold_sql(f"{_LOG_CTE} select seq, name, changed from h where o_life is not null and n_life is not null"))
+@query("k_diff", fold_sql(f"{LOG_CTE} select seq, name, changed from h where o_life is not null and n_life is not null"))
 def k_diff(spark, sf):
     both = _log(spark, sf).where(F.col("old").isNotNull() & F.col("new").isNotNull())
     return both.select("seq", "name", F.array_join("changed", ",").alias("changed"))
@@ -445,16 +449,16 @@ def k_diff(spark, sf):
 
 @query(
     "st_history_retention",
-    fold_sql(f"{_LOG_CTE} {_FLAT_LOG} where slot >= (select max(slot) - {rollback.TWELVE_HOURS} from h)"),
+    fold_sql(f"{LOG_CTE} {FLAT_LOG} where slot >= (select max(slot) - {rollback.TWELVE_HOURS} from h)"),
 )
 def st_history_retention(spark, sf):
-    return _flat_log(rollback.retained(fold.change_log(_folded(spark, sf))))
+    return flat_log(rollback.retained(fold.change_log(_folded(spark, sf))))
 
 
 @query(
     "st_rewind",
     fold_sql(
-        f"""{_LOG_CTE}, t as (select max(slot) - {rollback.TWELVE_HOURS} as target from h),
+        f"""{LOG_CTE}, t as (select max(slot) - {rollback.TWELVE_HOURS} as target from h),
 u as (select name, o_life, o_amount, o_updated, o_utxo, o_holder, row_number() over (partition by name order by slot, seq) as rn
  from h where slot > (select target from t)),
 x as (select coalesce(s.name, u.name) as name, u.name is null as untouched, s.name is not null as has_now,

@@ -6,12 +6,16 @@ or driver overwrites exactly what it wrote before:
 
 * ``ledger`` and ``controls``: the append-only input as it arrived;
 * ``delta``: new states of the assets a batch touched (nulls where one is gone);
+* ``undone``: the assets a batch folded again, which voids their earlier history;
 * ``history``: the change log;
-* ``compact``: all deltas up to some batch in one table.
-
-A batch folds its rows from the states of the assets it touches. Control rows
-(rollbacks) cannot un-emit what was published, so the assets with cancelled
-rows are folded again from the canonical ledger.
+* ``quarantine`` and ``metrics``: rows that were set aside, and a row for the batch;
+* ``compact`` and ``kept``: all deltas, and the retained history, up to some batch.
+
+A batch folds its rows from the states of the assets it touches. Two kinds of rows
+cannot simply be added: control rows (rollbacks), as they cannot un-emit what was
+published, and rows that arrive after a later row (a greater ``seq``) of their asset.
+The assets they hit are folded again from the canonical ledger. So the result does not
+depend on how the source cuts its input into batches, nor on the order of files.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rollbook.operators import fold, rollback
+from rollbook.operators import fold, progress, rollback
 from rollbook.operators.skew import CHUNK_ROWS, spread_filter
 from rollbook.sources import snapshots
 
@@ -36,21 +40,29 @@ ROLLBACK = "rollback"  # kind of a control row; its slot is the point to go back
 Processor = Callable[[DataFrame, int], None]
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """Ordered source of JSON files; on a cluster the same shape comes from a Kafka topic."""
-    return (
-        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
-    )
+def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Source of JSON files, all that are there in one batch unless ``files_per_trigger`` cuts them
+    into several; on a cluster the same shape comes from a Kafka topic."""
+    reader = spark.readStream.schema(schema)
+    if files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    return reader.json(path)
 
 
 def run_available(
     stream: DataFrame, processors: Sequence[Processor], checkpoint: str
 ) -> StreamingQuery:
-    """Hand every batch to every processor, in order, until the input is used up."""
+    """Hand every batch to every processor, in order, until the input is used up.
+
+    The batch is read from the source once: the processors get its stored rows.
+    """
 
     def each(batch: DataFrame, batch_id: int) -> None:
+        path = f"{checkpoint.rstrip('/')}-batches/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        rows = batch.sparkSession.read.schema(batch.schema).parquet(path)
         for process in processors:
-            process(batch, batch_id)
+            process(rows, batch_id)
 
     query = (
         stream.writeStream.foreachBatch(each)
@@ -62,8 +74,15 @@ def run_available(
     return query
 
 
+_SIDE = ", ".join(f.replace(" ", ": ", 1) for f in fold.state_sql("").split(", "))
+
+
 class RegistryStream:
-    STATE_SQL = f"name string, {fold.state_sql('')}, last_saved_seq long"
+    STATE_SQL = f"name string, {fold.state_sql('')}, last_saved_seq long, last_seq long"
+    LOG_SQL = f"slot long, seq long, name string, old struct<{_SIDE}>, new struct<{_SIDE}>, changed array<string>"
+    METRICS_SQL = (
+        "batch long, events long, first_slot long, last_slot long, current_slot long, current_hash string, tip_hash string"
+    )
 
     def __init__(
         self, spark: SparkSession, base: str, width: int = CHUNK_ROWS, compact_every: int = 50
@@ -87,6 +106,10 @@ class RegistryStream:
             "ledger": LEDGER_SQL,
             "controls": CONTROL_SQL,
             "compactions": "upto long",
+            "undone": "name string",
+            "history": cls.LOG_SQL,
+            "quarantine": f"{LEDGER_SQL}, reason string",
+            "metrics": cls.METRICS_SQL,
         }
 
     def _read(self, table: str, below: int | None = None) -> DataFrame:
@@ -94,16 +117,21 @@ class RegistryStream:
         rows = self.spark.read.schema(f"{schema}, batch_id long").parquet(root)
         return rows if below is None else rows.where(F.col("batch_id") < below)
 
-    def state(self, below: int | None = None) -> DataFrame:
-        """Latest state per asset: newest delta wins. Older deltas are read from the last
-        compaction, so the cost follows the live state and not the length of the stream."""
+    def _compacted(self, below: int | None) -> int | None:
+        """The last batch whose tables were compacted."""
+        return self._read("compactions", below).agg(F.max("upto")).first()[0]
+
+    def state(self, below: int | None = None, names: DataFrame | None = None) -> DataFrame:
+        """Latest state per asset, of all or of ``names`` only: newest delta wins. Older deltas are read
+        from the last compaction, so the cost follows the live state and not the length of the stream."""
         delta = self._read("delta", below)
-        marks = self._read("compactions", below)
-        done = marks.agg(F.max("upto")).first()[0]
+        done = self._compacted(below)
         if done is not None:
             full = self.spark.read.schema(self.STATE_SQL).parquet(f"{self.base}/compact/upto={done}")
             recent = delta.where(F.col("batch_id") > done)
             delta = recent.unionByName(full.withColumn("batch_id", F.lit(done).cast("long")))
+        if names is not None:
+            delta = delta.join(names, "name", "left_semi")
         fields = [c for c in delta.columns if c not in ("name", "batch_id")]
         last = delta.groupBy("name").agg(F.max_by(F.struct(*fields), "batch_id").alias("s"))
         return last.select("name", "s.*")
@@ -111,16 +139,31 @@ class RegistryStream:
     def registry(self) -> DataFrame:
         return self.state().where(F.col("life").isNotNull())
 
+    def history(self, below: int | None = None) -> DataFrame:
+        """The change log within the undo window: of each asset what was logged since it was last folded again."""
+        log, undone = self._read("history", below), self._read("undone", below)
+        done = self._compacted(below)
+        if done is not None:
+            kept = self.spark.read.schema(self.LOG_SQL).parquet(f"{self.base}/kept/upto={done}")
+            recent = log.where(F.col("batch_id") > done)
+            log = recent.unionByName(kept.withColumn("batch_id", F.lit(done).cast("long")))
+            undone = undone.where(F.col("batch_id") > done)
+        void = undone.groupBy("name").agg(F.max("batch_id").alias("void_below"))
+        valid = log.join(void, "name", "left").where(
+            F.col("void_below").isNull() | (F.col("batch_id") >= F.col("void_below"))
+        )
+        return rollback.retained(valid.drop("batch_id", "void_below").select("slot", "seq", "name", "old", "new", "changed"))
+
     def compact(self, batch_id: int) -> None:
-        """Fold all deltas up to a batch into one table; the mark is written last."""
+        """Fold all deltas and the history up to a batch into one table each; the mark is written last."""
         self.state(batch_id + 1).write.mode("overwrite").parquet(f"{self.base}/compact/upto={batch_id}")
+        self.history(batch_id + 1).write.mode("overwrite").parquet(f"{self.base}/kept/upto={batch_id}")
         mark = self.spark.createDataFrame([(batch_id,)], "upto long")
         self._write("compactions", mark, batch_id)
 
     def snapshot(self, base: str, slot: int, block_hash: str) -> str:
         """Snapshot of the registry and the retained change log."""
-        history = self.spark.read.parquet(f"{self.base}/history").drop("batch_id")
-        return snapshots.write(self.registry(), rollback.retained(history), base, slot, block_hash)
+        return snapshots.write(self.registry(), self.history(), base, slot, block_hash)
 
     def ledger(self, upto: int) -> DataFrame:
         return self._read("ledger", upto + 1).drop("batch_id")
@@ -135,39 +178,60 @@ class RegistryStream:
         marks = batch.where(is_mark).select(F.col("seq").alias("bseq"), F.col("slot").alias("bslot"))
         rows = self._write("ledger", batch.where(~is_mark).select(*batch.columns), batch_id)
         new_marks = self._write("controls", marks, batch_id)
-        parts = []
+        known = self._write("known", self.state(batch_id, rows.select("name").distinct()), batch_id)
+        # assets of which this batch has rows from before what was folded already
+        first = rows.groupBy("name").agg(F.min("seq").alias("first_seq"))
+        late = first.join(known, "name").where(F.col("first_seq") < F.col("last_seq")).select("name")
+        ledger, controls = self.ledger(batch_id), self.controls(batch_id)
         lowest = new_marks.agg(F.min("bslot")).first()[0]
         if lowest is not None:
             # rows at or below the lowest point cannot be cancelled: a pushed-down filter
-            ledger, controls = self.ledger(batch_id), self.controls(batch_id)
             recent = ledger.where(F.col("slot") > lowest)
             valid = rollback.canonical(recent, controls, self.width)
             earlier = rollback.canonical(recent, self.controls(batch_id - 1), self.width)
-            hit = earlier.join(valid.select("seq"), "seq", "left_anti").select("name").distinct()
-            hit = self._write("hit", hit, batch_id)
-            mine = spread_filter(ledger, hit, "name", F.col("seq"))
+            cancelled = earlier.join(valid.select("seq"), "seq", "left_anti").select("name")
+            late = late.union(cancelled).distinct()
+        undone = self._write("undone", late, batch_id)
+        rows = rollback.canonical(rows, controls, self.width)
+        logs, parts = [], []
+        if not undone.isEmpty():
+            mine = spread_filter(ledger, undone, "name", F.col("seq"))
             redo = rollback.canonical(mine, controls, self.width)
-            refolded = fold.final_state(fold.annotate(redo, self.width, detail=True))
-            refolded = self._write("redone", refolded, batch_id)
-            gone = hit.join(refolded, "name", "left_anti")
-            nulls = [F.lit(None).cast(t).alias(n) for n, t in self._fields()]
-            parts = [refolded, gone.select("name", *nulls)]
-            rows = rollback.canonical(rows, controls, self.width)
-            rows = spread_filter(rows, hit, "name", F.col("seq"), keep=False)
-        touched = rows.select("name").distinct()
-        start = self.state(below=batch_id).where(F.col("life").isNotNull())
-        start = start.join(touched, "name", "left_semi")
+            redone = self._write("redone", fold.annotate(redo, self.width, detail=True), batch_id)
+            refolded = self._with_last_seq(fold.final_state(redone), mine)
+            # without a canonical row an asset is gone, but its rows were seen
+            gone = undone.join(fold.final_state(redone).select("name"), "name", "left_anti")
+            seen = mine.join(gone, "name", "left_semi").groupBy("name").agg(F.max("seq").alias("last_seq"))
+            nulls = [F.lit(None).cast(t).alias(n) for n, t in self._fields() if n != "last_seq"]
+            parts = [refolded, seen.select("name", *nulls, "last_seq")]
+            logs = [fold.change_log(redone)]
+            rows = spread_filter(rows, undone, "name", F.col("seq"), keep=False)
+        start = known.where(F.col("life").isNotNull()).drop("last_saved_seq", "last_seq")
         annotated = fold.annotate(rows, self.width, detail=True, base=start)
-        # read twice below: stored once instead of folded again
+        # read more than once below: stored once instead of folded again
         folded = self._write("folded", annotated, batch_id)
-        delta = fold.final_state(folded)
+        before = known.select("name", F.col("last_saved_seq").alias("saved_before"))
+        delta = self._with_last_seq(fold.final_state(folded), folded).join(before, "name", "left")
+        delta = delta.withColumn("last_saved_seq", F.greatest("last_saved_seq", "saved_before")).drop("saved_before")
+        log = fold.change_log(folded)
         for part in parts:
             delta = delta.unionByName(part)
+        for part in logs:
+            log = log.unionByName(part)
         self._write("delta", delta, batch_id)
-        self._write("history", fold.change_log(folded), batch_id)
+        self._write("history", log, batch_id)
+        reason = F.when(F.col("op") == fold.REJECT, "no_datum").otherwise("no_asset")
+        aside = folded.where(~F.col("saved")).withColumn("reason", reason)
+        self._write("quarantine", aside.select(*[c.split()[0] for c in LEDGER_SQL.split(", ")], "reason"), batch_id)
+        figures = progress.metrics(self._read("ledger").where(F.col("batch_id") == batch_id), F.lit(batch_id).cast("long"))
+        self._write("metrics", figures, batch_id)
         if (batch_id + 1) % self.compact_every == 0:
             self.compact(batch_id)
 
+    @staticmethod
+    def _with_last_seq(states: DataFrame, rows: DataFrame) -> DataFrame:
+        return states.join(rows.groupBy("name").agg(F.max("seq").alias("last_seq")), "name")
+
     def _fields(self) -> list[tuple[str, str]]:
         return [tuple(f.split()) for f in self.STATE_SQL.split(", ")[1:]]
 
@@ -175,9 +239,10 @@ class RegistryStream:
         return run_available(stream, [self.process, *extra], checkpoint)
 
     def reset(self) -> None:
-        """Back to genesis: every table starts again empty, history included."""
+        """Back to genesis: every table starts again empty, history and compactions included."""
         for table, schema in self._schemas().items():
             empty = self.spark.createDataFrame([], f"{schema}, batch_id long")
             empty.write.mode("overwrite").partitionBy("batch_id").parquet(f"{self.base}/{table}")
-        self.spark.createDataFrame([], "seq long").write.mode("overwrite").parquet(f"{self.base}/history")
+        for table in ("known", "folded", "redone", "compact", "kept"):
+            self.spark.createDataFrame([], "seq long").write.mode("overwrite").parquet(f"{self.base}/{table}")
         self.__init__(self.spark, self.base, self.width, self.compact_every)

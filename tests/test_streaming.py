@@ -42,6 +42,41 @@ def test_batches_with_rollbacks_equal_one_fold(spark, n, width):
     assert {"slot", "name", "old", "new", "changed"} <= set(history.columns)
 
 
+@pytest.mark.parametrize("n, seed", [(3, 9)])
+def test_any_order_of_arrival_gives_one_result(spark, n, seed):
+    rows = random_ledger(200, 6, seed)
+    marks = [(60, 350), (61, 500), (150, 1200), (199, 1900)]
+    ledger = spark.createDataFrame(rows, SCHEMA)
+    control = spark.createDataFrame(marks, "bseq long, bslot long")
+    mixed = ledger.unionByName(
+        control.select(F.col("bseq").alias("seq"), F.col("bslot").alias("slot"), F.lit(ROLLBACK).alias("kind")),
+        allowMissingColumns=True,
+    )
+    stream = RegistryStream(spark, scratch_dir(spark, "registry"), 16, compact_every=3)
+    for i in range(n):
+        stream.process(mixed.where(F.pmod(F.xxhash64("seq", F.lit(seed)), F.lit(n)) == i), i)
+    want = fold.annotate(rollback.canonical(ledger, control), detail=True)
+    assert states(stream.registry()) == states(fold.current_state(want))
+    saved = {r["name"]: r["last_saved_seq"] for r in fold.current_state(want).collect()}
+    assert {r["name"]: r["last_saved_seq"] for r in stream.registry().collect()} == saved
+    log = {(r["slot"], r["seq"], r["name"], r["old"], r["new"]) for r in rollback.retained(fold.change_log(want)).collect()}
+    assert {(r["slot"], r["seq"], r["name"], r["old"], r["new"]) for r in stream.history().collect()} == log
+    figures = stream._read("metrics").collect()
+    assert sum(r["events"] for r in figures) == 200 and {r["batch"] for r in figures} == set(range(n))
+
+
+def test_history_after_a_rollback(spark):
+    stream = RegistryStream(spark, scratch_dir(spark, "registry"))
+    event = lambda seq, slot, kind: (seq, "a", slot, kind, "h", f"u{seq}", 1, False, None)
+    batch = [event(0, 10, "mint"), event(1, 20, "transfer"), (1, None, 15, ROLLBACK, *[None] * 5), event(2, 18, "transfer")]
+    for i, row in enumerate(batch):
+        stream.process(spark.createDataFrame([row], SCHEMA), i)
+    assert sorted((r["slot"], r["seq"]) for r in stream.history().collect()) == [(10, 0), (18, 2)]
+    stream.process(spark.createDataFrame([event(3, 30, "reference")], SCHEMA), 4)  # has no datum
+    assert [r["last_saved_seq"] for r in stream.registry().collect()] == [2]
+    assert [(r["seq"], r["reason"]) for r in stream._read("quarantine").collect()] == [(3, "no_datum")]
+
+
 def test_reset_leaves_nothing(spark):
     stream = RegistryStream(spark, scratch_dir(spark, "registry"))
     stream.process(spark.createDataFrame(random_ledger(30, 3, 1), SCHEMA), 0)
