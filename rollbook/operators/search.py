@@ -91,13 +91,17 @@ class PageSpec:
     size: int | str = PAGE_SIZE
     slot: int | None = None
     show_all: bool = False
+    after: str | None = None  # last name of the page before: the next page without an offset
     seed: int = field(default=42)
 
     def __post_init__(self):
         _check(str(self.size).isdigit(), "records_per_page")
         self.size = int(self.size)
+        if not 1 <= self.size <= MAX_PAGE:
+            raise ValueError(f"a page has 1 to {MAX_PAGE} rows")
         _check(self.sort in S.SORTS, "sort")
         _check(self.page is None or self.slot is None, "page_slot")
+        _check(self.after is None or (self.page is None and self.slot is None and self.sort != "random"), "page_slot")
 
     @property
     def offset(self) -> int:
@@ -170,8 +174,21 @@ def skip_first(rows: DataFrame, page: PageSpec) -> DataFrame:
     return rows.where(name > last.agg(F.max(name)).scalar())
 
 
+def from_name(rows: DataFrame, page: PageSpec) -> DataFrame:
+    """Rows that follow the name ``page.after`` in the page's order."""
+    name, last = S.sort_name(F.col("name")), S.sort_name(F.lit(page.after))
+    return rows.where(name < last if page.sort == "desc" else name > last)
+
+
 def paged(rows: DataFrame, page: PageSpec) -> DataFrame:
-    """One page in order, or all rows from the page's start when ``show_all``."""
+    """One page in order, or all rows from the page's start when ``show_all``.
+
+    A page number reads ``offset + size`` rows into the last step; far into a large
+    table use the keyset ``after``, which is a filter.
+    """
+    if page.after is not None:
+        ordered = from_name(rows, page).orderBy(*order_columns(page))
+        return ordered if page.show_all else ordered.limit(page.size)
     if page.slot is not None:
         rows = from_slot(rows, page)
         ordered = rows.orderBy(*order_columns(page))

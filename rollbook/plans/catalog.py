@@ -44,13 +44,14 @@ _search("f_personalized", "image_hash <> standard_image_hash", personalized=True
 _search(
     "f_conjunction",
     "rarity = 'basic' and characters = 'letters,numbers' and length between 8 and 12 "
-    "and contains(name, 'a') is not null and image_hash <> standard_image_hash and asset_type = 'handle'",
+    "and image_hash <> standard_image_hash and asset_type = 'handle'",
     rarity="basic",
     characters="letters,numbers",
     length="8-12",
     personalized=True,
     asset_type="handle",
 )
+_search("f_no_match", "rarity = 'legendary' and length between 8 and 12", rarity="legendary", length="8-12")
 
 
 @query(
@@ -603,6 +604,15 @@ _page(
     "limit 250",
     "updated_slot >= 120009600",
 )
+_page(
+    "s_slot_cursor_desc",
+    Q.PageSpec(slot=120009600, size=250, sort="desc"),
+    "updated_slot desc, by_name",
+    "limit 250",
+    "updated_slot <= 120009600",
+)
+_page("s_keyset", Q.PageSpec(after="h_x"), "by_name", "limit 100", "by_name > 'h!x'")
+_page("s_keyset_desc", Q.PageSpec(after="h_x", sort="desc"), "by_name desc", "limit 100", "by_name < 'h!x'")
 
 
 @query("s_random", reg_sql(f"select name from reg where {LIVE}"))

@@ -76,7 +76,7 @@ def _state(spark, sf):
     return fold.current_state(_annotated(spark, sf))
 
 
-def _folded(spark, sf):
+def folded_ledger(spark, sf):
     """The folded ledger as a table, for queries that read it more than once."""
     return stored(spark, sf, "folded", _annotated)
 
@@ -361,7 +361,7 @@ def held(state):
 @query("st_holder_move", fold_sql(_L_ROLLUP))
 def st_holder_move(spark, sf):
     """Rollup after the second half of the ledger, recomputed for touched holders only."""
-    rows = _folded(spark, sf)
+    rows = folded_ledger(spark, sf)
     half = rows.where(F.col("seq") <= X.ledger(spark, sf).agg(F.max("seq") / 2).scalar())
     before, after = held(fold.current_state(half)), held(fold.current_state(rows))
     changed = holders.touched_holders(before, after)
@@ -389,7 +389,7 @@ def default_events(rows: DataFrame) -> DataFrame:
 
 @query("a_manual_default", fold_sql(MANUAL_DEFAULT))
 def a_manual_default(spark, sf):
-    rows = _folded(spark, sf)
+    rows = folded_ledger(spark, sf)
     return holders.manual_defaults(held(fold.current_state(rows)), default_events(rows))
 
 
@@ -452,7 +452,7 @@ def k_diff(spark, sf):
     fold_sql(f"{LOG_CTE} {FLAT_LOG} where slot >= (select max(slot) - {rollback.TWELVE_HOURS} from h)"),
 )
 def st_history_retention(spark, sf):
-    return flat_log(rollback.retained(fold.change_log(_folded(spark, sf))))
+    return flat_log(rollback.retained(fold.change_log(folded_ledger(spark, sf))))
 
 
 @query(
@@ -472,7 +472,7 @@ from x where untouched or has_now or has_old"""
     ),
 )
 def st_rewind(spark, sf):
-    rows = _folded(spark, sf)
+    rows = folded_ledger(spark, sf)
     log = fold.change_log(rows)
     target = log.agg(F.max("slot") - rollback.TWELVE_HOURS).scalar()
     back = rollback.rewind(fold.current_state(rows), log, target)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.operators import fold, holders, reconcile, rollback, views
 from rollbook.plans.base import query, reg_sql
-from rollbook.plans.ledger_queries import fold_sql
+from rollbook.plans.ledger_queries import FLAT_LOG, LOG_CTE, flat_log, fold_sql
 from rollbook.session import read_table, scratch_dir
 from rollbook.sources import fixtures as X
 from rollbook.sources import snapshots
@@ -90,20 +90,32 @@ select holder, count(*) as total_handles, max(case when pref_a = 1 then name end
 
 @query("snap_restore", reg_sql(_RESTORED))
 def snap_restore(spark, sf):
-    """The newest snapshot has another version, the next one is gone: the fallback is
-    restored and the rollup derived from it."""
+    """The newest snapshot has another version and the next one has lost rows since it was
+    written: the fallback is restored and the rollup derived from it."""
     a, b = X.snapshot_pair(spark, sf)
     base = scratch_dir(spark, "snapshots")
     keep = ("name", "holder", "og_number", "created_slot", "holder_type", "known_owner_name")
     empty = spark.createDataFrame([], "slot long, name string")
     snapshots.write(a.select(*keep), empty, base, slot=100, block_hash="a")
-    snapshots.write(b.select(*keep).limit(1), empty, base, slot=300, block_hash="c", version=47)
-    lost = spark.createDataFrame([(f"{base}/slot=200", 200, "b", 48, True)], snapshots.MANIFEST_SCHEMA)
-    lost.write.mode("append").parquet(f"{base}/manifest")
+    damaged = snapshots.write(b.select(*keep), empty, base, slot=200, block_hash="b")
+    b.where(F.col("asset_id") % 7 != 0).select(*keep).write.mode("overwrite").parquet(f"{damaged}/registry")
+    snapshots.write(b.select(*keep), empty, base, slot=300, block_hash="c", version=47)
     registry, _ = snapshots.restore(spark, base)
     return holders.holder_rollup(registry).select(*ROLLUP_COLUMNS)
 
 
+@query(
+    "snap_history",
+    fold_sql(f"{LOG_CTE} {FLAT_LOG} where slot >= (select max(slot) - {rollback.TWELVE_HOURS} from h)"),
+)
+def snap_history(spark, sf):
+    """The retained change log, written with a snapshot and read back from it."""
+    base = scratch_dir(spark, "snapshots")
+    rows = X.snapshot_pair(spark, sf)[0].select("name", "utxo")
+    snapshots.write(rows, _history(spark, sf), base, slot=100, block_hash="a")
+    return flat_log(snapshots.restore(spark, base)[1])
+
+
 @query("st_reset", fold_sql("select cast(0 as bigint) as assets, (select count(*) from s) as assets_before"))
 def st_reset(spark, sf):
     """A registry stream that ran over the ledger, reset to genesis: nothing is left."""

@@ -1,15 +1,39 @@
-"""Snapshots: a Parquet folder per slot with a one-row manifest written last."""
+"""Snapshots: a Parquet folder per slot with a one-row manifest written last.
+
+The manifest holds a fingerprint of each table (rows and an order-free sum of row
+hashes). A snapshot is restored only if its tables still have it, so missing, cut and
+damaged files alike lead to the fallback.
+"""
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rollbook.functions import scalars as S
 
 SCHEMA_VERSION = 48
 
-MANIFEST_SCHEMA = "path string, slot long, hash string, schema_version int, is_remote boolean"
+MANIFEST_SCHEMA = (
+    "path string, slot long, hash string, schema_version int, is_remote boolean, fingerprint string"
+)
+TABLES = ("registry", "history")
+
+
+def fingerprint(rows: DataFrame) -> str:
+    """Number of rows and the sum of their hashes: one scan, whatever the order of rows and files."""
+    texts = [
+        F.to_json(F.struct(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rows.schema
+    ]
+    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*texts).cast("decimal(38,0)")).alias("h")).first()
+    return f"{found['n']}:{found['h'] or 0}"
+
+
+def stored_fingerprint(spark: SparkSession, path: str) -> str:
+    return ",".join(fingerprint(spark.read.parquet(f"{path}/{table}")) for table in TABLES)
 
 
 def prune(registry: DataFrame, cutoff: int) -> DataFrame:
@@ -41,7 +65,8 @@ def write(
     registry.write.mode("overwrite").parquet(f"{path}/registry")
     history.write.mode("overwrite").parquet(f"{path}/history")
     spark = registry.sparkSession
-    manifest = spark.createDataFrame([(path, slot, block_hash, version, is_remote)], MANIFEST_SCHEMA)
+    line = (path, slot, block_hash, version, is_remote, stored_fingerprint(spark, path))
+    manifest = spark.createDataFrame([line], MANIFEST_SCHEMA)
     manifest.write.mode("append").parquet(f"{base}/manifest")
     return path
 
@@ -71,23 +96,24 @@ def ranked(manifest: DataFrame, group: list[str]) -> DataFrame:
     return usable(manifest).withColumn("attempt", F.row_number().over(order))
 
 
-def candidates(spark: SparkSession, base: str) -> list[str]:
-    """Paths to try, best first. Two at most: the first and one fallback."""
+def candidates(spark: SparkSession, base: str) -> list[tuple[str, str]]:
+    """Paths to try with their fingerprints, best first. Two at most: the first and one fallback."""
     order = (F.col("slot").desc(), F.col("is_remote").desc())
     best = usable(read_manifest(spark, base)).orderBy(*order).limit(2)
-    return [r["path"] for r in best.collect()]
+    return [(r["path"], r["fingerprint"]) for r in best.collect()]
 
 
 def restore(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame] | None:
-    """Registry and history of the best readable snapshot, else ``None`` (start from genesis).
+    """Registry and history of the best sound snapshot, else ``None`` (start from genesis).
 
     Rollups are not stored: they are derived again from the registry.
     """
-    for path in candidates(spark, base):
+    for path, expected in candidates(spark, base):
         try:
-            return spark.read.parquet(f"{path}/registry"), spark.read.parquet(f"{path}/history")
-        except Exception:  # missing or unreadable: take the fallback
-            continue
+            if stored_fingerprint(spark, path) == expected:
+                return tuple(spark.read.parquet(f"{path}/{table}") for table in TABLES)
+        except Exception as broken:  # missing or unreadable files: take the fallback
+            warnings.warn(f"snapshot {path} cannot be read: {type(broken).__name__}", stacklevel=2)
     return None
 
 

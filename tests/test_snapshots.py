@@ -8,7 +8,7 @@ V = snapshots.SCHEMA_VERSION
 
 
 def manifest(spark, rows):
-    return spark.createDataFrame([(f"p{i}", *r) for i, r in enumerate(rows)], snapshots.MANIFEST_SCHEMA)
+    return spark.createDataFrame([(f"p{i}", *r, "0:0,0:0") for i, r in enumerate(rows)], snapshots.MANIFEST_SCHEMA)
 
 
 @pytest.mark.parametrize(
@@ -41,13 +41,32 @@ def test_write_restore_and_fallback(spark):
     snapshots.write(one, none, base, slot=10, block_hash="x")
     snapshots.write(two, none, base, slot=20, block_hash="y")
     assert snapshots.restore(spark, base)[0].count() == 2
-    lost = spark.createDataFrame([(f"{base}/none", 30, "z", V, True)], snapshots.MANIFEST_SCHEMA)
+    lost = spark.createDataFrame([(f"{base}/none", 30, "z", V, True, "0:0,0:0")], snapshots.MANIFEST_SCHEMA)
     lost.write.mode("append").parquet(f"{base}/manifest")
     assert snapshots.restore(spark, base)[0].count() == 2
     lost.write.mode("append").parquet(f"{base}/manifest")
     assert snapshots.restore(spark, base) is None
 
 
+def test_damaged_pages_lead_to_the_fallback(spark):
+    import glob
+    import os
+
+    base = scratch_dir(spark, "t")
+    none = spark.createDataFrame([], "slot long")
+    rows = spark.range(20_000).selectExpr("cast(id as string) as name")
+    snapshots.write(rows.limit(5), none, base, slot=10, block_hash="x")
+    path = snapshots.write(rows, none, base, slot=20, block_hash="y")
+    for file in glob.glob(f"{path}/registry/part-*"):
+        size = os.path.getsize(file)
+        with open(file, "r+b") as page:  # the footer stays whole
+            page.seek(size // 3)
+            page.write(b"\xff" * 200)
+        os.remove(os.path.join(os.path.dirname(file), f".{os.path.basename(file)}.crc"))
+    with pytest.warns(UserWarning):
+        assert snapshots.restore(spark, base)[0].count() == 5
+
+
 def test_resume_after_the_chosen_snapshot(spark):
     ledger = spark.createDataFrame([(s,) for s in range(10)], "slot long")
     rows = manifest(spark, [(6, "l", V, False), (9, "r", V - 1, True)])
