@@ -97,5 +97,7 @@ def manual_defaults(held: DataFrame, events: DataFrame) -> DataFrame:
             "total_handles",
             F.col("picked").isNotNull().alias("manually_set"),
             F.coalesce("picked", "default_handle").alias("default_handle"),
+            "type",
+            "known_owner_name",
         )
     )

@@ -37,7 +37,7 @@ def virtual_of(kind: Column) -> Column:
     return F.when(
         kind == S.TYPE_VIRTUAL_SUB,
         F.struct(
-            (F.col("created_slot") + 31536000).alias("expires_time"),
+            F.col("virtual_expires").alias("expires_time"),
             F.col("mint_open_virtual").alias("public_mint"),
         ),
     )
@@ -47,8 +47,8 @@ def reference_token() -> Column:
     return F.when(
         F.col("datum").isNotNull(),
         F.struct(
-            F.md5(F.concat(F.lit("r"), F.col("asset_id").cast("string"))).alias("tx_id"),
-            (F.col("asset_id") % 3).alias("index"),
+            S.utxo_tx(F.col("reference_utxo")).alias("tx_id"),
+            S.utxo_index(F.col("reference_utxo")).cast("long").alias("index"),
             "lovelace",
             "datum",
             "address",
@@ -59,7 +59,7 @@ def reference_token() -> Column:
 def script() -> Column:
     return F.when(
         F.col("script_cbor").isNotNull(),
-        F.struct(F.lit("plutus_v2").alias("type"), F.col("script_cbor").alias("cbor")),
+        F.struct(F.col("script_type").alias("type"), F.col("script_cbor").alias("cbor")),
     )
 
 
@@ -69,10 +69,10 @@ def settings() -> Column:
         F.struct(F.col("mint_open_nft").alias("public_minting_enabled")).alias("nft"),
         F.struct(F.col("mint_open_virtual").alias("public_minting_enabled")).alias("virtual"),
         F.struct(
-            F.md5(F.concat(F.lit("t"), F.col("asset_id").cast("string"))).alias("tx_id"),
-            (F.col("asset_id") % 2).alias("index"),
+            S.utxo_tx(F.col("settings_utxo")).alias("tx_id"),
+            S.utxo_index(F.col("settings_utxo")).cast("long").alias("index"),
             "lovelace",
-            F.concat(F.lit("[["), F.col("asset_id").cast("string"), F.lit("]]")).alias("datum"),
+            F.col("settings_datum").alias("datum"),
             "address",
         ).alias("utxo"),
     )

@@ -303,25 +303,23 @@ def p_default_in_wallet(spark, sf):
     return holders.with_default(rows, holders.holder_rollup(reg)).drop("stored_default")
 
 
-_HOLDER_VIEW = (
-    "select total_handles, default_handle, false as manually_set, holder as address, known_owner_name, type from hold"
-)
+_HOLDER_VIEW = f"""select total_handles, coalesce(picked, default_handle) as default_handle,
+ picked is not null as manually_set, hold.holder as address, known_owner_name, type from hold
+ left join (select holder, arg_max(name, asset_id) as picked from reg where {X.PICK_SQL} group by holder) p
+ on p.holder = hold.holder"""
 
 
-def _holder_view(rollup: DataFrame) -> DataFrame:
-    return rollup.select(
-        "total_handles",
-        "default_handle",
-        F.lit(False).alias("manually_set"),
-        F.col("holder").alias("address"),
-        "known_owner_name",
-        "type",
+def _holder_view(spark, sf):
+    reg = X.registry(spark, sf)
+    held = reg.withColumn("last_saved_seq", F.col("asset_id"))
+    return holders.manual_defaults(held, X.default_picks(reg)).select(
+        "total_handles", "default_handle", "manually_set", F.col("holder").alias("address"), "known_owner_name", "type"
     )
 
 
 @query("p_holder_view", hold_sql(_HOLDER_VIEW))
 def p_holder_view(spark, sf):
-    return _holder_view(holders.holder_rollup(X.registry(spark, sf)))
+    return _holder_view(spark, sf)
 
 
 @query(
@@ -640,7 +638,7 @@ def s_show_all(spark, sf):
 )
 def s_holders_page(spark, sf):
     order = [F.col("total_handles").desc(), F.col("address")]
-    view = _holder_view(holders.holder_rollup(X.registry(spark, sf)))
+    view = _holder_view(spark, sf)
     return _numbered(view.orderBy(*order).offset(100).limit(100), *order)
 
 

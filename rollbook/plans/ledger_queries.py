@@ -380,6 +380,9 @@ from roll left join d on d.holder = roll.holder
 )
 
 
+DEFAULT_COLUMNS = ("holder", "total_handles", "manually_set", "default_handle")
+
+
 def default_events(rows: DataFrame) -> DataFrame:
     """Accepted events that ask for their asset to be the holder's default."""
     return rows.where(
@@ -390,7 +393,7 @@ def default_events(rows: DataFrame) -> DataFrame:
 @query("a_manual_default", fold_sql(MANUAL_DEFAULT))
 def a_manual_default(spark, sf):
     rows = folded_ledger(spark, sf)
-    return holders.manual_defaults(held(fold.current_state(rows)), default_events(rows))
+    return holders.manual_defaults(held(fold.current_state(rows)), default_events(rows)).select(*DEFAULT_COLUMNS)
 
 
 # ------------------------------------------------------------------ change log and rollback

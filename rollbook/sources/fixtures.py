@@ -105,6 +105,9 @@ def catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.select(*[F.expr(sql).alias(name) for name, sql in CATALOG_SQL.items()])
 
 
+PICK_SQL = "asset_id % 23 = 0"
+
+
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The registry table, dealt to files by ranges of names and sorted in them: a name lookup
     skips all files but one by their statistics."""
@@ -133,10 +136,25 @@ def build_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
             "sub_numeric_modifiers": F.when(sub.isNotNull(), S.numeric_modifiers(sub)),
             "asset_type": S.asset_type(name, F.col("sub_kind")),
             "has_datum": F.col("datum").isNotNull(),
+            # what the fold stores next to an asset: tokens, scripts, settings
+            "reference_utxo": F.concat_ws(
+                "#", F.md5(F.concat(F.lit("r"), F.col("asset_id").cast("string"))), F.col("asset_id") % 3
+            ),
+            "script_type": F.when(F.col("script_cbor").isNotNull(), "plutus_v2"),
+            "settings_utxo": F.concat_ws(
+                "#", F.md5(F.concat(F.lit("t"), F.col("asset_id").cast("string"))), F.col("asset_id") % 2
+            ),
+            "settings_datum": F.concat(F.lit("[["), F.col("asset_id").cast("string"), F.lit("]]")),
+            "virtual_expires": F.col("created_slot") + 31536000,
         }
     )
 
 
+def default_picks(registry: DataFrame) -> DataFrame:
+    """Events that asked for their asset to be the holder's default: ``holder, name, seq``."""
+    return registry.where(F.expr(PICK_SQL)).select("holder", "name", F.col("asset_id").alias("seq"))
+
+
 # ---------------------------------------------------------------- L: ledger
 
 
