@@ -250,7 +250,7 @@ def st_route(spark, sf):
     return rows.select("utxo", "asset", B.kind_of(F.col("asset")).alias("kind"))
 
 
-_BLOCK_LEDGER = f"""{BLOCK_CTE},
+BLOCK_LEDGER = f"""{BLOCK_CTE},
 ord as (select l_orderkey, slot, 0 as phase, 0 as out_pos, asset, cast(null as varchar) as utxo,
    cast(null as varchar) as address, cast(null as bigint) as lovelace, cast(null as varchar) as datum,
    false as is_mint, cast(null as varchar) as code from mints where qty = -1 and {ALLOWED}
@@ -275,7 +275,7 @@ l as (select seq, decode(unhex(case when substr(asset, 1, 8) in ('000de140', '00
     fold_sql(
         """select name, n_amount as amount, n_created as created_slot, n_updated as updated_slot, n_utxo as utxo,
  n_holder as holder, n_lovelace as lovelace, n_refseq as reference_seq, n_setseq as settings_seq from s""",
-        ledger=_BLOCK_LEDGER,
+        ledger=BLOCK_LEDGER,
     ),
 )
 def st_block_fold(spark, sf):

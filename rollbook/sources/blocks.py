@@ -215,8 +215,22 @@ def arrivals(rows: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
     return numbered.withColumn("arrival", F.col("earlier") + F.col("tx_order") - 1).drop("earlier")
 
 
-def ledger_rows(blocks: DataFrame, policies: Sequence[str], width: int = CHUNK_ROWS) -> DataFrame:
-    """Blocks to ledger rows, ready to be folded.
+#: Places for the rows of one block in ``block_order``.
+BLOCK_ROWS = 1 << 20
+
+
+def block_order(rows: DataFrame) -> DataFrame:
+    """Order rows by block and place in it, as column ``arrival``, from each block alone.
+
+    Leaves gaps, so it needs no other block: the order of a stream.
+    """
+    return rows.withColumn("arrival", F.col("seq") * BLOCK_ROWS + F.col("tx_order"))
+
+
+def ledger_rows(
+    blocks: DataFrame, policies: Sequence[str], width: int = CHUNK_ROWS, gaps: bool = False
+) -> DataFrame:
+    """Blocks to ledger rows, ready to be folded, numbered without gaps unless ``gaps``.
 
     A reference row keeps its datum if that is JSON at all, a virtual row only if it
     is an asset datum (its address comes from there); else the fold rejects the row.
@@ -226,7 +240,8 @@ def ledger_rows(blocks: DataFrame, policies: Sequence[str], width: int = CHUNK_R
     )
     sent = scanned_events(blocks, policies).withColumn("phase", F.lit(1))
     both = sent.unionByName(burned, allowMissingColumns=True)
-    both = arrivals(numbered_in_transaction(both), width)
+    both = numbered_in_transaction(both)
+    both = block_order(both) if gaps else arrivals(both, width)
     route = kind_of(F.col("asset"))
     kind = (
         F.when(F.col("phase") == 0, "burn")

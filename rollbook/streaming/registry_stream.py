@@ -28,7 +28,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from rollbook.operators import fold, progress, rollback
 from rollbook.operators.skew import CHUNK_ROWS, spread_filter
-from rollbook.sources import snapshots
+from rollbook.sources import blocks, snapshots
 
 LEDGER_SQL = (
     "seq long, name string, slot long, kind string, holder string, utxo string, "
@@ -232,11 +232,28 @@ class RegistryStream:
     def _with_last_seq(states: DataFrame, rows: DataFrame) -> DataFrame:
         return states.join(rows.groupBy("name").agg(F.max("seq").alias("last_seq")), "name")
 
+    def process_envelopes(self, policies: Sequence[str]) -> Processor:
+        """A processor of block envelopes: forward ones bring rows, backward ones roll back to their point."""
+
+        def process(envelopes: DataFrame, batch_id: int) -> None:
+            forward = envelopes.where(F.col("direction") == "forward").select("block.*")
+            rows = blocks.ledger_rows(forward, policies, gaps=True)
+            last = F.col("seq") * blocks.BLOCK_ROWS + (blocks.BLOCK_ROWS - 1)
+            marks = envelopes.where(F.col("direction") == "backward").select(
+                last.alias("seq"), F.col("point.slot").alias("slot"), F.lit(ROLLBACK).alias("kind")
+            )
+            columns = [c.split()[0] for c in LEDGER_SQL.split(", ")]
+            self.process(rows.unionByName(marks, allowMissingColumns=True).select(*columns), batch_id)
+
+        return process
+
     def _fields(self) -> list[tuple[str, str]]:
         return [tuple(f.split()) for f in self.STATE_SQL.split(", ")[1:]]
 
-    def start(self, stream: DataFrame, checkpoint: str, extra: Sequence[Processor] = ()) -> StreamingQuery:
-        return run_available(stream, [self.process, *extra], checkpoint)
+    def start(
+        self, stream: DataFrame, checkpoint: str, extra: Sequence[Processor] = (), main: Processor | None = None
+    ) -> StreamingQuery:
+        return run_available(stream, [main or self.process, *extra], checkpoint)
 
     def reset(self) -> None:
         """Back to genesis: every table starts again empty, history and compactions included."""
