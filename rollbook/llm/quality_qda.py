@@ -1,7 +1,7 @@
 """Quality classifier: regularised quadratic discriminant over transformed document statistics.
 
 Every text gives a few statistics (lengths, shares of kinds of characters, how much
-repeats). Their logarithms are standardised; each class has a mean and a covariance
+repeats), smoothed with a few words of an average text. Their logarithms are standardised; each class has a mean and a covariance
 shrunk towards its mean variance. A document's score is the posterior of class 1
 from the difference of the two log densities, whose Mahalanobis parts come from
 Cholesky factors computed once. The sums behind means and covariances are taken on
@@ -39,10 +39,25 @@ from rollbook.llm.common import (
 SHRINKAGE = 0.1
 #: Rows whose crc32 of the id leaves this remainder by 3 are held out.
 FOLDS, HELD_OUT = 3, 1
-STATISTICS = (
-    "words word_length words_per_line symbols upper digits stops exclamations distinct_words distinct_lines "
-    "distinct_triples short_words long_words symbols_a_word"
-).split()
+#: Words of an average text that every share is smoothed with, so that a very short text is no outlier.
+SMOOTHING = 10
+#: What that average text is like: what its shares come to (fixed values).
+AVERAGE = {
+    "word_length": 6,
+    "words_per_line": 15,
+    "symbols": 0.001,
+    "upper": 0.02,
+    "digits": 0.003,
+    "stops": 0.15,
+    "exclamations": 0.001,
+    "distinct_words": 1,
+    "distinct_lines": 1,
+    "distinct_triples": 1,
+    "short_words": 0.4,
+    "long_words": 0.1,
+    "symbols_a_word": 0.001,
+}
+STATISTICS = tuple(AVERAGE)
 
 _lines = np.ones(256, dtype=bool)
 _lines[[10, 13]] = False
@@ -69,30 +84,32 @@ def _statistics(column: pa.Array) -> np.ndarray:
     lines, line_bounds, _ = words_of(column, _lines)
     triples, triple_bounds = shingles_of(words, bounds, 3)
     owner = np.repeat(np.arange(len(column)), np.diff(bounds))
-    n_words, n_lines = np.diff(bounds).astype(float), np.diff(line_bounds).astype(float)
+    n_words, n_lines, n_triples = (np.diff(x).astype(float) for x in (bounds, line_bounds, triple_bounds))
     size = np.diff(offsets) - count(_inner)
-    some, per_word = np.maximum(size, 1), np.maximum(n_words, 1)
+    symbols = count(_symbol)
+    letters, few = 6 * SMOOTHING, 2
 
     def words_with(mask: np.ndarray) -> np.ndarray:
-        return np.bincount(owner[mask], minlength=len(column)) / per_word
-
+        return np.bincount(owner[mask], minlength=len(column))
+
+    # what is counted, out of how many, how many of the average text, and what keeps the logarithm from -inf
+    shares = {
+        "word_length": (size, n_words, SMOOTHING, 0),
+        "words_per_line": (n_words, n_lines, few, 1),
+        "symbols": (symbols, size, letters, 1e-3),
+        "upper": (count(_upper), size, letters, 1e-2),
+        "digits": (count(_digit), size, letters, 1e-2),
+        "stops": (count(_stop), n_words, SMOOTHING, 1e-2),
+        "exclamations": (count(_bang), n_words, SMOOTHING, 1e-2),
+        "distinct_words": (distinct_counts(words, bounds), n_words, SMOOTHING, 1e-1),
+        "distinct_lines": (distinct_counts(lines, line_bounds), n_lines, 2 * few, 1e-1),
+        "distinct_triples": (distinct_counts(triples, triple_bounds), n_triples, SMOOTHING, 1e-1),
+        "short_words": (words_with(lengths <= 3), n_words, SMOOTHING, 2e-2),
+        "long_words": (words_with(lengths >= 12), n_words, SMOOTHING, 2e-2),
+        "symbols_a_word": (np.minimum(symbols, 2 * n_words), n_words, SMOOTHING, 1e-2),
+    }
     return np.column_stack(
-        [
-            np.log1p(n_words),
-            np.log1p(size / per_word),
-            np.log1p(n_words / np.maximum(n_lines, 1)),
-            np.log(count(_symbol) / some + 1e-3),
-            np.log(count(_upper) / some + 1e-2),
-            np.log(count(_digit) / some + 1e-2),
-            np.log(count(_stop) / per_word + 1e-2),
-            np.log(count(_bang) / per_word + 1e-2),
-            np.log(distinct_counts(words, bounds) / per_word + 1e-1),
-            np.log(distinct_counts(lines, line_bounds) / np.maximum(n_lines, 1) + 1e-1),
-            np.log(distinct_counts(triples, triple_bounds) / np.maximum(np.diff(triple_bounds), 1) + 1e-1),
-            np.log(words_with(lengths <= 3) + 2e-2),
-            np.log(words_with(lengths >= 12) + 2e-2),
-            np.log(np.minimum(count(_symbol) / per_word, 2) + 1e-2),
-        ]
+        [np.log((part + AVERAGE[s] * k) / (whole + k) + least) for s, (part, whole, k, least) in shares.items()]
     )
 
 
@@ -193,7 +210,7 @@ def train(statistics: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE
         .mapInArrow(partial, "label long, place long, value double")
         .groupBy("label", "place")
         .agg(F.sum("value").alias("value"))
-        .collect()  # 2 x (1 + 14 + 196) sums
+        .collect()  # two rows of sums for each pair of statistics
     )
     total = np.zeros((2, width))
     for r in rows:
