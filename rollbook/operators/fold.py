@@ -182,13 +182,17 @@ def _annotator(fields: tuple[str, ...]):
 # were set, and the change of amount). One that dies in it ends like one that
 # did not exist before (``z_*``): from its death on both see the same events,
 # and the one that started from nothing was not alive at that moment either.
-# Kept as they are: the first owner event of a stretch (it may repeat the incoming
-# output), and late events, unless the asset was certainly alive and up to date
-# (``sure``), in which case a late event can do no more than lower ``created``.
-RUN, BASE = 7, 8
+# Kept as they are: the first certain owner event (it may repeat the incoming output), and
+# late events before it, unless the asset was certainly alive and up to date (``sure``),
+# in which case a late event can do no more than lower ``created``.
+#
+# After the first certain owner event the asset is alive, its output and its last slot are
+# known, and only its amount is open. All that follows, late events too, then is a short
+# table: ranges of the amount at that point, with what becomes of an asset in each.
+RUN, BASE, TABLE = 7, 8, 9
 OPS_SQL = (
     "name string, chunk long, op_no long, op long, slot long, seq long, utxo string, holder string, "
-    f"lovelace long, datum string, low long, {state_sql('p_')}, {state_sql('z_')}"
+    f"lovelace long, datum string, low long, high long, {state_sql('p_')}, {state_sql('z_')}"
 )
 OPS_ARROW = pa.schema(
     [(n, pa.string() if t == "string" else pa.int64()) for n, t in (f.split() for f in OPS_SQL.split(", "))]
@@ -206,14 +210,10 @@ def _probe(first: Event | None) -> State:
 
 
 class _Stretch:
-    """Summary of consecutive certain events, right after the certain owner event ``first`` (if any).
-
-    After such an event the asset is alive, at the least as the event alone leaves it.
-    """
+    """Summary of consecutive certain events before the first certain owner event."""
 
-    def __init__(self, first: Event | None = None):
-        self.probe, self.low, self.used = _probe(first), 0, False
-        self.ghost = None if first is None else advance(None, first)[0]
+    def __init__(self):
+        self.probe, self.low, self.used, self.ghost = _probe(None), 0, False, None
 
     def add(self, event: Event) -> None:
         self.used = True
@@ -229,6 +229,46 @@ class _Stretch:
         return out
 
 
+class _Table:
+    """What becomes of an asset after the certain owner event ``first``, by its amount right after it.
+
+    Assets of different amounts see the same events and differ in the amount until one dies;
+    from then on its fate is known in full. A smaller amount never outlives a greater one,
+    so those that share a fate are a range: ``dead`` holds these ranges in ascending
+    order, and ``probe`` what all greater amounts, from ``low`` on, come to.
+    """
+
+    def __init__(self, first: Event):
+        self.probe, self.low, self.used = _probe(first), 1, False
+        self.dead: list[tuple[int, int, State | None]] = []
+
+    def add(self, event: Event) -> None:
+        self.used = True
+        change = self.probe.amount - IMMORTAL
+        self.probe, _, _ = advance(self.probe, event)
+        if self.dead:
+            self.dead = [(a, b, advance(state, event)[0]) for a, b, state in self.dead]
+        if event.op != BURN:
+            return
+        if self.low + change == 1:
+            self.dead.append((self.low, self.low, None))
+            self.low += 1
+        ranges: list[tuple[int, int, State | None]] = []
+        for a, b, state in self.dead:
+            if ranges and ranges[-1][2] == state:
+                a = ranges.pop()[0]
+            ranges.append((a, b, state))
+        self.dead = ranges
+
+    def rows(self) -> list[dict]:
+        out = []
+        for a, b, state in self.dead:
+            known = {} if state is None else {f"z_{f}": v for f, v in state._asdict().items()}
+            out.append({"op": TABLE, "low": a, "high": b, **known})
+        alive = self.probe._replace(amount=self.probe.amount - IMMORTAL)
+        return [*out, {"op": TABLE, "low": self.low, "high": IMMORTAL, **{f"p_{f}": v for f, v in alive._asdict().items()}}]
+
+
 def _ghost_of(row: dict) -> State | None:
     return None if row["z_life"] is None else State(*(row[f"z_{f}"] for f in State._fields))
 
@@ -236,6 +276,10 @@ def _ghost_of(row: dict) -> State | None:
 def run_stretch(state: State | None, row: dict) -> State | None:
     if state is None or state.amount + row["low"] <= 0:
         return _ghost_of(row)
+    return _survived(state, row)
+
+
+def _survived(state: State, row: dict) -> State:
     set_here = {
         f: row[f"p_{f}"]
         for f in State._fields[4:]
@@ -251,23 +295,32 @@ def run_stretch(state: State | None, row: dict) -> State | None:
 
 def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (name, chunk, seq) with ``before_top``: greatest slot before the chunk."""
-    key, stretch, known, top, rows, count, sure = None, _Stretch(), False, None, [], 0, False
+    key, stretch, table, top, rows, count, sure = None, _Stretch(), None, None, [], 0, False
 
     def emit(row: dict) -> None:
         nonlocal count
         rows.append({"name": key[0], "chunk": key[1], "op_no": count, **row})
         count += 1
 
+    def close() -> None:
+        if stretch.used:
+            emit(stretch.row())
+        if table is not None and table.used:
+            for row in table.rows():
+                emit(row)
+
     for batch in batches:
         tops = batch.column("before_top").to_pylist()
         for i, (here, event) in enumerate(_events(batch)):
             if here != key:
-                if stretch.used:
-                    emit(stretch.row())
-                key, stretch, known, top, count, sure = here, _Stretch(), False, tops[i], 0, False
+                close()
+                key, stretch, table, top, count, sure = here, _Stretch(), None, tops[i], 0, False
                 emit({"op": REJECT, "slot": 0, "seq": 0})  # without effect: every chunk gets a row
             if event.op == REJECT:
                 continue
+            if table is not None:
+                table.add(event)
+                continue
             late = event.op != BURN and top is not None and event.slot < top
             if event.op != BURN:
                 top = event.slot if top is None else max(top, event.slot)
@@ -279,25 +332,26 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sure = False
             elif event.op != SETTINGS:
                 sure = not late
-            if not late and (event.op not in OWNER or known):
+            if not late and event.op not in OWNER:
                 stretch.add(event)
                 continue
             if stretch.used:
                 emit(stretch.row())
             emit(event._asdict())
-            known = not late
-            stretch = _Stretch(event if known else None)
+            stretch = _Stretch()
+            if not late:
+                table = _Table(event)
         if rows:
             yield pa.RecordBatch.from_pylist(rows, OPS_ARROW)
             rows.clear()
-    if stretch.used:
-        emit(stretch.row())
+    close()
+    if rows:
         yield pa.RecordBatch.from_pylist(rows, OPS_ARROW)
 
 
 def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Operations sorted by (name, chunk, op_no) to the incoming state of every chunk."""
-    key, state = None, None
+    key, state, entry = None, None, None
     fields = OPS_ARROW.names
     for batch in batches:
         names, chunks, states = [], [], []
@@ -311,8 +365,14 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names.append(here[0])
                 chunks.append(here[1])
                 states.append(state)
+            if row["op"] != TABLE:
+                entry = None
             if row["op"] == BASE:
                 state = _ghost_of(row)
+            elif row["op"] == TABLE:
+                entry = entry or state  # the asset as it was before the table: its rows don't add up
+                if row["low"] <= entry.amount <= row["high"]:
+                    state = _ghost_of(row) if row["p_amount"] is None else _survived(entry, row)
             elif row["op"] == RUN:
                 state = run_stretch(state, row)
             else:

@@ -22,39 +22,67 @@ def test_annotate_equals_walk_for_any_chunk_width(spark, width, seed):
         assert tuple(r[f"new_{f}"] for f in STATE) == flat(state), r
 
 
+CODES = {"mint": 0, "transfer": 1, "reference": 2, "virtual": 3, "settings": 4, "burn": 5}
+
+
+def chunked(rows, width):
+    """The rows of one asset as the summaries get them, and their chunks."""
+    import pyarrow as pa
+
+    cols = {f: [] for f in ("name", "chunk", "before_top", *fold.Event._fields)}
+    top, tops = None, {}
+    for seq, _, slot, kind, holder, utxo, lovelace, _, datum in rows:
+        op = CODES[kind]
+        if 2 <= op <= 4 and datum is None:
+            op = fold.REJECT
+        chunk = 1 + seq // width
+        tops.setdefault(chunk, top)
+        if op not in (fold.BURN, fold.REJECT):
+            top = slot if top is None else max(top, slot)
+        for c, v in zip(cols, ("n0", chunk, tops[chunk], op, slot, seq, utxo, holder, lovelace, datum)):
+            cols[c].append(v)
+    kinds = {"name": pa.string(), "utxo": pa.string(), "holder": pa.string(), "datum": pa.string()}
+    return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in cols.items()}), sorted(tops)
+
+
+def mixed(rows, seed, burns):
+    """The same rows with another share of burns, mints most of the rest."""
+    rnd = random.Random(seed)
+    kind = lambda: "burn" if rnd.random() < burns else rnd.choice(["mint", "mint", "mint", "transfer", "virtual", "settings"])
+    return [(*r[:3], kind(), *r[4:]) for r in rows]
+
+
 def test_summaries_chain_on_many_ledgers():
     """Summarise and chain without Spark, on many small ledgers with lots of late rows."""
     import pyarrow as pa
 
-    for seed in range(60):
-        rows = random_ledger(60, 1, seed, late=0.5, repeat=0.5)
+    for seed in range(240):
+        rows = random_ledger(60 if seed % 4 else 400, 1, seed, late=(0.5, 0.1, 0.9)[seed % 3], repeat=0.5)
+        if seed % 2:
+            rows = mixed(rows, seed, (0.1, 0.3, 0.45, 0.6)[seed // 2 % 4])
         want = walk(rows)
-        width = 1 + seed % 9
-        cols = {f: [] for f in ("name", "chunk", "before_top", *fold.Event._fields)}
-        codes = {"mint": 0, "transfer": 1, "reference": 2, "virtual": 3, "settings": 4, "burn": 5}
-        top, seen, tops = None, {}, {}
-        for seq, name, slot, kind, holder, utxo, lovelace, _, datum in rows:
-            op = codes[kind]
-            if 2 <= op <= 4 and datum is None:
-                op = fold.REJECT
-            chunk = 1 + seq // width
-            tops.setdefault(chunk, top)
-            if op not in (fold.BURN, fold.REJECT):
-                top = slot if top is None else max(top, slot)
-            for c, v in zip(cols, ("n0", chunk, tops[chunk], op, slot, seq, utxo, holder, lovelace, datum)):
-                cols[c].append(v)
-        kinds = {"name": pa.string(), "utxo": pa.string(), "holder": pa.string(), "datum": pa.string()}
-        table = pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in cols.items()})
+        width = 1 + seed % 9 if seed % 4 else 20 + seed
+        table, chunks = chunked(rows, width)
         # batch borders must not matter
         ops = list(fold._summarise(iter(table.to_batches(max_chunksize=5))))
         states = pa.Table.from_batches(list(fold._chain(iter(ops)))).to_pylist()
-        assert [s["chunk"] for s in states] == sorted(tops)
+        assert [s["chunk"] for s in states] == chunks
         for s in states:
             first = (s["chunk"] - 1) * width
             before = want[first - 1][2] if first else None
             assert tuple(s[f"in_{f}"] for f in STATE) == flat(before), (seed, s)
 
 
+@pytest.mark.parametrize("late", [0.0, 0.09, 0.3])
+@pytest.mark.parametrize("burns", [0.1, 0.25, 0.5])
+def test_a_chunk_reaches_the_chain_as_a_few_rows(late, burns):
+    """However long the chunks are: what one task chains for an asset is bounded by their number."""
+    for width in (1000, 8000):
+        table, chunks = chunked(mixed(random_ledger(16_000, 1, 3, late=late), 4, burns), width)
+        ops = sum(b.num_rows for b in fold._summarise(iter(table.to_batches())))
+        assert ops <= 12 * len(chunks)
+
+
 def test_current_state_and_log(spark):
     rows = random_ledger(400, 6, 5)
     want = walk(rows)
