@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import stored_once
+from rollbook.llm.common import in_batches, stored_once
 
 #: Vectors that the tree is fitted to, and calibration queries: the bounds of both.
 SAMPLE, CALIBRATION = 20_000, 256
@@ -232,7 +232,7 @@ def fit(entries: DataFrame, total: int, k: int, sample: int = SAMPLE, calibratio
             names=["query", "vec_id", "score"],
         )
 
-    true = _best(entries.select("entry", "vec").mapInArrow(nearest, FOUND).filter("query != vec_id"), k)
+    true = _best(entries.select("entry", "vec").transform(in_batches, nearest, FOUND).filter("query != vec_id"), k)
     found = true.join(entries.select(F.col("entry").alias("vec_id"), "vec"), "vec_id").select("query", "vec").collect()
     homes = tree.leaf_of(units_of(np.array([r["vec"] for r in found]))) if found else []
     order = {q: {leaf: n for n, leaf in enumerate(tree.best_first(units_of(v[None])[0]))} for q, v in asked}
@@ -258,7 +258,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
             leaf = pa.array(own.leaf_of(units_of(_matrix(batch.column(2)))) if batch.num_rows else [], pa.int64())
             yield pa.RecordBatch.from_arrays([*batch.columns, leaf], names=["entry", "ids", "vec", "leaf"])
 
-    indexed = entries.mapInArrow(with_leaf, "entry long, ids array<long>, vec array<double>, leaf long")
+    indexed = entries.transform(in_batches, with_leaf, "entry long, ids array<long>, vec array<double>, leaf long")
     indexed = stored_once(spark, indexed, "leaves")
     held = [0] * tree.leaves
     for r in indexed.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # a row a leaf
@@ -295,7 +295,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
                     [*part.columns, pa.array(leaves[at : at + 4096], pa.int64())], names=["query", "vec", "leaf"]
                 )
 
-    visited = searched.select("query", "vec").mapInArrow(visit, "query long, vec array<double>, leaf long")
+    visited = searched.select("query", "vec").transform(in_batches, visit, "query long, vec array<double>, leaf long")
     visited = stored_once(spark, visited, "visits")
     # how many blocks a leaf's entries and its queries are dealt to: a row a leaf
     asking = visited.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("sides"))

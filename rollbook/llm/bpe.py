@@ -18,7 +18,7 @@ from rollbook.llm.common import per_process
 #: The pattern that splits text before the merges (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words and their ids that a worker keeps; past it the cache starts anew.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 
 
 def _class(wanted) -> str:

@@ -23,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.bpe import ByteBpe
-from rollbook.llm.common import BLOCK, per_process, string_bytes, text_of
+from rollbook.llm.common import BLOCK, in_batches, per_process, string_bytes, text_of
 
 #: A cut for one in 512 positions, and no chunk below 128 bytes but the last of a text.
 CUT_BITS, LEAST_CHUNK = 9, 128
 #: Bytes of chunks that a worker keeps; past it the cache starts anew.
-CACHED_BYTES = 48 << 20
+CACHED_BYTES = 16 << 20
 
 _gear = np.random.default_rng(20260101).integers(0, 1 << 32, 256, dtype=np.uint32)
 
@@ -139,4 +139,4 @@ def encode_documents(docs: DataFrame, content: bytes, outputs: tuple[str, ...] =
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", *outputs])
 
     schema = "doc_id long, " + ", ".join(f"{o} {OUTPUTS[o][0]}" for o in outputs)
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(in_batches, run, schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.bpe import ByteBpe
-from rollbook.llm.common import per_process, text_of
+from rollbook.llm.common import in_batches, per_process, text_of
 
 PIECE_TURNS = 1024
 #: Bytes of rendered text that are encoded at once.
@@ -178,7 +178,7 @@ def format_conversations(conversations: DataFrame, content: bytes) -> DataFrame:
     )
     dealt = rows.repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "turn", "role", "text")
     schema = "conv_id long, piece long, part long, n_turns long, formatted string, ids binary, loss_spans array<int>"
-    return dealt.select("conv_id", "piece", "role", "text").mapInArrow(run, schema)
+    return dealt.select("conv_id", "piece", "role", "text").transform(in_batches, run, schema)
 
 
 def read_back(formatted: DataFrame, content: bytes) -> DataFrame:
@@ -225,4 +225,4 @@ def read_back(formatted: DataFrame, content: bytes) -> DataFrame:
 
     dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "piece", "part")
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    return dealt.select("conv_id", "ids", "loss_spans").mapInArrow(run, schema)
+    return dealt.select("conv_id", "ids", "loss_spans").transform(in_batches, run, schema)

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from rollbook.session import scratch_dir
 
 #: Bytes of text whose words are found at once; bounds the arrays that word_runs makes.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
+#: Bytes of rows that travel between Spark and a Python worker at once (or one row, if that is longer).
+BATCH_BYTES = 8 << 20
 U64 = np.uint64
 GOLDEN, MIX_A, MIX_B = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 
@@ -35,6 +37,12 @@ def stored_once(spark: SparkSession, df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_batches(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """``mapInArrow`` with batches bounded in bytes, so that long texts don't fill a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Bijective scrambling of 64-bit values."""
     x = x + GOLDEN

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import PLAIN_WORDS, U64, mix, per_process, shingles_of, text_of, text_slices, words_of
+from rollbook.llm.common import PLAIN_WORDS, U64, in_batches, mix, per_process, shingles_of, text_of, text_slices, words_of
 
 WIDTH, PERCENT = 5, 80
 BITS, BLOCK_BITS, RADIUS = 128, 8, 40
@@ -201,7 +201,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = ITEM_BYTES)
                     names=["doc_id", "item_id", "start_word", "n_windows", "similarity"],
                 )
 
-        hits = docs.mapInArrow(run, HITS)
+        hits = docs.transform(in_batches, run, HITS)
         found = hits if found is None else found.union(hits)
     if found is None:
         return spark.createDataFrame([], HITS)
@@ -223,5 +223,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, limit: int = ITEM_BYTES) -
                     keep[row] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, schema)
+        docs = docs.transform(in_batches, run, schema)
     return docs

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import text_of
+from rollbook.llm.common import in_batches, text_of
 
 #: Pages whose texts fill the labelled pages, and labelled pages: the bounds of training.
 SAMPLE_PAGES, LABELLED_PAGES = 200, 400
@@ -580,4 +580,4 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
             )
 
     own = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), text_of("html").alias("html"))
-    return own.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return own.transform(in_batches, run, "page_id long, url string, text string, n_chars long")

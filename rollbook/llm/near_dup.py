@@ -43,6 +43,7 @@ from rollbook.llm.common import (
     MIX_B,
     SPACED_WORDS,
     U64,
+    in_batches,
     mix,
     shingles_of,
     stored_once,
@@ -125,7 +126,7 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 )
 
     schema = "doc_id long, n_shingles long, sum1 long, sum2 long, bands array<long>, signature binary"
-    return docs.mapInArrow(run, schema)
+    return docs.transform(in_batches, run, schema)
 
 
 #: Equal bytes of two signatures, as a share, below which a pair is not likely.
@@ -150,7 +151,7 @@ def _likely(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
     one = signatures.select(F.col("doc_id").alias("a"), F.col("signature").alias("s"), F.col("n_shingles").alias("m"))
     two = signatures.select(F.col("doc_id").alias("b"), F.col("signature").alias("t"), F.col("n_shingles").alias("n"))
     fits = f"100 * least(m, n) >= {PERCENT} * greatest(m, n)"
-    return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b", "s", "t").transform(in_batches, run, "a long, b long")
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
@@ -174,7 +175,7 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
 
     right = pairs.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("t")), "b")
     both = right.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("s")), "a")
-    return both.select("a", "b", "s", "t").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "s", "t").transform(in_batches, run, "a long, b long")
 
 
 def _open(groups: DataFrame, members: DataFrame) -> DataFrame:
@@ -399,7 +400,7 @@ def _same_text(texts: DataFrame, named: DataFrame, width: int) -> DataFrame:
                 out.append(text)
             yield pa.RecordBatch.from_arrays([ids, pa.array(out, pa.string())], names=["doc_id", "text"])
 
-    return texts.join(named.select("doc_id", "n_shingles", "sum1"), "doc_id").mapInArrow(run, "doc_id long, text string")
+    return texts.join(named.select("doc_id", "n_shingles", "sum1"), "doc_id").transform(in_batches, run, "doc_id long, text string")
 
 
 def keep_one(docs: DataFrame, width: int = 5) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.bpe import ByteBpe
-from rollbook.llm.common import per_process, text_of
+from rollbook.llm.common import in_batches, per_process, text_of
 
 #: Ids in a row, and ids that wait in a pool.
 SEQUENCE, POOL = 2048, 1 << 22
@@ -140,7 +140,7 @@ def pack(docs: DataFrame, content: bytes, sequence: int = SEQUENCE, pool: int =
         "shard int, row long, ids binary, n_tokens int, cu_seqlens array<int>, position_resets array<int>, "
         "doc_ids array<long>, doc_offsets array<long>"
     )
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(in_batches, run, schema)
 
 
 def segments(packed: DataFrame, id_bytes: int = 2) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.llm.bpe import CACHED_WORDS, split_patterns, vocabulary
-from rollbook.llm.common import per_process, text_of
+from rollbook.llm.common import in_batches, per_process, text_of
 
 
 class Automaton:
@@ -107,4 +107,4 @@ def count_pieces(docs: DataFrame, content: bytes) -> DataFrame:
             )
 
     own = docs.select(F.col("doc_id").cast("long"), text_of().alias("text"))
-    return own.mapInArrow(run, "doc_id long, n_words long, n_tokens long")
+    return own.transform(in_batches, run, "doc_id long, n_words long, n_tokens long")

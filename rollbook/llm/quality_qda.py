@@ -28,6 +28,7 @@ from rollbook.llm.common import (
     BLOCK,
     SPACED_WORDS,
     distinct_counts,
+    in_batches,
     shingles_of,
     string_bytes,
     text_of,
@@ -128,7 +129,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
             values = pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "statistics"])
 
-    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(
+        in_batches,
         run, "doc_id long, statistics array<double>"
     )
 
@@ -207,7 +209,7 @@ def train(statistics: DataFrame, labels: DataFrame, shrinkage: float = SHRINKAGE
     rows = (
         statistics.join(marked, "doc_id")
         .select("label", "statistics")
-        .mapInArrow(partial, "label long, place long, value double")
+        .transform(in_batches, partial, "label long, place long, value double")
         .groupBy("label", "place")
         .agg(F.sum("value").alias("value"))
         .collect()  # two rows of sums for each pair of statistics
@@ -230,7 +232,7 @@ def score(statistics: DataFrame, model: Discriminant | None) -> DataFrame:
             rows = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATISTICS))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(model, rows))], names=["doc_id", "score"])
 
-    return statistics.mapInArrow(run, "doc_id long, score double").select(
+    return statistics.transform(in_batches, run, "doc_id long, score double").select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),
         "score",
@@ -247,4 +249,4 @@ def keep_good(docs: DataFrame, model: Discriminant | None) -> DataFrame:
             text = batch.column(names.index("text")).fill_null("")
             yield batch.filter(pa.array(_scores(model, document_statistics(text)) >= 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(in_batches, run, docs.schema)
