@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from rollbook.functions import datum as D
 from rollbook.functions import scalars as S
-from rollbook.operators import fold
-from rollbook.plans.base import BLOCK_CTE, block_sql, query
+from rollbook.operators import fold, holders, registry, search, views
+from rollbook.plans.base import BLOCK_CTE, block_sql, characters_sql, query, rarity_sql
 from rollbook.plans.ledger_queries import fold_sql
+from rollbook.session import stored
 from rollbook.sources import blocks as B
 from rollbook.sources import fixtures as X
 
@@ -293,3 +294,79 @@ def st_block_fold(spark, sf):
         "reference_seq",
         "settings_seq",
     )
+
+
+def _ledger_registry(spark, sf):
+    """The registry of the block ledger: blocks, events, fold, rows; stored once."""
+
+    def build(spark, sf):
+        ledger = B.ledger_rows(X.blocks(spark, sf), X.POLICIES)
+        rows = registry.from_state(fold.current_state(fold.annotate(ledger, detail=True)))
+        return rows.repartitionByRange("name").sortWithinPartitions("name")
+
+    return stored(spark, sf, "ledger-registry", build)
+
+
+_REGISTRY_CTE = f""",
+v as (select *, case when json_array_length(n_refdatum, '$.constructor_0') = 3 then n_refdatum end as d from s),
+w as (select *, d -> '$.constructor_0[0]' as a, d -> '$.constructor_0[2]' as p,
+  case when json_valid(n_setdatum) then n_setdatum end as st from v),
+rg as (select name, concat('000de140', lower(hex(name))) as hex, n_amount as amount, n_created as created_slot,
+ n_updated as updated_slot, n_utxo as utxo, n_holder as holder, n_datum is not null as has_datum,
+ cast(length(name) as integer) as length, {rarity_sql('name')} as rarity, {characters_sql('name')} as characters,
+ case when not contains(name, '@') then 'handle' when (p -> '$.virtual') is not null then 'virtual_subhandle'
+   else 'nft_subhandle' end as asset_type,
+ case when d is not null then coalesce(cast(a ->> '$.og_number' as bigint), 0) end as og_number,
+ case when d is not null then coalesce(a ->> '$.image', '') end as image,
+ case when d is not null then coalesce(p ->> '$.image_hash', '') end as image_hash,
+ case when d is not null then coalesce(p ->> '$.standard_image_hash', '') end as standard_image_hash,
+ p ->> '$.bg_asset' as bg_asset, p ->> '$.last_update_address' as last_update_address,
+ case when d is not null then coalesce((p ->> '$.pz_enabled'), '') in ('1', 'true') end as pz_enabled,
+ case when (p -> '$.virtual') is not null then cast((p ->> '$.virtual.expires_time') as bigint) end as virtual_expires_time,
+ st ->> '$[0][0]' as nft_open, st ->> '$[2]' as buy_down_price, n_life, translate(name, '_-.@', '!"#$') as by_name from w)"""
+_REGISTRY_COLUMNS = (
+    "name, hex, amount, created_slot, updated_slot, utxo, holder, has_datum, length, rarity, characters, asset_type, "
+    "og_number, image, image_hash, standard_image_hash, bg_asset, last_update_address, pz_enabled"
+)
+
+
+@query(
+    "st_registry",
+    fold_sql(
+        f"{_REGISTRY_CTE} select {_REGISTRY_COLUMNS}, virtual_expires_time, nft_open, buy_down_price from rg",
+        ledger=BLOCK_LEDGER,
+    ),
+)
+def st_registry(spark, sf):
+    """Blocks to registry rows, with what reference and settings events brought."""
+    return _ledger_registry(spark, sf).select(
+        *_REGISTRY_COLUMNS.split(", "),
+        F.col("virtual.expires_time").alias("virtual_expires_time"),
+        F.col("settings.nft.public_minting_enabled").alias("nft_open"),
+        F.col("settings.buy_down_price").alias("buy_down_price"),
+    )
+
+
+@query(
+    "search_ledger_page",
+    fold_sql(
+        f"""{_REGISTRY_CTE},
+m as (select * from rg where utxo <> '' and rarity = 'common' and asset_type = 'handle'),
+pick as (select holder, name as default_in_wallet from (select *, row_number() over (partition by holder order by
+   case when og_number > 0 then 0 else 1 end, case when og_number > 0 then og_number else 0 end,
+   length, created_slot, by_name) as place from rg where utxo <> '') where place = 1)
+select name, holder, default_in_wallet, utxo, og_number, (select count(*) from m) as search_total
+from (select * from m order by by_name limit 40) left join pick using (holder)""",
+        ledger=BLOCK_LEDGER,
+    ),
+)
+def search_ledger_page(spark, sf):
+    """The main search over the registry that the blocks gave."""
+    rows = views.live_rows(_ledger_registry(spark, sf))
+    found = search.matches(rows, search.SearchSpec(rarity="common", asset_type="handle"))
+    page = search.paged(found, search.PageSpec(size=40))
+    best = rows.groupBy("holder").agg(holders.best_asset(rows).alias("default_in_wallet"))
+    shown = page.join(best, "holder", "left")
+    return shown.select("name", "holder", "default_in_wallet", "utxo", "og_number").withColumn(
+        "search_total", search.search_total(found)
+    )

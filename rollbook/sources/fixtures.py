@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import scalars as S
+from rollbook.operators.registry import name_columns
 from rollbook.operators.skew import hot_keys, running
 from rollbook.session import read_table, stored
 
@@ -121,19 +122,9 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def build_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog plus the columns derived from the name when a row is built."""
     name = F.col("name")
-    sub = S.sub_part(name)
     return catalog(spark, sf_dir).withColumns(
         {
-            "length": F.length(name),
-            "rarity": S.rarity(name),
-            "characters": S.characters(name),
-            "numeric_modifiers": S.numeric_modifiers(name),
-            "root": S.root_part(name),
-            "sub_name": sub,
-            "sub_length": F.length(sub),
-            "sub_rarity": F.when(sub.isNotNull(), S.rarity(sub)),
-            "sub_characters": F.when(sub.isNotNull(), S.characters(sub)),
-            "sub_numeric_modifiers": F.when(sub.isNotNull(), S.numeric_modifiers(sub)),
+            **name_columns(name),
             "asset_type": S.asset_type(name, F.col("sub_kind")),
             "has_datum": F.col("datum").isNotNull(),
             # what the fold stores next to an asset: tokens, scripts, settings
