@@ -131,7 +131,8 @@ def with_statistics(docs: DataFrame) -> DataFrame:
 
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).transform(
         in_batches,
-        run, "doc_id long, statistics array<double>"
+        run,
+        "doc_id long, statistics array<double>",
     )
 
 
