@@ -547,14 +547,12 @@ class Layout:
 
 def fit_field(pages: DataFrame, sample: int = SAMPLE_PAGES, labelled: int = LABELLED_PAGES) -> Field:
     """The field from ``labelled`` pages around texts of the ``sample`` pages whose ids hash lowest."""
-    rows = (
-        pages.filter("html is not null")
-        .select(F.substring("html", 1, SAMPLE_BYTES).alias("html"), F.xxhash64(F.col("page_id").cast("string")).alias("h"))
-        .orderBy("h", "html")
-        .limit(sample)
-        .collect()
-    )
-    pool = sorted({html.escape(b.text).translate({1: " ", 2: " "}) for r in rows for b in blocks_of(r["html"])})
+    hashed = pages.filter("html is not null").withColumn("page_hash", F.xxhash64(F.col("page_id").cast("string")))
+    lowest = {r[0] for r in hashed.select("page_hash").orderBy("page_hash").limit(sample).collect()}
+    start = F.substring(F.col("html").cast("string"), 1, SAMPLE_BYTES)
+    rows = hashed.filter(F.col("page_hash").isin(*lowest)).groupBy("page_hash").agg(F.min(start).alias("start")).collect()
+    texts = (b.text for r in rows for b in blocks_of(r["start"]))
+    pool = sorted({html.escape(t).translate({1: " ", 2: " "}) for t in texts})
     layout = Layout(pool)
     return train([layout.page() for _ in range(labelled)])
 
