@@ -40,9 +40,8 @@ def bench(scratch: str) -> None:
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cores = os.environ.get("BENCH_CPUS", "8")
-    spark = build_session("rollbook-bench", cores=cores, partitions=int(cores) if cores.isdigit() else 8)
+    spark = build_session("rollbook-bench", cores=cores, partitions=int(cores) if cores.isdigit() else 8, scratch=scratch)
     spark.sparkContext.setLogLevel("ERROR")
-    spark.conf.set("spark.checkpoint.dir", scratch)
     wanted = os.environ.get("BENCH_QUERIES", "").split() or [*HEADLINE, *ONCE]
     read_table(spark, sf_dir, "orders").groupBy("o_orderstatus").count().collect()  # start-up
     seconds, first = {}, {}

@@ -14,9 +14,11 @@ TABLES = (
 ).split()
 
 
-def build_session(app: str = "rollbook", cores: str = "*", partitions: int = 8) -> SparkSession:
+def build_session(
+    app: str = "rollbook", cores: str = "*", partitions: int = 8, scratch: str | None = None
+) -> SparkSession:
     """A local session for tests and benches; on a cluster the caller brings its own."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
@@ -24,8 +26,13 @@ def build_session(app: str = "rollbook", cores: str = "*", partitions: int = 8)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
-        .getOrCreate()
     )
+    if scratch:
+        builder = builder.config("spark.checkpoint.dir", scratch)
+    return builder.getOrCreate()
+
+
+_LOCAL: dict[str, str] = {}  # application -> the folder of a local session without the setting
 
 
 def read_table(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -42,8 +49,9 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="rollbook-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        app = spark.sparkContext.applicationId
+        base = _LOCAL.setdefault(app, "") or tempfile.mkdtemp(prefix="rollbook-")
+        _LOCAL[app] = base
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
