@@ -27,16 +27,27 @@ def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
 def split_hot(
     df: DataFrame, key: str, order: str, width: int = CHUNK_ROWS
 ) -> tuple[DataFrame, DataFrame]:
-    """Rows of ordinary keys (``chunk`` 0) and of hot keys (``chunk`` 1 + floor(order / width)).
+    """Rows of ordinary keys (``chunk`` 0) and of hot keys (chunks from 1 on, which follow ``order``).
 
-    ``order`` is unique per row, so a (key, chunk) group of a hot key has at most
-    ``width`` rows. Without hot keys the second plan is empty once the broadcast
+    ``order`` is unique per row. Its values are cut into cells of ``width`` / 2 numbers, and
+    cells of a key go to one chunk while their rows, counted, are at most ``width``: a hot key
+    of n rows has at most 1 + 2 n / width chunks, however sparse its values are. Cells are
+    counted up in two levels. Without hot keys the second plan is empty once the broadcast
     is known, and adaptive execution drops it.
     """
     hot = F.broadcast(hot_keys(df, key, width).select(key))
-    chunk = (1 + F.floor(F.col(order) / width)).cast("long")
     cold_rows = df.join(hot, key, "left_anti").withColumn("chunk", F.lit(0).cast("long"))
-    return cold_rows, df.join(hot, key, "left_semi").withColumn("chunk", chunk)
+    half = max(1, width // 2)
+    cell = F.floor(F.col(order) / half).cast("long")
+    hot_rows = df.join(hot, key, "left_semi").withColumn("cell", cell)
+    cells = hot_rows.groupBy(key, "cell").agg(F.count(F.lit(1)).alias("size"))
+    span = F.floor(F.col("cell") / max(2, width)).cast("long")
+    placed = running(
+        cells.withColumn("chunk", span), [key], ["cell"], {"earlier": ("sum", F.col("size"))}, exclusive=True
+    )
+    chunk = (1 + F.floor(F.col("earlier") / half)).cast("long")
+    placed = placed.select(key, "cell", chunk.alias("chunk"))
+    return cold_rows, hot_rows.join(placed, [key, "cell"]).select(*df.columns, "chunk")
 
 
 def with_chunks(df: DataFrame, column: str, width: int) -> DataFrame:

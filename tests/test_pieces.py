@@ -2,10 +2,11 @@
 
 import oracle
 import pytest
+from ledgers import SCHEMA, random_ledger
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
-from rollbook.operators import skew
+from rollbook.operators import fold, skew
 from rollbook.sources import fixtures
 
 BLOCK_QUERIES = (
@@ -58,3 +59,25 @@ def test_chunks_follow_counts(spark, power):
     assert len(sizes) == 10 and max(sizes) <= 1000
     last = skew.with_chunks(rows, "seq", 500).groupBy("chunk").agg(F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("chunk").collect()
     assert all(x["b"] < y["a"] for x, y in zip(last, last[1:], strict=False))
+
+
+@pytest.mark.parametrize("gap", [1, 1000, 1 << 20])
+def test_chunks_of_a_hot_key_follow_counts(spark, gap):
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500))
+    rows = spark.range(6000).select((F.col("id") * gap).alias("seq"), key.alias("key"))
+    cold, hot = skew.split_hot(rows, "key", "seq", 100)
+    found = hot.groupBy("key", "chunk").agg(F.count("seq").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("chunk").collect()
+    assert cold.count() == 4000 and {r["key"] for r in found} == {"hot"} and sum(r["n"] for r in found) == 2000
+    assert max(r["n"] for r in found) <= 100 and len(found) <= 1 + 2 * 2000 / 100
+    assert all(x["b"] < y["a"] for x, y in zip(found, found[1:], strict=False)) and found[0]["chunk"] > 0
+
+
+def test_a_hot_asset_with_gaps_reaches_the_chain_as_a_few_rows(spark):
+    rows = [((s + 1) << 20, *rest) for s, *rest in random_ledger(3000, 2, 5)]
+    ledger = spark.createDataFrame(rows, SCHEMA)
+    events = ledger.withColumn("op", fold.op_code(F.col("kind"), F.col("datum")).cast("long"))
+    _, hot = skew.split_hot(events, "name", "seq", 500)
+    assert hot.count() > 2000
+    assert fold.incoming_states(hot).count() <= 2 + 2 * 3000 / 500
+    detail = lambda width: fold.annotate(ledger, width, detail=True).drop("chunk").collect()
+    assert sorted(map(str, detail(500))) == sorted(map(str, detail(1 << 20)))
