@@ -23,6 +23,7 @@ chunks are folded in parallel from their exact incoming state.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -120,18 +121,20 @@ def sorted_by_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
 STRINGS = ("utxo", "holder", "datum", "reference_datum", "settings_datum")
-ARROW = {f: pa.string() if f in STRINGS else pa.int64() for f in State._fields}
+PLACES = ("life", "reference_seq", "settings_seq")  # of the type of seq: long, or string for positions
 BRIEF = ("amount", "updated", "created", "life", "utxo")
 
 
-def state_sql(prefix: str, fields=State._fields) -> str:
-    return ", ".join(f"{prefix}{f} {'string' if f in STRINGS else 'long'}" for f in fields)
+def state_sql(prefix: str, fields=State._fields, seq: str = "long") -> str:
+    types = {f: "string" for f in STRINGS} | {f: seq for f in PLACES}
+    return ", ".join(f"{prefix}{f} {types.get(f, 'long')}" for f in fields)
 
 
-def _arrow_state(rows: list[State | None], prefix: str, fields=State._fields) -> dict[str, pa.Array]:
-    at = {f: State._fields.index(f) for f in fields}
+def _arrow_state(rows: list[State | None], prefix: str, fields=State._fields, seq: str = "long") -> dict[str, pa.Array]:
+    texts = (*STRINGS, *PLACES) if seq == "string" else STRINGS
+    at = {f: (State._fields.index(f), pa.string() if f in texts else pa.int64()) for f in fields}
     return {
-        f"{prefix}{f}": pa.array([None if s is None else s[at[f]] for s in rows], ARROW[f]) for f in fields
+        f"{prefix}{f}": pa.array([None if s is None else s[i] for s in rows], kind) for f, (i, kind) in at.items()
     }
 
 
@@ -148,7 +151,7 @@ def _events(batch: pa.RecordBatch) -> Iterator[tuple[tuple, Event]]:
     return zip(keys, map(Event._make, zip(*[_values(batch, f) for f in Event._fields])))
 
 
-def _annotator(fields: tuple[str, ...]):
+def _annotator(fields: tuple[str, ...], seq: str = "long"):
     def annotate_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Fold rows sorted by (name, chunk, seq); state is carried over batch borders."""
         key, state = None, None
@@ -168,7 +171,7 @@ def _annotator(fields: tuple[str, ...]):
             out = {n: batch.column(n) for n in batch.schema.names if not n.startswith("in_")}
             out["accepted"] = pa.array(accepted, pa.bool_())
             out["saved"] = pa.array(saved, pa.bool_())
-            out |= _arrow_state(before, "old_", fields) | _arrow_state(after, "new_", fields)
+            out |= _arrow_state(before, "old_", fields, seq) | _arrow_state(after, "new_", fields, seq)
             yield pa.RecordBatch.from_pydict(out)
 
     return annotate_partition
@@ -190,19 +193,26 @@ def _annotator(fields: tuple[str, ...]):
 # known, and only its amount is open. All that follows, late events too, then is a short
 # table: ranges of the amount at that point, with what becomes of an asset in each.
 RUN, BASE, TABLE = 7, 8, 9
-OPS_SQL = (
-    "name string, chunk long, op_no long, op long, slot long, seq long, utxo string, holder string, "
-    f"lovelace long, datum string, low long, high long, {state_sql('p_')}, {state_sql('z_')}"
-)
-OPS_ARROW = pa.schema(
-    [(n, pa.string() if t == "string" else pa.int64()) for n, t in (f.split() for f in OPS_SQL.split(", "))]
-)
+def ops_sql(seq: str = "long") -> str:
+    return (
+        f"name string, chunk long, op_no long, op long, slot long, seq {seq}, utxo string, holder string, "
+        f"lovelace long, datum string, low long, high long, {state_sql('p_', seq=seq)}, {state_sql('z_', seq=seq)}"
+    )
+
+
+def ops_arrow(seq: str = "long") -> pa.Schema:
+    return pa.schema(
+        [(n, pa.string() if t == "string" else pa.int64()) for n, t in (f.split() for f in ops_sql(seq).split(", "))]
+    )
+
+
 KEEP_TEXT, KEEP_INT = "\u0001keep", -1
 IMMORTAL = 1 << 60
 
 
-def _probe(first: Event | None) -> State:
-    values = {f: KEEP_TEXT if f in STRINGS else KEEP_INT for f in State._fields}
+def _probe(first: Event | None, seq: str = "long") -> State:
+    texts = (*STRINGS, *PLACES) if seq == "string" else STRINGS
+    values = {f: KEEP_TEXT if f in texts else KEEP_INT for f in State._fields}
     values |= {"amount": IMMORTAL, "updated": -IMMORTAL, "created": IMMORTAL}
     if first is not None:
         values |= {"updated": first.slot, "utxo": first.utxo}
@@ -212,8 +222,8 @@ def _probe(first: Event | None) -> State:
 class _Stretch:
     """Summary of consecutive certain events before the first certain owner event."""
 
-    def __init__(self):
-        self.probe, self.low, self.used, self.ghost = _probe(None), 0, False, None
+    def __init__(self, seq: str = "long"):
+        self.probe, self.low, self.used, self.ghost = _probe(None, seq), 0, False, None
 
     def add(self, event: Event) -> None:
         self.used = True
@@ -238,8 +248,8 @@ class _Table:
     order, and ``probe`` what all greater amounts, from ``low`` on, come to.
     """
 
-    def __init__(self, first: Event):
-        self.probe, self.low, self.used = _probe(first), 1, False
+    def __init__(self, first: Event, seq: str = "long"):
+        self.probe, self.low, self.used = _probe(first, seq), 1, False
         self.dead: list[tuple[int, int, State | None]] = []
 
     def add(self, event: Event) -> None:
@@ -283,7 +293,7 @@ def _survived(state: State, row: dict) -> State:
     set_here = {
         f: row[f"p_{f}"]
         for f in State._fields[4:]
-        if row[f"p_{f}"] != (KEEP_TEXT if f in STRINGS else KEEP_INT)
+        if row[f"p_{f}"] not in (KEEP_TEXT, KEEP_INT)
     }
     return state._replace(
         amount=state.amount + row["p_amount"],
@@ -293,9 +303,10 @@ def _survived(state: State, row: dict) -> State:
     )
 
 
-def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _summarise(batches: Iterator[pa.RecordBatch], seq: str = "long") -> Iterator[pa.RecordBatch]:
     """Rows sorted by (name, chunk, seq) with ``before_top``: greatest slot before the chunk."""
-    key, stretch, table, top, rows, count, sure = None, _Stretch(), None, None, [], 0, False
+    key, stretch, table, top, rows, count, sure = None, _Stretch(seq), None, None, [], 0, False
+    schema, nowhere = ops_arrow(seq), "" if seq == "string" else 0
 
     def emit(row: dict) -> None:
         nonlocal count
@@ -314,8 +325,8 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (here, event) in enumerate(_events(batch)):
             if here != key:
                 close()
-                key, stretch, table, top, count, sure = here, _Stretch(), None, tops[i], 0, False
-                emit({"op": REJECT, "slot": 0, "seq": 0})  # without effect: every chunk gets a row
+                key, stretch, table, top, count, sure = here, _Stretch(seq), None, tops[i], 0, False
+                emit({"op": REJECT, "slot": 0, "seq": nowhere})  # without effect: every chunk gets a row
             if event.op == REJECT:
                 continue
             if table is not None:
@@ -338,21 +349,21 @@ def _summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if stretch.used:
                 emit(stretch.row())
             emit(event._asdict())
-            stretch = _Stretch()
+            stretch = _Stretch(seq)
             if not late:
-                table = _Table(event)
+                table = _Table(event, seq)
         if rows:
-            yield pa.RecordBatch.from_pylist(rows, OPS_ARROW)
+            yield pa.RecordBatch.from_pylist(rows, schema)
             rows.clear()
     close()
     if rows:
-        yield pa.RecordBatch.from_pylist(rows, OPS_ARROW)
+        yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chain(batches: Iterator[pa.RecordBatch], seq: str = "long") -> Iterator[pa.RecordBatch]:
     """Operations sorted by (name, chunk, op_no) to the incoming state of every chunk."""
     key, state, entry = None, None, None
-    fields = OPS_ARROW.names
+    fields = ops_arrow(seq).names
     for batch in batches:
         names, chunks, states = [], [], []
         for values in zip(*[_values(batch, f) for f in fields]):
@@ -378,11 +389,12 @@ def _chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             else:
                 state, _, _ = advance(state, Event(*(row[f] for f in Event._fields)))
         out = {"name": pa.array(names, pa.string()), "chunk": pa.array(chunks, pa.int64())}
-        yield pa.RecordBatch.from_pydict(out | _arrow_state(states, "in_"))
+        yield pa.RecordBatch.from_pydict(out | _arrow_state(states, "in_", seq=seq))
 
 
-def _field_nulls(prefix: str) -> dict[str, Column]:
-    return {f"{prefix}{f}": F.lit(None).cast("string" if f in STRINGS else "long") for f in State._fields}
+def _field_nulls(prefix: str, seq: str) -> dict[str, Column]:
+    types = (f.split() for f in state_sql(prefix, seq=seq).split(", "))
+    return {name: F.lit(None).cast(kind) for name, kind in types}
 
 
 def incoming_states(hot: DataFrame, base: DataFrame | None = None) -> DataFrame:
@@ -390,6 +402,7 @@ def incoming_states(hot: DataFrame, base: DataFrame | None = None) -> DataFrame:
 
     ``base`` holds the states the fold starts from (``name`` and the state fields).
     """
+    seq = dict(hot.dtypes)["seq"].replace("bigint", "long")
     carries_slot = F.when(~F.col("op").isin(BURN, REJECT), F.col("slot"))
     earlier = Window.partitionBy("name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     tops = (
@@ -407,7 +420,7 @@ def incoming_states(hot: DataFrame, base: DataFrame | None = None) -> DataFrame:
         hot.select("name", "chunk", *Event._fields)
         .join(tops, ["name", "chunk"])
     )
-    ops = sorted_by_key(ops, ["name", "chunk"], "seq").mapInArrow(_summarise, OPS_SQL)
+    ops = sorted_by_key(ops, ["name", "chunk"], "seq").mapInArrow(partial(_summarise, seq=seq), ops_sql(seq))
     if base is not None:
         fixed = {"chunk": 0, "op_no": 0, "op": BASE}
         ops = ops.unionByName(
@@ -417,9 +430,9 @@ def incoming_states(hot: DataFrame, base: DataFrame | None = None) -> DataFrame:
                 *[F.col(f).alias(f"z_{f}") for f in State._fields],
             ),
             allowMissingColumns=True,
-        ).select(*OPS_ARROW.names)
+        ).select(*ops_arrow(seq).names)
     chained = sorted_by_key(ops, ["name"], "chunk", "op_no")
-    return chained.mapInArrow(_chain, f"name string, chunk long, {state_sql('in_')}")
+    return chained.mapInArrow(partial(_chain, seq=seq), f"name string, chunk long, {state_sql('in_', seq=seq)}")
 
 
 def annotate(
@@ -434,20 +447,21 @@ def annotate(
     counters, the life and the output only. ``base`` gives states to start from.
     """
     fields = State._fields if detail else BRIEF
+    seq = dict(ledger.dtypes)["seq"].replace("bigint", "long")
     events = ledger.withColumn("op", op_code(F.col("kind"), F.col("datum")).cast("long"))
     cold, hot = split_hot(events, "name", "seq", width)
     if base is None:
-        cold = cold.withColumns(_field_nulls("in_"))
+        cold = cold.withColumns(_field_nulls("in_", seq))
     else:
         start = base.select("name", *[F.col(f).alias(f"in_{f}") for f in State._fields])
         cold = cold.join(start, "name", "left")
     both = cold.unionByName(hot.join(incoming_states(hot, base), ["name", "chunk"], "left"))
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if not f.name.startswith("in_")]
-        + ["accepted boolean", "saved boolean", state_sql("old_", fields), state_sql("new_", fields)]
+        + ["accepted boolean", "saved boolean", state_sql("old_", fields, seq), state_sql("new_", fields, seq)]
     )
     ordered = sorted_by_key(both, ["name", "chunk"], "seq")
-    return ordered.mapInArrow(_annotator(fields), schema)
+    return ordered.mapInArrow(_annotator(fields, seq), schema)
 
 
 # ------------------------------------------------------------------ from annotated rows to tables

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.operators.skew import CHUNK_ROWS, running, with_chunks
+from rollbook.operators import position
+from rollbook.operators.skew import CHUNK_ROWS, running, spread_lookup, with_chunks
 
 TWELVE_HOURS = 43200  # slots
 
@@ -17,7 +18,19 @@ def canonical(ledger: DataFrame, controls: DataFrame, width: int = CHUNK_ROWS) -
     slot above ``bslot``. So a row stays iff its slot is at most the smallest
     ``bslot`` among the controls from its arrival on: a running minimum from the
     end, scanned per chunk of arrival order. No pairing of rows with controls.
+
+    In the stream of blocks (``seq`` is a position) control rows stand at ends of blocks, so
+    the rows of a block share their fate: blocks are scanned, and rows look theirs up.
     """
+    if dict(ledger.dtypes)["seq"] == "string":
+        return _canonical_blocks(ledger, controls, width)
+    scanned = _allowed(ledger, controls, width)
+    keep = F.col("allowed").isNull() | (F.col("slot") <= F.col("allowed"))
+    return scanned.where(keep).select(*ledger.columns)
+
+
+def _allowed(ledger: DataFrame, controls: DataFrame, width: int) -> DataFrame:
+    """Rows with the greatest slot that later control rows leave, null without any."""
     marks = controls.select(
         F.col("bseq").alias("seq"), F.col("bslot").alias("limit"), F.lit(1).alias("is_mark")
     )
@@ -27,8 +40,16 @@ def canonical(ledger: DataFrame, controls: DataFrame, width: int = CHUNK_ROWS) -
     scanned = running(
         both, [], ["seq", "is_mark"], {"allowed": ("min", F.col("limit"))}, descending=True
     )
-    keep = (F.col("is_mark") == 0) & (F.col("allowed").isNull() | (F.col("slot") <= F.col("allowed")))
-    return scanned.where(keep).select(*ledger.columns)
+    return scanned.where(F.col("is_mark") == 0)
+
+
+def _canonical_blocks(ledger: DataFrame, controls: DataFrame, width: int) -> DataFrame:
+    rows = ledger.withColumn("block", position.block_of(F.col("seq")))
+    blocks = rows.select("block").distinct().withColumn("seq", position.number_of(F.col("block")))
+    marks = controls.select(position.number_of(position.block_of(F.col("bseq"))).alias("bseq"), "bslot")
+    allowed = _allowed(blocks, marks, width).where(F.col("allowed").isNotNull()).select("block", "allowed")
+    found = spread_lookup(rows, allowed, "block", F.col("seq"))
+    return found.where(F.col("allowed").isNull() | (F.col("slot") <= F.col("allowed"))).select(*ledger.columns)
 
 
 def retained(history: DataFrame, slots: int = TWELVE_HOURS) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rollbook.operators import position
+
 MAX_HOT = 65536
 MAX_CHUNKS = 4096
 CHUNK_ROWS = 1 << 20
@@ -29,8 +31,8 @@ def split_hot(
 ) -> tuple[DataFrame, DataFrame]:
     """Rows of ordinary keys (``chunk`` 0) and of hot keys (chunks from 1 on, which follow ``order``).
 
-    ``order`` is unique per row. Its values are cut into cells of ``width`` / 2 numbers, and
-    cells of a key go to one chunk while their rows, counted, are at most ``width``: a hot key
+    ``order`` is unique per row. Its values are cut into cells of ``width`` / 2 numbers (of a
+    position in the stream of blocks: output indexes within a transaction), and cells of a key go to one chunk while their rows, counted, are at most ``width``: a hot key
     of n rows has at most 1 + 2 n / width chunks, however sparse its values are. Cells are
     counted up in two levels. Without hot keys the second plan is empty once the broadcast
     is known, and adaptive execution drops it.
@@ -38,12 +40,16 @@ def split_hot(
     hot = F.broadcast(hot_keys(df, key, width).select(key))
     cold_rows = df.join(hot, key, "left_anti").withColumn("chunk", F.lit(0).cast("long"))
     half = max(1, width // 2)
-    cell = F.floor(F.col(order) / half).cast("long")
-    hot_rows = df.join(hot, key, "left_semi").withColumn("cell", cell)
-    cells = hot_rows.groupBy(key, "cell").agg(F.count(F.lit(1)).alias("size"))
-    span = F.floor(F.col("cell") / max(2, width)).cast("long")
+    at = F.col(order)
+    if dict(df.dtypes)[order] == "string":
+        part, number, span = position.part_of(at), position.index_of(at), position.number_of(position.block_of(at))
+    else:
+        part, number, span = F.lit(""), at, at / half
+    cell = F.struct(part.alias("part"), F.floor(number / half).alias("place"))
+    hot_rows = df.join(hot, key, "left_semi").withColumns({"cell": cell, "span": F.floor(span / max(2, width))})
+    cells = hot_rows.groupBy(key, "cell").agg(F.count(F.lit(1)).alias("size"), F.min("span").alias("chunk"))
     placed = running(
-        cells.withColumn("chunk", span), [key], ["cell"], {"earlier": ("sum", F.col("size"))}, exclusive=True
+        cells, [key], ["cell"], {"earlier": ("sum", F.col("size"))}, exclusive=True
     )
     chunk = (1 + F.floor(F.col("earlier") / half)).cast("long")
     placed = placed.select(key, "cell", chunk.alias("chunk"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rollbook.functions import datum as D
 from rollbook.functions import scalars as S
+from rollbook.operators import position
 from rollbook.operators.skew import CHUNK_ROWS, running, with_chunks
 
 ASSETS = T.MapType(T.StringType(), T.LongType())
@@ -215,33 +216,30 @@ def arrivals(rows: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
     return numbered.withColumn("arrival", F.col("earlier") + F.col("tx_order") - 1).drop("earlier")
 
 
-#: Places for the rows of one block in ``block_order``.
-BLOCK_ROWS = 1 << 20
-
-
 def block_order(rows: DataFrame) -> DataFrame:
-    """Order rows by block and place in it, as column ``arrival``, from each block alone.
+    """Order rows by block, transaction and place in it, as column ``arrival``, from each row alone.
 
-    Leaves gaps, so it needs no other block: the order of a stream.
+    Needs no other row, so neither the size of a block nor what a batch holds of it matters: the
+    order of a stream, as texts.
     """
-    return rows.withColumn("arrival", F.col("seq") * BLOCK_ROWS + F.col("tx_order"))
+    at = [F.col(c) for c in ("seq", "tx_pos", "phase", "out_pos", "asset", "policy")]
+    return rows.withColumn("arrival", position.of_row(*at))
 
 
 def ledger_rows(
     blocks: DataFrame, policies: Sequence[str], width: int = CHUNK_ROWS, gaps: bool = False
 ) -> DataFrame:
-    """Blocks to ledger rows, ready to be folded, numbered without gaps unless ``gaps``.
+    """Blocks to ledger rows, ready to be folded, numbered without gaps, or with ``gaps`` at their positions.
 
     A reference row keeps its datum if that is JSON at all, a virtual row only if it
     is an asset datum (its address comes from there); else the fold rejects the row.
     """
     burned = burns(blocks, policies).select(
-        *TRANSACTION, F.lit(0).alias("phase"), F.lit(0).alias("out_pos"), "asset"
+        *TRANSACTION, F.lit(0).alias("phase"), F.lit(0).alias("out_pos"), "policy", "asset"
     )
     sent = scanned_events(blocks, policies).withColumn("phase", F.lit(1))
     both = sent.unionByName(burned, allowMissingColumns=True)
-    both = numbered_in_transaction(both)
-    both = block_order(both) if gaps else arrivals(both, width)
+    both = block_order(both) if gaps else arrivals(numbered_in_transaction(both), width)
     route = kind_of(F.col("asset"))
     kind = (
         F.when(F.col("phase") == 0, "burn")

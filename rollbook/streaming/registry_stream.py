@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from rollbook.operators import fold, progress, rollback
+from rollbook.operators import fold, position, progress, rollback
 from rollbook.operators.skew import CHUNK_ROWS, spread_filter
 from rollbook.sources import blocks, snapshots
 
@@ -74,20 +74,20 @@ def run_available(
     return query
 
 
-_SIDE = ", ".join(f.replace(" ", ": ", 1) for f in fold.state_sql("").split(", "))
-
-
 class RegistryStream:
-    STATE_SQL = f"name string, {fold.state_sql('')}, last_saved_seq long, last_seq long"
-    LOG_SQL = f"slot long, seq long, name string, old struct<{_SIDE}>, new struct<{_SIDE}>, changed array<string>"
     METRICS_SQL = (
         "batch long, events long, first_slot long, last_slot long, current_slot long, current_hash string, tip_hash string"
     )
 
     def __init__(
-        self, spark: SparkSession, base: str, width: int = CHUNK_ROWS, compact_every: int = 50
+        self, spark: SparkSession, base: str, width: int = CHUNK_ROWS, compact_every: int = 50, seq: str = "long"
     ):
-        self.spark, self.base, self.width, self.compact_every = spark, base, width, compact_every
+        """``seq`` is the type of arrivals: numbers, or positions in the stream of blocks (``string``)."""
+        self.spark, self.base, self.width, self.compact_every, self.seq = spark, base, width, compact_every, seq
+        state = fold.state_sql("", seq=seq)
+        side = state.replace(" ", ": ").replace(",: ", ", ")
+        self.STATE_SQL = f"name string, {state}, last_saved_seq {seq}, last_seq {seq}"
+        self.LOG_SQL = f"slot long, seq {seq}, name string, old struct<{side}>, new struct<{side}>, changed array<string>"
         for table, schema in self._schemas().items():  # so that a first read finds the folder
             spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{base}/{table}/batch_id=-1")
 
@@ -99,17 +99,17 @@ class RegistryStream:
         rows.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(rows.schema).parquet(path)
 
-    @classmethod
-    def _schemas(cls) -> dict[str, str]:
+    def _schemas(self) -> dict[str, str]:
+        ledger = LEDGER_SQL.replace("seq long", f"seq {self.seq}")
         return {
-            "delta": cls.STATE_SQL,
-            "ledger": LEDGER_SQL,
-            "controls": CONTROL_SQL,
+            "delta": self.STATE_SQL,
+            "ledger": ledger,
+            "controls": CONTROL_SQL.replace("bseq long", f"bseq {self.seq}"),
             "compactions": "upto long",
             "undone": "name string",
-            "history": cls.LOG_SQL,
-            "quarantine": f"{LEDGER_SQL}, reason string",
-            "metrics": cls.METRICS_SQL,
+            "history": self.LOG_SQL,
+            "quarantine": f"{ledger}, reason string",
+            "metrics": self.METRICS_SQL,
         }
 
     def _read(self, table: str, below: int | None = None) -> DataFrame:
@@ -192,11 +192,12 @@ class RegistryStream:
             cancelled = earlier.join(valid.select("seq"), "seq", "left_anti").select("name")
             late = late.union(cancelled).distinct()
         undone = self._write("undone", late, batch_id)
-        rows = rollback.canonical(rows, controls, self.width)
+        # the fold reads its rows several times: they are looked up once
+        rows = self._write("valid", rollback.canonical(rows, controls, self.width), batch_id)
         logs, parts = [], []
         if not undone.isEmpty():
             mine = spread_filter(ledger, undone, "name", F.col("seq"))
-            redo = rollback.canonical(mine, controls, self.width)
+            redo = self._write("redo", rollback.canonical(mine, controls, self.width), batch_id)
             redone = self._write("redone", fold.annotate(redo, self.width, detail=True), batch_id)
             refolded = self._with_last_seq(fold.final_state(redone), mine)
             # without a canonical row an asset is gone, but its rows were seen
@@ -233,14 +234,18 @@ class RegistryStream:
         return states.join(rows.groupBy("name").agg(F.max("seq").alias("last_seq")), "name")
 
     def process_envelopes(self, policies: Sequence[str]) -> Processor:
-        """A processor of block envelopes: forward ones bring rows, backward ones roll back to their point."""
+        """A processor of block envelopes: forward ones bring rows, backward ones roll back to their point.
+
+        Rows arrive at their positions in the stream of blocks, a backward envelope after all of its block.
+        """
+        if self.seq != "string":
+            self.__init__(self.spark, self.base, self.width, self.compact_every, "string")
 
         def process(envelopes: DataFrame, batch_id: int) -> None:
             forward = envelopes.where(F.col("direction") == "forward").select("block.*")
             rows = blocks.ledger_rows(forward, policies, gaps=True)
-            last = F.col("seq") * blocks.BLOCK_ROWS + (blocks.BLOCK_ROWS - 1)
             marks = envelopes.where(F.col("direction") == "backward").select(
-                last.alias("seq"), F.col("point.slot").alias("slot"), F.lit(ROLLBACK).alias("kind")
+                position.end_of_block(F.col("seq")).alias("seq"), F.col("point.slot").alias("slot"), F.lit(ROLLBACK).alias("kind")
             )
             columns = [c.split()[0] for c in LEDGER_SQL.split(", ")]
             self.process(rows.unionByName(marks, allowMissingColumns=True).select(*columns), batch_id)
@@ -260,6 +265,6 @@ class RegistryStream:
         for table, schema in self._schemas().items():
             empty = self.spark.createDataFrame([], f"{schema}, batch_id long")
             empty.write.mode("overwrite").partitionBy("batch_id").parquet(f"{self.base}/{table}")
-        for table in ("known", "folded", "redone", "compact", "kept"):
+        for table in ("known", "valid", "redo", "folded", "redone", "compact", "kept"):
             self.spark.createDataFrame([], "seq long").write.mode("overwrite").parquet(f"{self.base}/{table}")
-        self.__init__(self.spark, self.base, self.width, self.compact_every)
+        self.__init__(self.spark, self.base, self.width, self.compact_every, self.seq)
