@@ -8,7 +8,8 @@ or driver overwrites exactly what it wrote before:
 * ``delta``: new states of the assets a batch touched (nulls where one is gone);
 * ``undone``: the assets a batch folded again, which voids their earlier history;
 * ``history``: the change log;
-* ``quarantine`` and ``metrics``: rows that were set aside, and a row for the batch;
+* ``quarantine`` and ``metrics``: rows that were set aside, those of assets folded again too
+  (``quarantine()`` leaves out what that made void), and a row for the batch;
 * ``compact`` and ``kept``: all deltas, and the retained history, up to some batch.
 
 A batch folds its rows from the states of the assets it touches. Two kinds of rows
@@ -148,11 +149,21 @@ class RegistryStream:
             recent = log.where(F.col("batch_id") > done)
             log = recent.unionByName(kept.withColumn("batch_id", F.lit(done).cast("long")))
             undone = undone.where(F.col("batch_id") > done)
+        valid = self._since_refold(log, undone)
+        return rollback.retained(valid.select("slot", "seq", "name", "old", "new", "changed"))
+
+    @staticmethod
+    def _since_refold(rows: DataFrame, undone: DataFrame) -> DataFrame:
+        """What was written of an asset before it was last folded again is void."""
         void = undone.groupBy("name").agg(F.max("batch_id").alias("void_below"))
-        valid = log.join(void, "name", "left").where(
+        valid = rows.join(void, "name", "left").where(
             F.col("void_below").isNull() | (F.col("batch_id") >= F.col("void_below"))
         )
-        return rollback.retained(valid.drop("batch_id", "void_below").select("slot", "seq", "name", "old", "new", "changed"))
+        return valid.drop("void_below")
+
+    def quarantine(self) -> DataFrame:
+        """Canonical rows the fold rejected, with the reason, each in the batch that last folded it."""
+        return self._since_refold(self._read("quarantine"), self._read("undone"))
 
     def compact(self, batch_id: int) -> None:
         """Fold all deltas and the history up to a batch into one table each; the mark is written last."""
@@ -194,7 +205,7 @@ class RegistryStream:
         undone = self._write("undone", late, batch_id)
         # the fold reads its rows several times: they are looked up once
         rows = self._write("valid", rollback.canonical(rows, controls, self.width), batch_id)
-        logs, parts = [], []
+        logs, parts, refolded_rows = [], [], None
         if not undone.isEmpty():
             mine = spread_filter(ledger, undone, "name", F.col("seq"))
             redo = self._write("redo", rollback.canonical(mine, controls, self.width), batch_id)
@@ -205,7 +216,7 @@ class RegistryStream:
             seen = mine.join(gone, "name", "left_semi").groupBy("name").agg(F.max("seq").alias("last_seq"))
             nulls = [F.lit(None).cast(t).alias(n) for n, t in self._fields() if n != "last_seq"]
             parts = [refolded, seen.select("name", *nulls, "last_seq")]
-            logs = [fold.change_log(redone)]
+            logs, refolded_rows = [fold.change_log(redone)], redone
             rows = spread_filter(rows, undone, "name", F.col("seq"), keep=False)
         start = known.where(F.col("life").isNotNull()).drop("last_saved_seq", "last_seq")
         annotated = fold.annotate(rows, self.width, detail=True, base=start)
@@ -222,8 +233,11 @@ class RegistryStream:
         self._write("delta", delta, batch_id)
         self._write("history", log, batch_id)
         reason = F.when(F.col("op") == fold.REJECT, "no_datum").otherwise("no_asset")
-        aside = folded.where(~F.col("saved")).withColumn("reason", reason)
-        self._write("quarantine", aside.select(*[c.split()[0] for c in LEDGER_SQL.split(", ")], "reason"), batch_id)
+        columns = [c.split()[0] for c in LEDGER_SQL.split(", ")]
+        aside = folded.where(~F.col("saved")).select(*columns, reason.alias("reason"))
+        if refolded_rows is not None:
+            aside = aside.unionByName(refolded_rows.where(~F.col("saved")).select(*columns, reason.alias("reason")))
+        self._write("quarantine", aside, batch_id)
         figures = progress.metrics(self._read("ledger").where(F.col("batch_id") == batch_id), F.lit(batch_id).cast("long"))
         self._write("metrics", figures, batch_id)
         if (batch_id + 1) % self.compact_every == 0:

@@ -83,3 +83,22 @@ def test_reset_leaves_nothing(spark):
     assert stream.registry().count() > 0
     stream.reset()
     assert stream.registry().count() == 0 and stream.ledger(9).count() == 0
+
+
+@pytest.mark.parametrize("n, seed", [(3, 9), (2, 4)])
+def test_quarantine_holds_the_rejected_rows_of_the_canonical_fold(spark, n, seed):
+    marks = [(60, 350), (150, 1200)]
+    ledger = spark.createDataFrame(random_ledger(200, 6, seed), SCHEMA)
+    control = spark.createDataFrame(marks, "bseq long, bslot long")
+    mixed = ledger.unionByName(
+        control.select(F.col("bseq").alias("seq"), F.col("bslot").alias("slot"), F.lit(ROLLBACK).alias("kind")),
+        allowMissingColumns=True,
+    )
+    stream = RegistryStream(spark, scratch_dir(spark, "registry"), 16)
+    for i in range(n):
+        stream.process(mixed.where(F.pmod(F.xxhash64("seq", F.lit(seed)), F.lit(n)) == i), i)
+    want = fold.annotate(rollback.canonical(ledger, control), detail=True).where(~F.col("saved"))
+    reason = F.when(F.col("op") == fold.REJECT, "no_datum").otherwise("no_asset").alias("reason")
+    rejected = sorted((r["seq"], r["name"], r["reason"]) for r in want.select("seq", "name", reason).collect())
+    assert len(rejected) > 5
+    assert sorted((r["seq"], r["name"], r["reason"]) for r in stream.quarantine().collect()) == rejected
