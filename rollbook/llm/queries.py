@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import ann, bpe_reuse, chat, decontam, html_crf, license_scan, near_dup, packing, piece_counts, quality_qda
+from rollbook.llm import ann, bpe_reuse, chat, decontam, html_crf, license_scan, near_dup, packing, piece_counts, quality_qda, sharding
 from rollbook.llm.common import stored_once
 from rollbook.session import read_table
 
@@ -102,3 +102,12 @@ def op9_piece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_kmeans_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five nearest vectors found for every vector whose id is divisible by 50."""
     return ann.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op11_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document, eight shards of near equal bytes."""
+    return sharding.shard_records(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_sampled_splitters"] = sharding.shards_sql()
