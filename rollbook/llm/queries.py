@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import ann, bpe_reuse, chat, decontam, html_crf, license_scan, near_dup, packing, piece_counts, quality_qda, sharding
+from rollbook.llm import ann, bpe_reuse, chat, decontam, divergence, html_crf, license_scan, near_dup, packing, piece_counts, quality_qda, sharding
 from rollbook.llm.common import stored_once
 from rollbook.session import read_table
 
@@ -111,3 +111,12 @@ def op11_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op11_sampled_splitters"] = sharding.shards_sql()
+
+
+@query
+def op12_run_length_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far each source of a language is from every other one, and the terms it has more of than the language."""
+    return divergence.audit(read_table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_run_length_divergence"] = divergence.audit_sql()
