@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import ann, bpe_reuse, chat, decontam, divergence, html_crf, license_scan, near_dup, packing, piece_counts, quality_qda, sharding
+from rollbook.llm import (
+    alignment,
+    ann,
+    bpe_reuse,
+    chat,
+    decontam,
+    divergence,
+    html_crf,
+    license_scan,
+    near_dup,
+    packing,
+    piece_counts,
+    quality_qda,
+    sharding,
+)
 from rollbook.llm.common import stored_once
 from rollbook.session import read_table
 
@@ -27,6 +41,12 @@ def byte_bpe() -> bytes:
         return file.read()
 
 
+def piece_bpe() -> bytes:
+    """The public piece vocabulary, as a model file's content."""
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as file:
+        return file.read()
+
+
 @query
 def op1_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
@@ -120,3 +140,9 @@ def op12_run_length_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op12_run_length_divergence"] = divergence.audit_sql()
+
+
+@query
+def op13_arrow_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document's tokens by the byte-level and the piece vocabulary."""
+    return alignment.align(read_table(spark, sf_dir, "documents"), byte_bpe(), piece_bpe())
