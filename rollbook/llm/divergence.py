@@ -41,6 +41,8 @@ LEAST_DOCS, PRIOR, SCALE = 30, 5, 10**9
 TOP = 50
 #: Terms a block and sources a tile, about.
 BLOCK_TERMS, TILE = 4096, 64
+#: Rows of a table about languages that is broadcast; a longer one is joined by a shuffle.
+FEW = 1 << 16
 #: Entries of the word counts that a task holds before it passes them on, and bytes of a text that are read at once.
 HELD, STRETCH = 200_000, 4 << 20
 
@@ -182,6 +184,12 @@ def _compare_block(table: pa.Table) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PART_SCHEMA, strict=True)], schema=_PART_SCHEMA)
 
 
+def _few(rows: DataFrame, label: str) -> DataFrame:
+    """A stored table with a row for each language or class, to be broadcast if it is short: a language may hold most rows."""
+    rows = stored_once(rows.sparkSession, rows, label)
+    return F.broadcast(rows) if rows.count() <= FEW else rows
+
+
 def audit(docs: DataFrame) -> DataFrame:
     """lang, source, part, item, value and rank: other sources by distance, and terms by excess over the language."""
     spark = docs.sparkSession
@@ -193,6 +201,7 @@ def audit(docs: DataFrame) -> DataFrame:
     classes = kept.groupBy("lang", "class").agg(
         F.count(F.lit(1)).alias("size"), F.sum("total").alias("places"), F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_TERMS)).alias("blocks")
     )
+    classes = _few(classes, "classes")
     placed = kept.join(classes.select("lang", "class", "blocks"), ["lang", "class"])
     placed = placed.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks"))).drop("blocks")
     blocks = placed.groupBy("lang", "class", "block").agg(F.count(F.lit(1)).alias("block_terms"))
@@ -203,7 +212,7 @@ def audit(docs: DataFrame) -> DataFrame:
     groups = cells.where("term = ''").select("lang", "source").join(places, ["lang", "source"], "left")
     tiles = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).alias("tiles"))
     langs = classes.groupBy("lang").agg(F.sum("size").alias("vocabulary"), F.sum("places").alias("total"))
-    facts = tiles.join(langs, "lang", "left").na.fill(0, ["vocabulary", "total"])
+    facts = _few(tiles.join(langs, "lang", "left").na.fill(0, ["vocabulary", "total"]), "languages")
     tile = F.pmod(F.xxhash64("source"), F.col("tiles"))
     none = F.lit(0).cast("long")
     blocks = blocks.unionByName(facts.select("lang", F.lit(-1).cast("long").alias("class"), none.alias("block"), none.alias("block_terms")))
@@ -212,7 +221,7 @@ def audit(docs: DataFrame) -> DataFrame:
         F.coalesce("n", F.lit(0)).alias("n"), "total", "vocabulary",
     )
     heads = heads.join(blocks, "lang")
-    found = counted.join(tiles, "lang").withColumn("tile", tile)
+    found = counted.join(facts.select("lang", "tiles"), "lang").withColumn("tile", tile)
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)).alias("other")
     dealt = heads.unionByName(found, allowMissingColumns=True).select("*", other)
     dealt = dealt.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other")}).drop("other", "tiles")
