@@ -154,23 +154,28 @@ def _events(batch: pa.RecordBatch) -> Iterator[tuple[tuple, Event]]:
 def _annotator(fields: tuple[str, ...], seq: str = "long"):
     def annotate_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Fold rows sorted by (name, chunk, seq); state is carried over batch borders."""
-        key, state = None, None
+        key, state, last = None, None, None
         for batch in batches:
             lives = batch.column("in_life").to_pylist()
-            before, after, accepted, saved = [], [], [], []
+            before, after, accepted, saved, saved_before = [], [], [], [], []
             for i, (here, event) in enumerate(_events(batch)):
                 if here != key:
                     key, state = here, None
+                    last = batch.column("in_last_saved_seq")[i].as_py()
                     if lives[i] is not None:
                         state = State(*(batch.column(f"in_{f}")[i].as_py() for f in State._fields))
                 before.append(state)
+                saved_before.append(last)
                 state, ok, kept = advance(state, event)
                 after.append(state)
                 accepted.append(ok)
                 saved.append(kept)
+                if kept:
+                    last = event.seq
             out = {n: batch.column(n) for n in batch.schema.names if not n.startswith("in_")}
             out["accepted"] = pa.array(accepted, pa.bool_())
             out["saved"] = pa.array(saved, pa.bool_())
+            out["saved_before"] = pa.array(saved_before, pa.string() if seq == "string" else pa.int64())
             out |= _arrow_state(before, "old_", fields, seq) | _arrow_state(after, "new_", fields, seq)
             yield pa.RecordBatch.from_pydict(out)
 
@@ -444,21 +449,26 @@ def annotate(
     """Every ledger row with ``accepted``, ``saved`` and the state before and after it.
 
     ``detail`` adds the payload fields to the states; the brief form has the
-    counters, the life and the output only. ``base`` gives states to start from.
+    counters, the life and the output only. ``base`` gives states to start from, with the
+    arrival of their last save. ``saved_before`` is the asset's save before a row; for a
+    chunk of a hot asset it starts anew (``with_saves_before`` adds the earlier chunks).
     """
     fields = State._fields if detail else BRIEF
     seq = dict(ledger.dtypes)["seq"].replace("bigint", "long")
     events = ledger.withColumn("op", op_code(F.col("kind"), F.col("datum")).cast("long"))
     cold, hot = split_hot(events, "name", "seq", width)
+    no_save = F.lit(None).cast(seq)
     if base is None:
-        cold = cold.withColumns(_field_nulls("in_", seq))
+        cold = cold.withColumns(_field_nulls("in_", seq) | {"in_last_saved_seq": no_save})
     else:
-        start = base.select("name", *[F.col(f).alias(f"in_{f}") for f in State._fields])
+        last = F.col("last_saved_seq") if "last_saved_seq" in base.columns else no_save
+        start = base.select("name", *[F.col(f).alias(f"in_{f}") for f in State._fields], last.alias("in_last_saved_seq"))
         cold = cold.join(start, "name", "left")
-    both = cold.unionByName(hot.join(incoming_states(hot, base), ["name", "chunk"], "left"))
+    warm = hot.join(incoming_states(hot, base), ["name", "chunk"], "left").withColumn("in_last_saved_seq", no_save)
+    both = cold.unionByName(warm)
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if not f.name.startswith("in_")]
-        + ["accepted boolean", "saved boolean", state_sql("old_", fields, seq), state_sql("new_", fields, seq)]
+        + ["accepted boolean", "saved boolean", f"saved_before {seq}", state_sql("old_", fields, seq), state_sql("new_", fields, seq)]
     )
     ordered = sorted_by_key(both, ["name", "chunk"], "seq")
     return ordered.mapInArrow(_annotator(fields, seq), schema)
@@ -494,16 +504,33 @@ def change_log(annotated: DataFrame) -> DataFrame:
     the slot the asset was last updated, everything else at the event's slot.
     """
 
+    return sides(annotated, "seq", "name").where(F.size("changed") > 0)
+
+
+def sides(annotated: DataFrame, *columns: str | Column) -> DataFrame:
+    """``slot``, the columns asked for, the states before and after each row, and the names of the fields that differ."""
+
     def side(name: str) -> Column:
         body = F.struct(*[F.col(f"{name}_{f}").alias(f) for f in State._fields])
         return F.when(F.col(f"{name}_life").isNotNull(), body)
 
     at = F.when(F.col("accepted"), F.col("slot")).otherwise(F.col("new_updated"))
-    sides = annotated.select(
-        at.alias("slot"), "seq", "name", side("old").alias("old"), side("new").alias("new")
-    )
-    changed = changed_fields(F.col("old"), F.col("new"), LOG_FIELDS)
-    return sides.withColumn("changed", changed).where(F.size("changed") > 0)
+    both = annotated.select(at.alias("slot"), *columns, side("old").alias("old"), side("new").alias("new"))
+    return both.withColumn("changed", changed_fields(F.col("old"), F.col("new"), LOG_FIELDS))
+
+
+def with_saves_before(annotated: DataFrame, base: DataFrame) -> DataFrame:
+    """Complete ``saved_before`` in the chunks of hot assets: one row a chunk carries the last save on."""
+    hot = annotated.where(F.col("chunk") > 0)
+    if hot.isEmpty():
+        return annotated
+    saves = hot.groupBy("name", "chunk").agg(F.max(F.when(F.col("saved"), F.col("seq"))).alias("save"))
+    earlier = Window.partitionBy("name").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    first = base.select("name", F.col("last_saved_seq").alias("first_save"))
+    carry = saves.withColumn("save", F.max("save").over(earlier)).join(first, "name", "left")
+    carry = carry.select("name", "chunk", F.greatest("save", "first_save").alias("carried"))
+    found = annotated.join(F.broadcast(carry), ["name", "chunk"], "left")  # a row for each chunk of a hot asset
+    return found.withColumn("saved_before", F.greatest("saved_before", "carried")).select(*annotated.columns)
 
 
 def changed_fields(old: Column, new: Column, fields) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.functions import datum as D
 from rollbook.functions import scalars as S
 from rollbook.operators.skew import spread_filter, spread_lookup
 
@@ -57,6 +58,20 @@ def page_with_default(page: DataFrame, registry: DataFrame) -> DataFrame:
     return page.join(rollup, "holder", "left")
 
 
+def held(state: DataFrame) -> DataFrame:
+    """What the rollup asks about folded states that have a holder; the number comes from the reference datum."""
+    owned = D.with_attributes(state.where(F.col("holder") != ""), "reference_datum")
+    return owned.select(
+        "name",
+        "holder",
+        F.col("created").alias("created_slot"),
+        F.coalesce(F.col("attributes.og_number"), F.lit(0)).alias("og_number"),
+        F.lit("").alias("holder_type"),
+        F.lit("").alias("known_owner_name"),
+        "last_saved_seq",
+    )
+
+
 def touched_holders(before: DataFrame, after: DataFrame) -> DataFrame:
     """Holders with an asset that came, went or changed between two registry states."""
     compared = ("holder", "created_slot", "og_number")

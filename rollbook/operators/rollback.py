@@ -29,6 +29,15 @@ def canonical(ledger: DataFrame, controls: DataFrame, width: int = CHUNK_ROWS) -
     return scanned.where(keep).select(*ledger.columns)
 
 
+def cancelled(rows: DataFrame, controls: DataFrame, width: int = CHUNK_ROWS) -> DataFrame:
+    """Rows (``seq, slot, ...``) that a control row cancels: what ``canonical`` leaves out."""
+    if dict(rows.dtypes)["seq"] == "string":
+        found = _with_block_limits(rows, controls, width)
+    else:
+        found = _allowed(rows, controls, width)
+    return found.where(F.col("slot") > F.col("allowed")).select(*rows.columns)
+
+
 def _allowed(ledger: DataFrame, controls: DataFrame, width: int) -> DataFrame:
     """Rows with the greatest slot that later control rows leave, null without any."""
     marks = controls.select(
@@ -43,12 +52,16 @@ def _allowed(ledger: DataFrame, controls: DataFrame, width: int) -> DataFrame:
     return scanned.where(F.col("is_mark") == 0)
 
 
-def _canonical_blocks(ledger: DataFrame, controls: DataFrame, width: int) -> DataFrame:
+def _with_block_limits(ledger: DataFrame, controls: DataFrame, width: int) -> DataFrame:
     rows = ledger.withColumn("block", position.block_of(F.col("seq")))
     blocks = rows.select("block").distinct().withColumn("seq", position.number_of(F.col("block")))
     marks = controls.select(position.number_of(position.block_of(F.col("bseq"))).alias("bseq"), "bslot")
     allowed = _allowed(blocks, marks, width).where(F.col("allowed").isNotNull()).select("block", "allowed")
-    found = spread_lookup(rows, allowed, "block", F.col("seq"))
+    return spread_lookup(rows, allowed, "block", F.col("seq"))
+
+
+def _canonical_blocks(ledger: DataFrame, controls: DataFrame, width: int) -> DataFrame:
+    found = _with_block_limits(ledger, controls, width)
     return found.where(F.col("allowed").isNull() | (F.col("slot") <= F.col("allowed"))).select(*ledger.columns)
 
 

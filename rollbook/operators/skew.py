@@ -150,6 +150,21 @@ def running_pair(
     return cold.withColumns(plain), running(hot, keys, order, specs, exclusive=True)
 
 
+def checked_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: Column, rows: int) -> DataFrame:
+    """Left join to ``right`` (unique on ``key``, of ``rows`` rows, counted before): a broadcast if these are
+    fewer than hot keys could be, else ``spread_lookup``."""
+    if rows <= MAX_HOT:
+        return left.join(F.broadcast(right), key, "left")
+    return spread_lookup(left, right, key, spread_by)
+
+
+def checked_filter(left: DataFrame, keys: DataFrame, key: str, spread_by: Column, rows: int, keep: bool = True) -> DataFrame:
+    """Rows of ``left`` whose key is (or is not) among ``keys``, unique and counted before."""
+    if rows <= MAX_HOT:
+        return left.join(F.broadcast(keys.select(key)), key, "left_semi" if keep else "left_anti").select(*left.columns)
+    return spread_filter(left, keys, key, spread_by, keep)
+
+
 def spread_filter(
     left: DataFrame, keys: DataFrame, key: str, spread_by: Column, keep: bool = True
 ) -> DataFrame:

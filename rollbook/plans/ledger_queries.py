@@ -346,24 +346,12 @@ _L_ROLLUP = """select holder, count(*) as total_handles, arg_min(name, key) as d
  from s where n_holder <> '') group by holder"""
 
 
-def held(state):
-    return state.where(F.col("holder") != "").select(
-        "name",
-        "holder",
-        F.col("created").alias("created_slot"),
-        F.lit(0).alias("og_number"),
-        F.lit("").alias("holder_type"),
-        F.lit("").alias("known_owner_name"),
-        "last_saved_seq",
-    )
-
-
 @query("st_holder_move", fold_sql(_L_ROLLUP))
 def st_holder_move(spark, sf):
     """Rollup after the second half of the ledger, recomputed for touched holders only."""
     rows = folded_ledger(spark, sf)
     half = rows.where(F.col("seq") <= X.ledger(spark, sf).agg(F.max("seq") / 2).scalar())
-    before, after = held(fold.current_state(half)), held(fold.current_state(rows))
+    before, after = holders.held(fold.current_state(half)), holders.held(fold.current_state(rows))
     changed = holders.touched_holders(before, after)
     rollup = holders.refreshed_rollup(holders.holder_rollup(before), after, changed)
     return rollup.select("holder", "total_handles", "default_handle")
@@ -393,7 +381,7 @@ def default_events(rows: DataFrame) -> DataFrame:
 @query("a_manual_default", fold_sql(MANUAL_DEFAULT))
 def a_manual_default(spark, sf):
     rows = folded_ledger(spark, sf)
-    return holders.manual_defaults(held(fold.current_state(rows)), default_events(rows)).select(*DEFAULT_COLUMNS)
+    return holders.manual_defaults(holders.held(fold.current_state(rows)), default_events(rows)).select(*DEFAULT_COLUMNS)
 
 
 # ------------------------------------------------------------------ change log and rollback

@@ -1,39 +1,62 @@
 """Snapshots: a Parquet folder per slot with a one-row manifest written last.
 
 The manifest holds a fingerprint of each table (rows and an order-free sum of row
-hashes). A snapshot is restored only if its tables still have it, so missing, cut and
-damaged files alike lead to the fallback.
+hashes), observed while the table is written. A snapshot is restored only if its tables still
+have it, so missing, cut and damaged files alike lead to the fallback. ``load`` copies a
+snapshot to where its user works and observes the fingerprint of the copy: one pass.
 """
 
 from __future__ import annotations
 
 import warnings
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.functions import scalars as S
+from rollbook.session import drop_folder
 
 SCHEMA_VERSION = 48
 
 MANIFEST_SCHEMA = (
-    "path string, slot long, hash string, schema_version int, is_remote boolean, fingerprint string"
+    "path string, slot long, hash string, schema_version int, is_remote boolean, fingerprint string, "
+    "tables string, position string"
 )
 TABLES = ("registry", "history")
 
 
-def fingerprint(rows: DataFrame) -> str:
+UNREADABLE = (PySparkException, Py4JJavaError)  # missing or damaged files
+
+
+def _prints(rows: DataFrame) -> list[Column]:
     """Number of rows and the sum of their hashes: one scan, whatever the order of rows and files."""
     texts = [
         F.to_json(F.struct(f.name)) if isinstance(f.dataType, T.MapType) else F.col(f.name) for f in rows.schema
     ]
-    found = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*texts).cast("decimal(38,0)")).alias("h")).first()
-    return f"{found['n']}:{found['h'] or 0}"
+    return [F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*texts).cast("decimal(38,0)")).alias("h")]
+
+
+def _as_text(found) -> str:
+    return f"{found['n']}:{int(found['h'] or 0)}"
+
 
+def fingerprint(rows: DataFrame) -> str:
+    return _as_text(rows.agg(*_prints(rows)).first())
+
+
+def write_observed(rows: DataFrame, path: str) -> str:
+    """Write a table and return the fingerprint of what was written, without a second scan."""
+    seen = Observation()
+    rows.observe(seen, *_prints(rows)).write.mode("overwrite").parquet(path)
+    return _as_text(seen.get)
 
-def stored_fingerprint(spark: SparkSession, path: str) -> str:
-    return ",".join(fingerprint(spark.read.parquet(f"{path}/{table}")) for table in TABLES)
+
+def stored_fingerprint(spark: SparkSession, path: str, tables: tuple[str, ...] = TABLES) -> str:
+    return ",".join(fingerprint(spark.read.parquet(f"{path}/{table}")) for table in tables)
 
 
 def prune(registry: DataFrame, cutoff: int) -> DataFrame:
@@ -56,21 +79,42 @@ def write(
     block_hash: str,
     is_remote: bool = False,
     version: int = SCHEMA_VERSION,
+    more: dict[str, DataFrame] | None = None,
+    position: str | None = None,
 ) -> str:
     """Write one snapshot; nothing is written before the first block. The manifest goes
-    last, so a job that dies half-way leaves no snapshot that could be chosen."""
+    last, so a job that dies half-way leaves no snapshot that could be chosen.
+
+    ``more`` are further tables, ``position`` is the place in the source up to which rows are in it.
+    """
     if slot == 0:
         raise ValueError("no snapshot before the first block")
     path = f"{base}/slot={slot}"
-    registry.write.mode("overwrite").parquet(f"{path}/registry")
-    history.write.mode("overwrite").parquet(f"{path}/history")
-    spark = registry.sparkSession
-    line = (path, slot, block_hash, version, is_remote, stored_fingerprint(spark, path))
-    manifest = spark.createDataFrame([line], MANIFEST_SCHEMA)
+    tables = {"registry": registry, "history": history} | (more or {})
+    prints = [write_observed(rows, f"{path}/{table}") for table, rows in tables.items()]
+    line = (path, slot, block_hash, version, is_remote, ",".join(prints), ",".join(tables), position)
+    manifest = registry.sparkSession.createDataFrame([line], MANIFEST_SCHEMA)
     manifest.write.mode("append").parquet(f"{base}/manifest")
     return path
 
 
+def due(spark: SparkSession, base: str, slot: int, period: int) -> bool:
+    """Whether the newest snapshot is at least ``period`` slots old, or there is none."""
+    try:
+        newest = read_manifest(spark, base).agg(F.max("slot")).first()[0]
+    except UNREADABLE:  # nothing was written yet
+        return slot > 0
+    return slot > 0 and (newest is None or slot - newest >= period or slot < newest)
+
+
+def drop_old(spark: SparkSession, base: str, keep: int = 2) -> None:
+    """Remove the tables of all snapshots but those that would be tried; the manifest keeps their lines."""
+    kept = {path for path, *_ in candidates(spark, base, keep)}
+    done = read_manifest(spark, base).select("path").distinct().where(~F.col("path").isin(list(kept) or [""]))
+    for row in done.orderBy(F.length("path").desc(), F.col("path").desc()).limit(100).collect():
+        drop_folder(spark, row["path"])
+
+
 def read_manifest(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{base}/manifest")
 
@@ -96,11 +140,11 @@ def ranked(manifest: DataFrame, group: list[str]) -> DataFrame:
     return usable(manifest).withColumn("attempt", F.row_number().over(order))
 
 
-def candidates(spark: SparkSession, base: str) -> list[tuple[str, str]]:
-    """Paths to try with their fingerprints, best first. Two at most: the first and one fallback."""
+def candidates(spark: SparkSession, base: str, most: int = 2) -> list[tuple]:
+    """(path, fingerprint, tables, slot, position) of snapshots to try, best first: by default the first and one fallback."""
     order = (F.col("slot").desc(), F.col("is_remote").desc())
-    best = usable(read_manifest(spark, base)).orderBy(*order).limit(2)
-    return [(r["path"], r["fingerprint"]) for r in best.collect()]
+    best = usable(read_manifest(spark, base)).orderBy(*order).limit(most)
+    return [(r["path"], r["fingerprint"], tuple(r["tables"].split(",")), r["slot"], r["position"]) for r in best.collect()]
 
 
 def restore(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame] | None:
@@ -108,11 +152,29 @@ def restore(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame] | Non
 
     Rollups are not stored: they are derived again from the registry.
     """
-    for path, expected in candidates(spark, base):
+    for path, expected, tables, _, _ in candidates(spark, base):
         try:
-            if stored_fingerprint(spark, path) == expected:
+            if stored_fingerprint(spark, path, tables) == expected:
                 return tuple(spark.read.parquet(f"{path}/{table}") for table in TABLES)
-        except Exception as broken:  # missing or unreadable files: take the fallback
+            warnings.warn(f"snapshot {path} is not what was written", stacklevel=2)
+        except UNREADABLE as broken:  # take the fallback
+            warnings.warn(f"snapshot {path} cannot be read: {type(broken).__name__}", stacklevel=2)
+    return None
+
+
+def load(spark: SparkSession, base: str, place: Callable[[str], str]) -> tuple[int, str | None] | None:
+    """Copy the best sound snapshot's tables to ``place(table)``; its slot and position, or ``None``.
+
+    The fingerprint is that of the copy, taken while it is written. A damaged snapshot
+    is found out by it, and the next one overwrites what was copied.
+    """
+    for path, expected, tables, slot, position in candidates(spark, base):
+        try:
+            prints = [write_observed(spark.read.parquet(f"{path}/{table}"), place(table)) for table in tables]
+            if ",".join(prints) == expected:
+                return slot, position
+            warnings.warn(f"snapshot {path} is not what was written", stacklevel=2)
+        except UNREADABLE as broken:  # take the fallback
             warnings.warn(f"snapshot {path} cannot be read: {type(broken).__name__}", stacklevel=2)
     return None
 

@@ -42,7 +42,7 @@ def envelopes(spark, rows, marks):
 def whole(spark, rows, marks):
     """One fold over densely numbered rows."""
     nested = spark.createDataFrame(rows, B.BLOCK)
-    ledger = B.ledger_rows(nested, X.POLICIES).localCheckpoint()
+    ledger = B.ledger_rows(nested, X.POLICIES).cache()
     ends = ledger.join(spark.createDataFrame(marks, "mseq long, bslot long"), F.col("slot") <= F.col("mseq") * 10)
     controls = ends.groupBy("mseq", "bslot").agg(F.max("seq").alias("bseq")).select("bseq", "bslot")
     return fold.current_state(fold.annotate(rollback.canonical(ledger, controls), detail=True))
@@ -51,8 +51,8 @@ def whole(spark, rows, marks):
 @pytest.mark.parametrize("n, width, seed", [(1, 1 << 20, 1), (2, 3, 2)])
 def test_blocks_of_several_transactions_equal_one_fold(spark, n, width, seed):
     rows, marks = random_blocks(seed), [(4, 20), (6, 50)]
-    sent = envelopes(spark, rows, marks).localCheckpoint()
-    stream = RegistryStream(spark, scratch_dir(spark, "registry"), width)
+    sent = envelopes(spark, rows, marks).cache()
+    stream = RegistryStream(spark, scratch_dir(spark, "registry"), width, seq="string")
     process = stream.process_envelopes(X.POLICIES)
     for i in range(n):  # transactions of a block fall into different batches, later ones first
         part = F.coalesce(F.col("block.tx_pos"), F.lit(0)) if n > 1 else F.lit(0)
@@ -67,7 +67,7 @@ def test_a_backward_envelope_cancels_all_of_a_long_block(spark):
     row = lambda seq, outs: (seq, 0, seq * 10, 0, f"t{seq}", 1, 0, outs, {}, None)
     out = lambda i, asset: (i, "addr", 5, {X.POLICIES[0]: {asset.encode().hex(): 1}}, None, None)
     rows = [row(1, [out(0, "a1")]), row(2, [out(i, "b2") for i in (0, 1 << 20, (1 << 21) + 5, 2**31 - 1)]), row(3, [out(0, "c3")])]
-    stream = RegistryStream(spark, scratch_dir(spark, "registry"), 3)
+    stream = RegistryStream(spark, scratch_dir(spark, "registry"), 3, seq="string")
     stream.process_envelopes(X.POLICIES)(envelopes(spark, rows, [(2, 15)]), 0)
     assert sorted(states(stream.registry())) == ["a1", "c3"]
 
