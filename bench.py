@@ -14,6 +14,7 @@ import os
 import sys
 import tempfile
 import time
+from functools import partial
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -22,10 +23,12 @@ HEADLINE = (
     "p_settings p_personalization p_reference s_name_asc j_by_address sink_name_list p_script "
     "a_holder_rollup p_asset_view j_list_search j_availability j_reconcile st_owner_upsert st_change_log "
     "a_manual_default st_canonical_chain st_rewind w_accept_gate etl_scanned_event k_datum_attrs "
-    "enrich_content s_keyset"
+    "enrich_content s_keyset f_search_postings s_random_page j_by_holder"
 ).split()
 #: Run once: their time is mostly that of what they write.
-ONCE = "st_block_fold src_block_stream sink_foreach_batch st_stateful_stream snap_restore snap_history".split()
+ONCE = (
+    "st_block_fold src_block_stream st_block_stream sink_foreach_batch st_resume_stream st_stateful_stream snap_restore snap_history"
+).split()
 
 
 def main() -> None:
@@ -50,6 +53,8 @@ def bench(scratch: str) -> None:
         ("registry", fixtures.registry),
         ("blocks", fixtures.blocks),
         ("folded", ledger_queries.folded_ledger),
+        ("postings", fixtures.search_index),
+        *((f"by_{key}", partial(fixtures.registry_by, key=key)) for key in fixtures.LOOKUP_KEYS),
     ):
         start = time.perf_counter()
         build(spark, sf_dir)

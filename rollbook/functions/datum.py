@@ -139,6 +139,7 @@ def _overwritten(a: Column, p: Column) -> Column:
         p["virtual"]["expires_time"].alias("virtual_expires_time"),
         F.when(p["virtual"].isNotNull(), truthy(p["virtual"]["public_mint"])).alias("virtual_public_mint"),
         F.regexp_replace(p["resolved_addresses"]["ada"], "^(.*?)0x", "$1").alias("virtual_address"),
+        F.map_filter(p["resolved_addresses"], lambda chain, _: chain != "ada").alias("other_addresses"),
     )
 
 
@@ -149,12 +150,16 @@ def missing_keys(json: Column, required: tuple[str, ...]) -> Column:
 
 def settings(datum: Column) -> Column:
     """Positional settings array to a struct; a bad datum gives a struct of nulls."""
+    return F.struct(*settings_fields(datum))
+
+
+def settings_fields(datum: Column) -> list[Column]:
     items = F.from_json(datum, T.ArrayType(T.StringType()))
     block = lambda i: F.from_json(F.get(items, F.lit(i)), T.ArrayType(T.StringType()))
-    return F.struct(
+    return [
         *[
             F.struct(*[F.get(block(i), F.lit(j)).alias(f) for j, f in enumerate(TYPE_FIELDS)]).alias(name)
             for i, name in enumerate(SETTINGS_FIELDS[:2])
         ],
         *[F.get(items, F.lit(i)).alias(name) for i, name in enumerate(SETTINGS_FIELDS) if i > 1],
-    )
+    ]

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.operators.skew import CHUNK_ROWS, split_hot
+from rollbook.functions import datum as D
+from rollbook.operators.skew import CHUNK_ROWS, split_counted
 
 # Operation codes
 MINT, TRANSFER, REFERENCE, VIRTUAL, SETTINGS, BURN, REJECT = range(7)
@@ -45,6 +46,9 @@ class Event(NamedTuple):
     holder: str
     lovelace: int
     datum: str | None
+    valid: int  # 1 if the datum is an asset datum
+    built: str | None  # what a row is built from when the asset is created, as JSON
+    script: str | None  # of the output, as JSON
 
 
 class State(NamedTuple):
@@ -60,6 +64,22 @@ class State(NamedTuple):
     reference_datum: str | None
     settings_seq: int | None
     settings_datum: str | None
+    # only of interest to whole registry rows
+    built: str | None
+    script: str | None
+    valid_datum: str | None  # the last reference datum that was an asset datum
+    virtual_datum: str | None
+    reference_place: str | None  # output of the last reference or virtual event: utxo, lovelace, address
+    settings_place: str | None
+
+
+#: Fields every user of the fold asks for; the others are those of whole registry rows.
+DETAIL = State._fields[:12]
+PLACE_MARK = "\u001f"
+
+
+def place(e: Event) -> str:
+    return PLACE_MARK.join((e.utxo or "", str(e.lovelace or 0), e.holder or ""))
 
 
 def advance(state: State | None, e: Event):
@@ -73,30 +93,24 @@ def advance(state: State | None, e: Event):
     if state is None:
         if e.op == SETTINGS:
             return None, False, False
-        state = State(1, e.slot, e.slot, e.seq, "", "", 0, None, None, None, None, None)
+        state = State(1, e.slot, e.slot, e.seq, "", "", 0, *[None] * 5, e.built, *[None] * 5)
     elif e.slot < state.updated:
         if e.op == MINT and e.slot < state.created:
             state = state._replace(created=e.slot)
         return state, False, True
     if e.op == SETTINGS:
-        return state._replace(updated=e.slot, settings_seq=e.seq, settings_datum=e.datum), True, True
-    if e.op == REFERENCE:
-        return state._replace(updated=e.slot, reference_seq=e.seq, reference_datum=e.datum), True, True
-    if e.op == VIRTUAL:
-        return (
-            state._replace(
-                updated=e.slot,
-                utxo=e.utxo,
-                holder=e.holder,
-                reference_seq=e.seq,
-                reference_datum=e.datum,
-            ),
-            True,
-            True,
-        )
+        changes = {"settings_seq": e.seq, "settings_datum": e.datum, "settings_place": place(e)}
+        return state._replace(updated=e.slot, **changes), True, True
+    if e.op in (REFERENCE, VIRTUAL):
+        changes = {"reference_seq": e.seq, "reference_datum": e.datum, "reference_place": place(e)}
+        if e.valid:
+            changes["valid_datum"] = e.datum
+        if e.op == VIRTUAL:
+            changes |= {"utxo": e.utxo, "holder": e.holder, "virtual_datum": e.datum}
+        return state._replace(updated=e.slot, **changes), True, True
     twice = e.op == MINT and state.utxo != "" and state.utxo != e.utxo
     head = (state.amount + twice, e.slot, state.created, state.life)
-    return State(*head, e.utxo, e.holder, e.lovelace, e.datum, *state[8:]), True, True
+    return State(*head, e.utxo, e.holder, e.lovelace, e.datum, *state[8:13], e.script, *state[14:]), True, True
 
 
 def op_code(kind: Column, datum: Column) -> Column:
@@ -120,7 +134,7 @@ def sorted_by_key(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """
     return rows.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
 
-STRINGS = ("utxo", "holder", "datum", "reference_datum", "settings_datum")
+STRINGS = ("utxo", "holder", "datum", "reference_datum", "settings_datum", *State._fields[12:])
 PLACES = ("life", "reference_seq", "settings_seq")  # of the type of seq: long, or string for positions
 BRIEF = ("amount", "updated", "created", "life", "utxo")
 
@@ -201,7 +215,7 @@ RUN, BASE, TABLE = 7, 8, 9
 def ops_sql(seq: str = "long") -> str:
     return (
         f"name string, chunk long, op_no long, op long, slot long, seq {seq}, utxo string, holder string, "
-        f"lovelace long, datum string, low long, high long, {state_sql('p_', seq=seq)}, {state_sql('z_', seq=seq)}"
+        f"lovelace long, datum string, valid long, built string, script string, low long, high long, {state_sql('p_', seq=seq)}, {state_sql('z_', seq=seq)}"
     )
 
 
@@ -440,32 +454,49 @@ def incoming_states(hot: DataFrame, base: DataFrame | None = None) -> DataFrame:
     return chained.mapInArrow(partial(_chain, seq=seq), f"name string, chunk long, {state_sql('in_', seq=seq)}")
 
 
+def _payload(ledger: DataFrame, whole: bool) -> dict[str, Column]:
+    """Columns of an event that a ledger may lack."""
+    asked = F.when(F.col("kind").isin("reference", "virtual"), D.is_asset_datum(D.parts(F.col("datum")))).cast("long")
+    lacking = {"valid": F.coalesce(asked, F.lit(0).cast("long")) if whole else F.lit(0).cast("long")}
+    lacking |= {c: F.lit(None).cast("string") for c in ("built", "script")}
+    return {c: v for c, v in lacking.items() if c not in ledger.columns}
+
+
+def coded(ledger: DataFrame, whole: bool = False) -> DataFrame:
+    """Ledger rows with all that an ``Event`` has."""
+    return ledger.withColumns({"op": op_code(F.col("kind"), F.col("datum")).cast("long")} | _payload(ledger, whole))
+
+
 def annotate(
     ledger: DataFrame,
     width: int = CHUNK_ROWS,
     detail: bool = False,
     base: DataFrame | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Every ledger row with ``accepted``, ``saved`` and the state before and after it.
 
-    ``detail`` adds the payload fields to the states; the brief form has the
-    counters, the life and the output only. ``base`` gives states to start from, with the
+    ``detail`` adds the payload fields to the states, ``whole`` all that registry rows need; the brief
+    form has the counters, the life and the output only. ``base`` gives states to start from, with the
     arrival of their last save. ``saved_before`` is the asset's save before a row; for a
     chunk of a hot asset it starts anew (``with_saves_before`` adds the earlier chunks).
     """
-    fields = State._fields if detail else BRIEF
+    fields = State._fields if whole else DETAIL if detail else BRIEF
     seq = dict(ledger.dtypes)["seq"].replace("bigint", "long")
-    events = ledger.withColumn("op", op_code(F.col("kind"), F.col("datum")).cast("long"))
-    cold, hot = split_hot(events, "name", "seq", width)
+    events = coded(ledger, whole)
+    cold, hot = split_counted(events, "name", "seq", width)
     no_save = F.lit(None).cast(seq)
     if base is None:
         cold = cold.withColumns(_field_nulls("in_", seq) | {"in_last_saved_seq": no_save})
     else:
+        base = base.withColumns({f: F.lit(None).cast("string") for f in State._fields[12:] if f not in base.columns})
         last = F.col("last_saved_seq") if "last_saved_seq" in base.columns else no_save
         start = base.select("name", *[F.col(f).alias(f"in_{f}") for f in State._fields], last.alias("in_last_saved_seq"))
         cold = cold.join(start, "name", "left")
-    warm = hot.join(incoming_states(hot, base), ["name", "chunk"], "left").withColumn("in_last_saved_seq", no_save)
-    both = cold.unionByName(warm)
+    both = cold
+    if hot is not None:
+        warm = hot.join(incoming_states(hot, base), ["name", "chunk"], "left").withColumn("in_last_saved_seq", no_save)
+        both = cold.unionByName(warm)
     schema = ", ".join(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema if not f.name.startswith("in_")]
         + ["accepted boolean", "saved boolean", f"saved_before {seq}", state_sql("old_", fields, seq), state_sql("new_", fields, seq)]
@@ -493,7 +524,7 @@ def current_state(annotated: DataFrame) -> DataFrame:
     return final_state(annotated).where(F.col("life").isNotNull())
 
 
-LOG_FIELDS = tuple(f for f in State._fields if not f.endswith("datum") and f != "life")
+LOG_FIELDS = tuple(f for f in DETAIL if not f.endswith("datum") and f != "life")
 
 
 def change_log(annotated: DataFrame) -> DataFrame:
@@ -511,7 +542,8 @@ def sides(annotated: DataFrame, *columns: str | Column) -> DataFrame:
     """``slot``, the columns asked for, the states before and after each row, and the names of the fields that differ."""
 
     def side(name: str) -> Column:
-        body = F.struct(*[F.col(f"{name}_{f}").alias(f) for f in State._fields])
+        fields = [f for f in State._fields if f"{name}_{f}" in annotated.columns]
+        body = F.struct(*[F.col(f"{name}_{f}").alias(f) for f in fields])
         return F.when(F.col(f"{name}_life").isNotNull(), body)
 
     at = F.when(F.col("accepted"), F.col("slot")).otherwise(F.col("new_updated"))

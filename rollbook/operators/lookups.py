@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +23,7 @@ def by_hex(requests: DataFrame, registry: DataFrame) -> DataFrame:
     )
 
 
-def stake_key(registry: DataFrame) -> Column:
+def stake_key() -> Column:
     """Key of the stake-hash index: tail of the stored id hash, else md5 of the stake hash."""
     return F.coalesce(
         F.substr(F.regexp_replace("id_hash", "^(.*?)0x", "$1"), F.lit(35)),
@@ -33,25 +31,16 @@ def stake_key(registry: DataFrame) -> Column:
     )
 
 
-def names_where(registry: DataFrame, column: str | Column, keys: DataFrame) -> DataFrame:
-    """Names whose key is on the list. A semi join, so repeated keys do not repeat names
-    and a key that matches a third of the registry is split by adaptive execution."""
-    key = F.col(column) if isinstance(column, str) else column
-    probe = registry.select("name", key.alias("probe"))
-    return probe.join(keys.toDF("probe"), "probe", "left_semi").select("name")
-
-
-def by_holder(registry: DataFrame, holders: DataFrame) -> DataFrame:
-    """``holders`` has ``address, stake_hash``: names held by the address or its stake hash."""
-    direct = names_where(registry, "holder", holders.select("address"))
-    staked = by_stake_hash(registry, holders.select("stake_hash"))
-    return direct.unionByName(staked).distinct()
+def by_holder(by_address: DataFrame, by_stake: DataFrame, holders: DataFrame) -> DataFrame:
+    """``holders`` has ``address, stake_hash``: names held by the address or its stake hash, from the copies
+    clustered by holder and by stake key."""
+    direct = at_keys(by_address, holders.select("address")).select("name")
+    return direct.unionByName(by_stake_hash(by_stake, holders.select("stake_hash"))).distinct()
 
 
-def by_stake_hash(registry: DataFrame, hashes: DataFrame) -> DataFrame:
-    column = hashes.columns[0]
-    keys = hashes.select(S.md5_of_hex(F.col(column)))
-    return names_where(registry, stake_key(registry), keys)
+def by_stake_hash(by_stake: DataFrame, hashes: DataFrame) -> DataFrame:
+    keys = hashes.select(S.md5_of_hex(F.col(hashes.columns[0])))
+    return at_keys(by_stake, keys).select("name")
 
 
 def names_of_assets(assets: DataFrame) -> DataFrame:
@@ -85,21 +74,71 @@ def pattern_ok(name: Column) -> Column:
     return plain | sub
 
 
-def availability(requests: DataFrame, registry: DataFrame, denied: dict[str, int]) -> DataFrame:
-    """Answer code per requested name: 200 taken, 406 bad name, the word's code, 404 free.
+def word_codes(names: DataFrame, words: DataFrame) -> DataFrame:
+    """``name, code``: the smallest code among the words that a name holds; names without any are left out.
 
-    The word list is configuration; it is matched in one expression per row, so
-    there is no pairing of names with words.
+    Every stretch of a name that is as long as some word is looked up in the table of ``word, code``
+    by an equal join: no pairing of names with words, and the table may be of any size.
     """
+    lengths = [r[0] for r in words.select(F.length("word").alias("n")).where("n between 1 and 28").distinct().collect()]
+    if not lengths:
+        return names.limit(0).select("name", F.lit(0).alias("code"))
+    name = F.col("name")
+
+    def stretches(n: int) -> Column:
+        last = F.length(name) - (n - 1)
+        places = F.filter(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: i <= last)
+        return F.transform(places, lambda i: F.substr(name, i, F.lit(n)))
+
+    every = F.array_distinct(F.flatten(F.array(*map(stretches, sorted(lengths)))))
+    held = names.select("name").distinct().select("name", F.explode(every).alias("word"))
+    return held.join(words, "word").groupBy("name").agg(F.min("code").alias("code"))
+
+
+def availability(requests: DataFrame, registry: DataFrame, words: DataFrame) -> DataFrame:
+    """Answer code per requested name: 200 taken, 406 bad name, the smallest code of the words in it
+    (``words`` has ``word, code``), 404 free."""
     found = by_name(requests, registry, ["utxo"])
-    code = F.lit(404)
-    for value in sorted(set(denied.values())):
-        words = "|".join(re.escape(w) for w, c in denied.items() if c == value)
-        code = F.when(F.col("name").rlike(words), value).otherwise(code)
+    # words are asked about acceptable names only, which have at most 28 characters
+    open_names = found.where(F.col("utxo").isNull() & pattern_ok(F.col("name")))
+    coded = spread_lookup(found, word_codes(open_names, words), "name", F.col("request_id"))
     answer = (
         F.when(S.live(F.col("utxo")), 200)
         .when(F.col("utxo").isNotNull(), 404)
         .when(~pattern_ok(F.col("name")), 406)
-        .otherwise(code)
+        .otherwise(F.coalesce("code", F.lit(404)))
     )
-    return found.select("request_id", "name", answer.alias("code"))
+    return coded.select("request_id", "name", answer.alias("code"))
+
+
+# ------------------------------------------------------------------ copies clustered by a key
+
+FOLDERS = 64  # of a clustered copy
+FEW_KEYS = 1 << 16  # a list up to this length is broadcast
+
+
+def folder_of(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FOLDERS)).cast("int")
+
+
+def clustered(registry: DataFrame, key: Column) -> DataFrame:
+    """The registry with ``lookup_key`` and the ``folder`` it belongs to, to be written by folder. A key
+    of very many rows fills several files of its folder: rows are dealt by ranges of (folder, key, name)."""
+    rows = registry.withColumn("lookup_key", key).withColumn("folder", folder_of(F.col("lookup_key")))
+    return rows.repartitionByRange("folder", "lookup_key", "name").sortWithinPartitions("folder", "lookup_key", "name")
+
+
+def at_key(copy: DataFrame, key: str) -> DataFrame:
+    """Rows of one key: one folder, and in it the row groups that can hold the key."""
+    folder = copy.sparkSession.range(1).select(folder_of(F.lit(key))).first()[0]
+    return copy.where((F.col("folder") == folder) & (F.col("lookup_key") == key))
+
+
+def at_keys(copy: DataFrame, keys: DataFrame) -> DataFrame:
+    """Rows whose key is on the list: only the folders of listed keys are read, and the copy is not
+    shuffled for a list of up to ``FEW_KEYS``."""
+    asked = keys.toDF("lookup_key").where(F.col("lookup_key").isNotNull()).distinct()
+    per_folder = asked.groupBy(folder_of(F.col("lookup_key")).alias("folder")).count().collect()  # at most FOLDERS rows
+    rows = copy.where(F.col("folder").isin([r["folder"] for r in per_folder]))
+    short = sum(r["count"] for r in per_folder) <= FEW_KEYS
+    return rows.join(F.broadcast(asked) if short else asked, "lookup_key", "left_semi")

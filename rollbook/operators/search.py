@@ -101,7 +101,7 @@ class PageSpec:
             raise ValueError(f"a page has 1 to {MAX_PAGE} rows")
         _check(self.sort in S.SORTS, "sort")
         _check(self.page is None or self.slot is None, "page_slot")
-        _check(self.after is None or (self.page is None and self.slot is None and self.sort != "random"), "page_slot")
+        _check(self.after is None or (self.page is None and self.slot is None), "page_slot")
 
     @property
     def offset(self) -> int:
@@ -144,12 +144,18 @@ def matches(registry: DataFrame, spec: SearchSpec) -> DataFrame:
     return rows.join(names.select("name"), "name", "left_semi")
 
 
+def shuffled(name: Column, seed: int) -> Column:
+    """A name's place in the random order of a seed: a keyed digest, so pages of one seed fit
+    together whatever the partitions, and a page can start after a name."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), name))
+
+
 def order_columns(page: PageSpec) -> list[Column]:
     if page.slot is not None:
         slot = F.col("updated_slot")
         return [slot.desc() if page.sort == "desc" else slot.asc(), S.sort_name(F.col("name")).asc()]
     if page.sort == "random":
-        return [F.rand(page.seed)]
+        return [shuffled(F.col("name"), page.seed), F.col("name")]
     name = S.sort_name(F.col("name"))
     return [name.desc() if page.sort == "desc" else name.asc()]
 
@@ -167,8 +173,11 @@ def skip_first(rows: DataFrame, page: PageSpec) -> DataFrame:
     """
     if not page.offset:
         return rows
-    name = S.sort_name(F.col("name"))
     last = rows.select("name").orderBy(*order_columns(page)).limit(page.offset)
+    if page.sort == "random":
+        place = F.struct(*order_columns(page))
+        return rows.where(place > last.agg(F.max(place)).scalar())
+    name = S.sort_name(F.col("name"))
     if page.sort == "desc":
         return rows.where(name < last.agg(F.min(name)).scalar())
     return rows.where(name > last.agg(F.max(name)).scalar())
@@ -176,6 +185,9 @@ def skip_first(rows: DataFrame, page: PageSpec) -> DataFrame:
 
 def from_name(rows: DataFrame, page: PageSpec) -> DataFrame:
     """Rows that follow the name ``page.after`` in the page's order."""
+    if page.sort == "random":
+        last = F.struct(shuffled(F.lit(page.after), page.seed), F.lit(page.after))
+        return rows.where(F.struct(*order_columns(page)) > last)
     name, last = S.sort_name(F.col("name")), S.sort_name(F.lit(page.after))
     return rows.where(name < last if page.sort == "desc" else name > last)
 
@@ -194,12 +206,42 @@ def paged(rows: DataFrame, page: PageSpec) -> DataFrame:
         ordered = rows.orderBy(*order_columns(page))
         return ordered if page.show_all else ordered.limit(page.size)
     if page.show_all:
-        if page.sort == "random":
-            return rows.orderBy(*order_columns(page))
         return skip_first(rows, page).orderBy(*order_columns(page))
     return rows.orderBy(*order_columns(page)).offset(page.offset).limit(page.size)
 
 
+# ------------------------------------------------------------------ substring index
+
+GRAM = 3  # the shortest text that can be searched
+
+
+def grams(text: Column) -> Column:
+    """All different stretches of ``GRAM`` characters of a text."""
+    count = F.greatest(F.length(text) - (GRAM - 1), F.lit(0))
+    places = F.filter(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: i <= count)
+    return F.array_distinct(F.transform(places, lambda i: F.substr(text, i, F.lit(GRAM))))
+
+
+def postings(registry: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """A row for each stretch of a name or its hex, with what a search shows, clustered by stretch: a search
+    reads the part of the table that holds one of them. A stretch of very many names is many rows, in as many files."""
+    every = F.array_union(grams(F.col("name")), grams(F.col("hex")))
+    rows = registry.select("name", "hex", *columns, F.explode(every).alias("gram"))
+    return rows.repartitionByRange("gram", "name").sortWithinPartitions("gram", "name")
+
+
+def search_postings(index: DataFrame, text: str) -> DataFrame:
+    """Rows whose name or hex holds ``text``: those posted under its rarest stretch, each verified."""
+    _check(len(text) >= GRAM, "search")
+    asked = sorted({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
+    rarest = asked[0]
+    if len(asked) > 1:
+        counts = {r["gram"]: r["count"] for r in index.where(F.col("gram").isin(asked)).groupBy("gram").count().collect()}
+        rarest = min(asked, key=lambda g: (counts.get(g, 0), g))
+    found = F.col("name").contains(text) | F.col("hex").contains(text)
+    return index.where((F.col("gram") == rarest) & found).drop("gram")
+
+
 def search_total(rows: DataFrame) -> Column:
     """Number of matches as a scalar to put next to a page."""
     return rows.agg(F.count(F.lit(1))).scalar()

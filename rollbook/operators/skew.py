@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.operators import position
+from rollbook.session import materialized
 
 MAX_HOT = 65536
 MAX_CHUNKS = 4096
@@ -26,19 +27,46 @@ def hot_keys(df: DataFrame, key: str, min_rows: int) -> DataFrame:
     return counts.where((F.col("hot_rows") > min_rows) & (F.col("hot_rows") * MAX_HOT > total))
 
 
+def counted_hot(df: DataFrame, key: str, min_rows: int) -> DataFrame | None:
+    """``hot_keys``, counted now in one pass: ``None`` if there are none, else a table of fewer than 65536 rows."""
+    large = df.groupBy(key).agg(F.count(F.lit(1)).alias("hot_rows")).where(F.col("hot_rows") > min_rows)
+    found = large.orderBy(F.desc("hot_rows")).limit(MAX_HOT).collect()
+    if not found:
+        return None
+    total = df.count()
+    rows = [(r[key],) for r in found if r["hot_rows"] * MAX_HOT > total]
+    return df.sparkSession.createDataFrame(rows, df.select(key).schema) if rows else None
+
+
 def split_hot(
     df: DataFrame, key: str, order: str, width: int = CHUNK_ROWS
 ) -> tuple[DataFrame, DataFrame]:
+    """``split_counted`` with a table on both sides."""
+    cold, hot = split_counted(df, key, order, width)
+    return cold, df.sparkSession.createDataFrame([], cold.schema) if hot is None else hot
+
+
+def split_counted(
+    df: DataFrame, key: str, order: str, width: int = CHUNK_ROWS
+) -> tuple[DataFrame, DataFrame | None]:
     """Rows of ordinary keys (``chunk`` 0) and of hot keys (chunks from 1 on, which follow ``order``).
 
+    Keys are counted at once. Without hot keys the second side is an empty table (``None`` from
+    ``split_counted``) and the plan has one scan of ``df``; with some, the rows are written once, marked,
+    and both sides read that.
+
     ``order`` is unique per row. Its values are cut into cells of ``width`` / 2 numbers (of a
     position in the stream of blocks: output indexes within a transaction), and cells of a key go to one chunk while their rows, counted, are at most ``width``: a hot key
     of n rows has at most 1 + 2 n / width chunks, however sparse its values are. Cells are
-    counted up in two levels. Without hot keys the second plan is empty once the broadcast
-    is known, and adaptive execution drops it.
+    counted up in two levels.
     """
-    hot = F.broadcast(hot_keys(df, key, width).select(key))
-    cold_rows = df.join(hot, key, "left_anti").withColumn("chunk", F.lit(0).cast("long"))
+    hot = counted_hot(df, key, width)
+    zero = F.lit(0).cast("long")
+    if hot is None:
+        return df.withColumn("chunk", zero), None
+    listed = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
+    marked = materialized(df.join(listed, key, "left").select(*df.columns, F.coalesce("is_hot", F.lit(False)).alias("is_hot")), "marked")
+    cold_rows = marked.where(~F.col("is_hot")).drop("is_hot").withColumn("chunk", zero)
     half = max(1, width // 2)
     at = F.col(order)
     if dict(df.dtypes)[order] == "string":
@@ -46,7 +74,7 @@ def split_hot(
     else:
         part, number, span = F.lit(""), at, at / half
     cell = F.struct(part.alias("part"), F.floor(number / half).alias("place"))
-    hot_rows = df.join(hot, key, "left_semi").withColumns({"cell": cell, "span": F.floor(span / max(2, width))})
+    hot_rows = marked.where("is_hot").withColumns({"cell": cell, "span": F.floor(span / max(2, width))})
     cells = hot_rows.groupBy(key, "cell").agg(F.count(F.lit(1)).alias("size"), F.min("span").alias("chunk"))
     placed = running(
         cells, [key], ["cell"], {"earlier": ("sum", F.col("size"))}, exclusive=True
@@ -136,8 +164,8 @@ def running(
 
 
 def running_pair(
-    pair: tuple[DataFrame, DataFrame], keys: list[str], order: list[str], specs: Specs
-) -> tuple[DataFrame, DataFrame]:
+    pair: tuple[DataFrame, DataFrame | None], keys: list[str], order: list[str], specs: Specs
+) -> tuple[DataFrame, DataFrame | None]:
     """Exclusive running aggregates for the two sides of ``split_hot``: a plain window for
     ordinary keys, two levels for hot ones."""
     cold, hot = pair
@@ -147,7 +175,7 @@ def running_pair(
         out: F.coalesce(value, F.lit(0)) if specs[out][0] == "sum" else value
         for out, value in plain.items()
     }
-    return cold.withColumns(plain), running(hot, keys, order, specs, exclusive=True)
+    return cold.withColumns(plain), None if hot is None else running(hot, keys, order, specs, exclusive=True)
 
 
 def checked_lookup(left: DataFrame, right: DataFrame, key: str, spread_by: Column, rows: int) -> DataFrame:

@@ -252,12 +252,16 @@ def st_route(spark, sf):
 
 
 BLOCK_LEDGER = f"""{BLOCK_CTE},
+meta as (select distinct l_orderkey as ok, policy as pol, meta_key as mk from ln where qty > 0),
 ord as (select l_orderkey, slot, 0 as phase, 0 as out_pos, asset, cast(null as varchar) as utxo,
    cast(null as varchar) as address, cast(null as bigint) as lovelace, cast(null as varchar) as datum,
-   false as is_mint, cast(null as varchar) as code from mints where qty = -1 and {ALLOWED}
+   false as is_mint, cast(null as varchar) as code, cast(null as varchar) as hex, policy, cast(null as varchar) as mk,
+   cast(null as varchar) as language from mints where qty = -1 and {ALLOWED}
    and substr(asset, 1, 8) not in ('000643b0', '00001070')
- union all select l_orderkey, slot, 1, out_pos, asset, {UTXO}, address, lovelace, datum, {_IS_MINT}, code
-   from ln where {ALLOWED} and asset <> ''),
+ union all select l_orderkey, slot, 1, out_pos, asset, {UTXO}, address, lovelace, datum, {_IS_MINT}, code, {REG_HEX}, policy,
+   mk, language from ln left join meta on ok = l_orderkey and pol = policy
+     and mk = case when code is null then text else {REG_HEX} end
+   where {ALLOWED} and asset <> ''),
 kinds as (select *, row_number() over (order by l_orderkey, phase, out_pos, asset) - 1 as seq,
   case when phase = 0 then 'burn' when code = '100' then 'reference' when code = '000' then 'virtual'
    when code = '001' then 'settings' when is_mint then 'mint' else 'transfer' end as kind,
@@ -268,7 +272,7 @@ l as (select seq, decode(unhex(case when substr(asset, 1, 8) in ('000de140', '00
   utxo, lovelace, false as is_default,
   case when kind = 'reference' and not is_json then null
    when kind = 'virtual' and not coalesce(json_array_length(j, '$.constructor_0') = 3, false) then null
-   else datum end as datum from kinds)"""
+   else datum end as datum, hex, policy, mk, case when language is not null then md5(asset) end as cbor from kinds)"""
 
 
 @query(
@@ -301,47 +305,71 @@ def _ledger_registry(spark, sf):
 
     def build(spark, sf):
         ledger = B.ledger_rows(X.blocks(spark, sf), X.POLICIES)
-        rows = registry.from_state(fold.current_state(fold.annotate(ledger, detail=True)))
+        rows = registry.from_state(fold.current_state(fold.annotate(ledger, whole=True)))
         return rows.repartitionByRange("name").sortWithinPartitions("name")
 
     return stored(spark, sf, "ledger-registry", build)
 
 
+# Written from the rule, not from the fold's fields: what the accepted events of an asset's life brought.
 _REGISTRY_CTE = f""",
-v as (select *, case when json_array_length(n_refdatum, '$.constructor_0') = 3 then n_refdatum end as d from s),
-w as (select *, d -> '$.constructor_0[0]' as a, d -> '$.constructor_0[2]' as p,
-  case when json_valid(n_setdatum) then n_setdatum end as st from v),
-rg as (select name, concat('000de140', lower(hex(name))) as hex, n_amount as amount, n_created as created_slot,
+ac as (select s.name, a.seq, a.op, l.utxo, l.lovelace, l.holder, l.datum, l.hex, l.policy, l.mk, l.cbor,
+  case when a.op in (2, 3) then l.datum end as rd
+  from s join a on a.name = s.name and a.seq >= s.n_life and a.accepted join l on l.seq = a.seq),
+fa as (select name, arg_min(struct_pack(hex, policy, mk), seq) as built,
+  arg_max(rd, seq) filter (where json_array_length(rd, '$.constructor_0') = 3) as d,
+  arg_max(rd, seq) filter (where op = 3) as vd,
+  arg_max(struct_pack(utxo, lovelace, holder, datum), seq) filter (where op in (2, 3)) as rt,
+  arg_max(struct_pack(utxo, lovelace, holder, datum), seq) filter (where op = 4) as se,
+  arg_max(struct_pack(cbor), seq) filter (where op in (0, 1)) as sc from ac group by name),
+w as (select s.*, fa.* exclude (name), d -> '$.constructor_0[0]' as a, d -> '$.constructor_0[2]' as p, vd -> '$.constructor_0[2]' as q,
+  case when json_valid(n_setdatum) then n_setdatum end as st,
+  coalesce('ipfs://' || md5(built.mk), '') as own_image from s join fa using (name)),
+rg as (select name, built.hex as hex, built.policy as policy, cast(case when built.mk is null then 0 else 1 end as bigint) as version,
+ n_amount as amount, n_created as created_slot,
  n_updated as updated_slot, n_utxo as utxo, n_holder as holder, n_datum is not null as has_datum,
+ case when sc.cbor is not null then 'plutus_v2' end as script_type, sc.cbor as script_cbor,
  cast(length(name) as integer) as length, {rarity_sql('name')} as rarity, {characters_sql('name')} as characters,
- case when not contains(name, '@') then 'handle' when (p -> '$.virtual') is not null then 'virtual_subhandle'
+ case when vd is not null then 'virtual_subhandle' when not contains(name, '@') then 'handle'
    else 'nft_subhandle' end as asset_type,
- case when d is not null then coalesce(cast(a ->> '$.og_number' as bigint), 0) end as og_number,
- case when d is not null then coalesce(a ->> '$.image', '') end as image,
- case when d is not null then coalesce(p ->> '$.image_hash', '') end as image_hash,
- case when d is not null then coalesce(p ->> '$.standard_image_hash', '') end as standard_image_hash,
+ case when d is not null then coalesce(cast(a ->> '$.og_number' as bigint), 0) else 0 end as og_number,
+ case when d is not null then coalesce(a ->> '$.image', '') else own_image end as image,
+ case when d is not null then coalesce(p ->> '$.image_hash', '') else '' end as image_hash,
+ case when d is not null then coalesce(p ->> '$.standard_image', '') else own_image end as standard_image,
+ case when d is not null then coalesce(p ->> '$.standard_image_hash', '') else '' end as standard_image_hash,
+ case when d is not null then coalesce(p ->> '$.svg_version', '') else '0' end as svg_version,
  p ->> '$.bg_asset' as bg_asset, p ->> '$.last_update_address' as last_update_address,
  case when d is not null then coalesce((p ->> '$.pz_enabled'), '') in ('1', 'true') end as pz_enabled,
- case when (p -> '$.virtual') is not null then cast((p ->> '$.virtual.expires_time') as bigint) end as virtual_expires_time,
+ case when d is not null then coalesce((p ->> '$.default'), '') in ('1', 'true') end as is_default,
+ case when (q -> '$.virtual') is not null then cast((q ->> '$.virtual.expires_time') as bigint) end as virtual_expires_time,
+ split_part(rt.utxo, '#', 1) as reference_tx, cast(split_part(rt.utxo, '#', 2) as bigint) as reference_index,
+ rt.lovelace as reference_lovelace, rt.holder as reference_address, rt.datum as reference_datum,
+ se.utxo as settings_utxo, se.lovelace as settings_lovelace, se.holder as settings_address,
  st ->> '$[0][0]' as nft_open, st ->> '$[2]' as buy_down_price, n_life, translate(name, '_-.@', '!"#$') as by_name from w)"""
 _REGISTRY_COLUMNS = (
-    "name, hex, amount, created_slot, updated_slot, utxo, holder, has_datum, length, rarity, characters, asset_type, "
-    "og_number, image, image_hash, standard_image_hash, bg_asset, last_update_address, pz_enabled"
+    "name, hex, policy, version, amount, created_slot, updated_slot, utxo, holder, has_datum, length, rarity, characters, "
+    "asset_type, og_number, image, image_hash, standard_image, standard_image_hash, svg_version, bg_asset, "
+    "last_update_address, pz_enabled, is_default"
+)
+_TOKEN_COLUMNS = (
+    "script_type, script_cbor, virtual_expires_time, reference_tx, reference_index, reference_lovelace, reference_address, "
+    "reference_datum, settings_utxo, settings_lovelace, settings_address, nft_open, buy_down_price"
 )
 
 
-@query(
-    "st_registry",
-    fold_sql(
-        f"{_REGISTRY_CTE} select {_REGISTRY_COLUMNS}, virtual_expires_time, nft_open, buy_down_price from rg",
-        ledger=BLOCK_LEDGER,
-    ),
-)
+@query("st_registry", fold_sql(f"{_REGISTRY_CTE} select {_REGISTRY_COLUMNS}, {_TOKEN_COLUMNS} from rg", ledger=BLOCK_LEDGER))
 def st_registry(spark, sf):
-    """Blocks to registry rows, with what reference and settings events brought."""
+    """Blocks to registry rows, with all that owner, reference, virtual and settings events brought."""
     return _ledger_registry(spark, sf).select(
         *_REGISTRY_COLUMNS.split(", "),
+        F.col("script.type").alias("script_type"),
+        F.col("script.cbor").alias("script_cbor"),
         F.col("virtual.expires_time").alias("virtual_expires_time"),
+        *[F.col(f"reference_token.{f}").alias(f"reference_{n}") for f, n in (("tx_id", "tx"), ("index", "index"))],
+        *[F.col(f"reference_token.{f}").alias(f"reference_{f}") for f in ("lovelace", "address", "datum")],
+        F.concat(F.col("settings.utxo.tx_id"), F.lit("#"), F.col("settings.utxo.index")).alias("settings_utxo"),
+        F.col("settings.utxo.lovelace").alias("settings_lovelace"),
+        F.col("settings.utxo.address").alias("settings_address"),
         F.col("settings.nft.public_minting_enabled").alias("nft_open"),
         F.col("settings.buy_down_price").alias("buy_down_price"),
     )

@@ -31,7 +31,25 @@ _search("f_length_range", "length between 3 and 6", length="3-6")
 _search("f_rarity", "rarity = 'rare'", rarity="rare")
 _search("f_numeric_mod", "numeric_modifiers = 'negative'", numeric_modifiers="negative")
 _search("f_og", "og_number <> 0", og=True)
-_search("f_holder", "holder = 'stake7'", holder="stake7")
+
+
+@query("f_holder", reg_sql(f"select asset_id, name, utxo from reg where {LIVE} and holder = 'stake7'"))
+def f_holder(spark, sf):
+    """The holder filter, from the copy clustered by holder."""
+    rows = lookups.at_key(X.registry_by(spark, sf, "holder"), "stake7")
+    return Q.matches(rows, Q.SearchSpec(holder="stake7")).select("asset_id", "name", "utxo")
+
+
+def _search_postings(name: str, text: str):
+    @query(name, reg_sql(f"select asset_id, name, utxo from reg where {LIVE} and (contains(name, '{text}') or contains(hex, '{text}'))"))
+    def run(spark, sf):
+        return views.live_rows(Q.search_postings(X.search_index(spark, sf), text)).select("asset_id", "name", "utxo")
+
+
+_search_postings("f_search_postings", "616")
+_search_postings("f_search_postings_long", "2d36")
+
+
 _search(
     "f_search_indexed",
     "rarity = 'basic' and contains(name, 'a61')",
@@ -406,7 +424,8 @@ staked as (select name, case when id_hash is not null then substr(id_hash, 37)
     ),
 )
 def j_by_holder(spark, sf):
-    return lookups.by_holder(X.registry(spark, sf), _asked_holders(spark, sf))
+    copies = (X.registry_by(spark, sf, key) for key in ("holder", "stake_key"))
+    return lookups.by_holder(*copies, _asked_holders(spark, sf))
 
 
 @query(
@@ -416,7 +435,7 @@ def j_by_holder(spark, sf):
     ),
 )
 def j_by_stake_hash(spark, sf):
-    return lookups.by_stake_hash(X.registry(spark, sf), _asked_holders(spark, sf).select("stake_hash"))
+    return lookups.by_stake_hash(X.registry_by(spark, sf, "stake_key"), _asked_holders(spark, sf).select("stake_hash"))
 
 
 @query(
@@ -430,7 +449,7 @@ def j_by_payment_key(spark, sf):
     keys = read_table(spark, sf, "customer").select(
         F.md5(F.concat(F.lit("pk"), F.col("c_custkey").cast("string"), F.lit("_1")))
     )
-    return lookups.names_where(X.registry(spark, sf), "payment_key_hash", keys)
+    return lookups.at_keys(X.registry_by(spark, sf, "payment_key_hash"), keys).select("name")
 
 
 @query(
@@ -445,7 +464,7 @@ def j_by_address(spark, sf):
     keys = read_table(spark, sf, "customer").select(
         F.concat(F.lit("addr"), key.cast("string"), F.lit("_"), (key % 5).cast("string"))
     )
-    return lookups.names_where(X.registry(spark, sf), "address", keys)
+    return lookups.at_keys(X.registry_by(spark, sf, "address"), keys).select("name")
 
 
 _ASKED_ASSET = "concat(case cast(asset_id % 3 as int) when 0 then '000643b0' when 1 then 'pol1.000de140' else '' end, lower(hex(name)))"
@@ -498,18 +517,26 @@ def j_roots(spark, sf):
     return lookups.roots(X.registry(spark, sf)).select("asset_id", "name")
 
 
+_WORDS_SQL = " union all ".join(f"select '{w}' as word, {c} as code" for w, c in X.DENIED_WORDS.items())
+
+
 @query(
     "j_availability",
     reg_sql(
-        f"""{_REQUEST_CTE} select request_id, req.name, case when utxo <> '' then 200 when utxo is not null then 404
- when not (regexp_full_match(req.name, '[a-z0-9_.-]{{2,15}}') or
-   (regexp_full_match(req.name, '[a-z0-9_.-]+@[a-z0-9_.-]{{2,15}}') and length(req.name) <= 28)) then 406
- when {' or '.join(f"contains(req.name, '{w}')" for w in X.DENIED_WORDS)} then 451 else 404 end as code
-from req left join reg on req.name = reg.name"""
+        f"""{_REQUEST_CTE},
+words as ({_WORDS_SQL} union all select {X.RESERVED_SQL}, {X.RESERVED_CODE} from customer where c_custkey % 7 = 2),
+asked_names as (select distinct req.name from req left join reg on req.name = reg.name where reg.name is null
+  and (regexp_full_match(req.name, '[a-z0-9_.-]{{2,15}}') or
+   (regexp_full_match(req.name, '[a-z0-9_.-]+@[a-z0-9_.-]{{2,15}}') and length(req.name) <= 28))),
+coded as (select name, min(code) as code from asked_names join words on contains(name, word) group by name)
+select request_id, req.name, case when utxo <> '' then 200 when utxo is not null then 404
+ when asked_names.name is null then 406 else coalesce(coded.code, 404) end as code
+from req left join reg on req.name = reg.name left join asked_names on asked_names.name = req.name
+ left join coded on coded.name = req.name"""
     ),
 )
 def j_availability(spark, sf):
-    return lookups.availability(X.requests(spark, sf), X.registry(spark, sf), X.DENIED_WORDS)
+    return lookups.availability(X.requests(spark, sf), X.registry(spark, sf), X.denied_words(spark, sf))
 
 
 # ------------------------------------------------------------------ rollups
@@ -543,7 +570,7 @@ POSTINGS = {
     "payment_key_hash": ("payment_key_hash", lambda: F.col("payment_key_hash")),
     "stake_key_hash": (
         "coalesce(substr(id_hash, 37), md5(unhex(stake_key_hash)))",
-        lambda: lookups.stake_key(None),
+        lambda: lookups.stake_key(),
     ),
 }
 
@@ -615,11 +642,16 @@ _page("s_keyset_desc", Q.PageSpec(after="h_x", sort="desc"), "by_name desc", "li
 
 @query("s_random", reg_sql(f"select name from reg where {LIVE}"))
 def s_random(spark, sf):
-    """All names in random order; the comparison does not look at the order."""
+    """All names in the random order of a seed."""
     rows = views.live_rows(X.registry(spark, sf)).select("name")
     return Q.paged(rows, Q.PageSpec(sort="random", show_all=True))
 
 
+_SHUFFLED = "md5(concat('42:', name)), name"
+_page("s_random_page", Q.PageSpec(sort="random", page=2), _SHUFFLED, "limit 100 offset 100")
+_page("s_random_after", Q.PageSpec(sort="random", after="h_x"), _SHUFFLED, "limit 100", "md5(concat('42:', name)) > md5('42:h_x')")
+
+
 @query(
     "s_show_all",
     reg_sql(f"select name from reg where {LIVE} order by by_name limit 1000000000 offset 100"),

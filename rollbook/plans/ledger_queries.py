@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators import fold, holders, progress, rollback
-from rollbook.operators.skew import running_pair, split_hot
+from rollbook.operators.skew import running_pair, split_counted
 from rollbook.plans.base import LEDGER_CTE, ledger_sql, query
 from rollbook.session import stored
 from rollbook.sources import fixtures as X
@@ -113,11 +113,12 @@ def w_accept_gate(spark, sf):
     """Running maximum per life, with a life ending at each burn."""
     rows = X.ledger(spark, sf).select("seq", "name", "slot", "kind")
     burned = F.when(F.col("kind") == "burn", 1).otherwise(0)
-    lives = running_pair(split_hot(rows, "name", "seq"), ["name"], ["seq"], {"life": ("sum", burned)})
-    cold, hot = (side.where(F.col("kind") != "burn") for side in lives)
-    gate = running_pair((cold, hot), ["name", "life"], ["seq"], {"top": ("max", F.col("slot"))})
+    lives = running_pair(split_counted(rows, "name", "seq"), ["name"], ["seq"], {"life": ("sum", burned)})
+    lives = tuple(side if side is None else side.where(F.col("kind") != "burn") for side in lives)
+    cold, hot = running_pair(lives, ["name", "life"], ["seq"], {"top": ("max", F.col("slot"))})
     accepted = F.col("top").isNull() | (F.col("slot") >= F.col("top"))
-    return gate[0].unionByName(gate[1]).select("seq", "name", "slot", "life", accepted.alias("accepted"))
+    both = cold if hot is None else cold.unionByName(hot)
+    return both.select("seq", "name", "slot", "life", accepted.alias("accepted"))
 
 
 @query(

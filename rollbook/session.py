@@ -55,6 +55,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def materialized(df: DataFrame, label: str) -> DataFrame:
+    """Rows written once to the shared folder and read back."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder that a job of this library wrote, wherever Spark keeps it."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -69,8 +76,10 @@ def stored(
     sf_dir: str,
     label: str,
     build: Callable[[SparkSession, str], DataFrame],
+    folders: tuple[str, ...] = (),
+    options: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A derived table, written once per application to the shared folder and read back.
+    """A derived table, written once per application to the shared folder and read back, by ``folders`` of some columns.
 
     What is read more than once (the registry, the block archive, the folded
     ledger) is a Parquet table here, not a lineage that is computed again: filters
@@ -79,6 +88,6 @@ def stored(
     key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _STORED:
         path = scratch_dir(spark, label)
-        build(spark, sf_dir).write.parquet(path)
+        build(spark, sf_dir).write.options(**(options or {})).partitionBy(*folders).parquet(path)
         _STORED[key] = path
     return spark.read.parquet(_STORED[key])

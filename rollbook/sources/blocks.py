@@ -232,7 +232,9 @@ def ledger_rows(
     """Blocks to ledger rows, ready to be folded, numbered without gaps, or with ``gaps`` at their positions.
 
     A reference row keeps its datum if that is JSON at all, a virtual row only if it
-    is an asset datum (its address comes from there); else the fold rejects the row.
+    is an asset datum (its address comes from there); else the fold rejects the row. ``built``
+    is what a registry row is built from if the event creates the asset, as JSON: hex, policy, and
+    image and version of the transaction's metadata.
     """
     burned = burns(blocks, policies).select(
         *TRANSACTION, F.lit(0).alias("phase"), F.lit(0).alias("out_pos"), "policy", "asset"
@@ -246,6 +248,15 @@ def ledger_rows(
         .when(route != "owner", route)
         .otherwise(F.when(F.col("is_mint"), "mint").otherwise("transfer"))
     )
+    built = F.to_json(
+        F.struct(
+            S.registry_hex(F.col("asset")).alias("hex"),
+            "policy",
+            F.col("picked.image").alias("image"),
+            F.col("picked.core.version").alias("version"),
+        )
+    )
+    both = both.withColumn("built", F.when(F.col("phase") == 1, built))
     rows = D.with_attributes(both.withColumn("kind", kind))
     usable = (
         F.when(F.col("kind") == "reference", F.try_parse_json("datum").isNotNull())
@@ -264,4 +275,6 @@ def ledger_rows(
         "lovelace",
         F.coalesce("attributes.is_default", F.lit(False)).alias("is_default"),
         F.when(usable, F.col("datum")).alias("datum"),
+        "built",
+        F.when(F.col("script").isNotNull(), F.to_json("script")).alias("script"),
     )

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions import scalars as S
+from rollbook.operators.lookups import clustered, stake_key
 from rollbook.operators.registry import name_columns
+from rollbook.operators.search import postings
 from rollbook.operators.skew import hot_keys, running
 from rollbook.session import read_table, stored
 
@@ -119,6 +121,30 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored(spark, sf_dir, "registry", build)
 
 
+#: Keys that lookups ask for, and the copies of the registry clustered by them.
+LOOKUP_KEYS = {
+    "holder": lambda: F.col("holder"),
+    "address": lambda: F.col("address"),
+    "payment_key_hash": lambda: F.col("payment_key_hash"),
+    "stake_key": lambda: stake_key(),
+}
+
+
+def registry_by(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """The registry in folders by a hash of ``key``, with a bloom filter on it."""
+
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return clustered(registry(spark, sf_dir), LOOKUP_KEYS[key]())
+
+    options = {"parquet.bloom.filter.enabled#lookup_key": "true"}
+    return stored(spark, sf_dir, f"registry-by-{key}", build, ("folder",), options)
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings of the registry for substring search."""
+    return stored(spark, sf_dir, "postings", lambda spark, sf_dir: postings(registry(spark, sf_dir), ("asset_id", "utxo")))
+
+
 def build_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalog plus the columns derived from the name when a row is built."""
     name = F.col("name")
@@ -413,7 +439,7 @@ def snapshot_pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 # ---------------------------------------------------------------- requests
 
 # Words no name may contain, with the answer code of each.
-DENIED_WORDS = {"japan": 451, "admin": 451, "taco": 451}
+DENIED_WORDS = {"japan": 451, "admin": 403, "adm": 423, "taco": 423, "myj": 403}
 
 REQUEST_SQL = """case cast(c_custkey % 7 as int)
    when 0 then '***'
@@ -438,6 +464,18 @@ PARAM_SQL = {
 }
 
 
+# Words that customers reserved: their key, written out.
+RESERVED_SQL = "concat('free', cast(c_custkey as string))"
+RESERVED_CODE = 423
+
+
+def denied_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``word, code``: the fixed words and those that every seventh customer reserved."""
+    fixed = spark.createDataFrame(list(DENIED_WORDS.items()), "word string, code int")
+    reserved = read_table(spark, sf_dir, "customer").where(F.col("c_custkey") % 7 == 2)
+    return fixed.unionByName(reserved.select(F.expr(RESERVED_SQL).alias("word"), F.lit(RESERVED_CODE).alias("code")))
+
+
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     taken = registry(spark, sf_dir).select(F.col("asset_id").alias("request_id"), "name")
     asked = read_table(spark, sf_dir, "customer").select(

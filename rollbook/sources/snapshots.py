@@ -143,8 +143,11 @@ def ranked(manifest: DataFrame, group: list[str]) -> DataFrame:
 def candidates(spark: SparkSession, base: str, most: int = 2) -> list[tuple]:
     """(path, fingerprint, tables, slot, position) of snapshots to try, best first: by default the first and one fallback."""
     order = (F.col("slot").desc(), F.col("is_remote").desc())
-    best = usable(read_manifest(spark, base)).orderBy(*order).limit(most)
-    return [(r["path"], r["fingerprint"], tuple(r["tables"].split(",")), r["slot"], r["position"]) for r in best.collect()]
+    try:
+        best = usable(read_manifest(spark, base)).orderBy(*order).limit(most).collect()
+    except UNREADABLE:  # no snapshot was ever written here
+        return []
+    return [(r["path"], r["fingerprint"], tuple((r["tables"] or ",".join(TABLES)).split(",")), r["slot"], r["position"]) for r in best]
 
 
 def restore(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame] | None:

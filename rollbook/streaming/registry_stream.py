@@ -41,7 +41,7 @@ from rollbook.sources import blocks, snapshots
 
 LEDGER_SQL = (
     "seq long, name string, slot long, kind string, holder string, utxo string, "
-    "lovelace long, is_default boolean, datum string"
+    "lovelace long, is_default boolean, datum string, built string, script string"
 )
 CONTROL_SQL = "bseq long, bslot long"
 ROLLBACK = "rollback"  # kind of a control row; its slot is the point to go back to
@@ -384,7 +384,8 @@ class RegistryStream:
         is_mark = F.col("kind") == ROLLBACK
         marks = batch.where(is_mark).select(F.col("seq").alias("bseq"), F.col("slot").alias("bslot"))
         figures = progress_figures()
-        rows, seen = self._write("ledger", batch.where(~is_mark).select(*batch.columns), batch_id, **figures, newest=F.max("seq"))
+        columns = [F.col(c) if c in batch.columns else F.lit(None).cast(t).alias(c) for c, t in map(str.split, LEDGER_SQL.split(", "))]
+        rows, seen = self._write("ledger", batch.where(~is_mark).select(*columns), batch_id, **figures, newest=F.max("seq"))
         new_marks, lowest = self._write("controls", marks, batch_id, lowest=F.min("bslot"))
         done = self._done(batch_id)
         # what new control rows cancel of what was folded: from which arrival on
@@ -408,7 +409,7 @@ class RegistryStream:
         start, _ = self._write("start", start, batch_id)
         valid, _ = self._write("valid", rollback.canonical(valid, self.controls(batch_id), self.width), batch_id)
         live = start.where(F.col("life").isNotNull()).drop("last_seq")
-        folded, _ = self._write("folded", fold.annotate(valid, self.width, detail=True, base=live), batch_id)
+        folded, _ = self._write("folded", fold.annotate(valid, self.width, base=live, whole=True), batch_id)
         log = self._entries(fold.with_saves_before(folded, start))
         _, extent = self._write("journal", log, batch_id, seq=F.max("seq"), slot=F.max(F.greatest("slot", "row_slot")))
         self._write("delta", self._after(start, folded), batch_id)

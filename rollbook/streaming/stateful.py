@@ -21,8 +21,7 @@ def _step(key, frames: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd
     # a batch is bounded by the source's trigger limit; order within it is by arrival
     rows = pd.concat(list(frames), ignore_index=True).sort_values("seq")
     for row in zip(*(rows[f].astype(object).where(rows[f].notna(), None) for f in fold.Event._fields)):
-        op, slot, seq, utxo, holder, lovelace, datum = row
-        event = fold.Event(int(op), int(slot), int(seq), utxo, holder, lovelace, datum)
+        event = fold.Event._make(row)._replace(op=int(row[0]), slot=int(row[1]), seq=int(row[2]), valid=int(row[7]))
         state, _, _ = fold.advance(state, event)
     if state is None:
         if store.exists:
@@ -36,7 +35,7 @@ def _step(key, frames: Iterator[pd.DataFrame], store: GroupState) -> Iterator[pd
 
 def state_stream(events: DataFrame) -> DataFrame:
     """One output row per touched asset and batch: its state after the batch."""
-    coded = events.withColumn("op", fold.op_code(F.col("kind"), F.col("datum")).cast("long"))
+    coded = fold.coded(events)
     return (
         coded.select("name", *fold.Event._fields)
         .groupBy("name")

@@ -39,9 +39,9 @@ def chunked(rows, width):
         tops.setdefault(chunk, top)
         if op not in (fold.BURN, fold.REJECT):
             top = slot if top is None else max(top, slot)
-        for c, v in zip(cols, ("n0", chunk, tops[chunk], op, slot, seq, utxo, holder, lovelace, datum)):
+        for c, v in zip(cols, ("n0", chunk, tops[chunk], op, slot, seq, utxo, holder, lovelace, datum, 1, None, None)):
             cols[c].append(v)
-    kinds = {"name": pa.string(), "utxo": pa.string(), "holder": pa.string(), "datum": pa.string()}
+    kinds = {c: pa.string() for c in ("name", "utxo", "holder", "datum", "built", "script")}
     return pa.table({c: pa.array(v, kinds.get(c, pa.int64())) for c, v in cols.items()}), sorted(tops)
 
 
@@ -159,3 +159,12 @@ def test_every_sorted_fold_has_its_own_shuffle(spark):
     steps = plan.count("MapInArrow")
     assert steps == 3
     assert plan.count("hashpartitioning(xxhash64(") == plan.count("REPARTITION_BY_COL") == steps
+
+
+def test_folds_read_the_ledger_once(spark, small):
+    """Without hot assets: one scan, one exchange for each order of rows."""
+    from rollbook.plans import QUERIES
+
+    for name, scans, exchanges in (("st_owner_upsert", 1, 2), ("w_accept_gate", 1, 2)):
+        plan = QUERIES[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan parquet") <= scans and plan.count("Exchange hashpartitioning") <= exchanges, plan

@@ -75,9 +75,10 @@ def test_chunks_of_a_hot_key_follow_counts(spark, gap):
 def test_a_hot_asset_with_gaps_reaches_the_chain_as_a_few_rows(spark):
     rows = [((s + 1) << 20, *rest) for s, *rest in random_ledger(3000, 2, 5)]
     ledger = spark.createDataFrame(rows, SCHEMA)
-    events = ledger.withColumn("op", fold.op_code(F.col("kind"), F.col("datum")).cast("long"))
+    events = ledger.transform(fold.coded)
     _, hot = skew.split_hot(events, "name", "seq", 500)
     assert hot.count() > 2000
     assert fold.incoming_states(hot).count() <= 2 + 2 * 3000 / 500
-    detail = lambda width: fold.annotate(ledger, width, detail=True).drop("chunk").collect()
+    none = spark.createDataFrame([], "name string, last_saved_seq long")
+    detail = lambda width: fold.with_saves_before(fold.annotate(ledger, width, detail=True), none).drop("chunk").collect()
     assert sorted(map(str, detail(500))) == sorted(map(str, detail(1 << 20)))

@@ -8,7 +8,7 @@ V = snapshots.SCHEMA_VERSION
 
 
 def manifest(spark, rows):
-    return spark.createDataFrame([(f"p{i}", *r, "0:0,0:0") for i, r in enumerate(rows)], snapshots.MANIFEST_SCHEMA)
+    return spark.createDataFrame([(f"p{i}", *r, "0:0,0:0", "registry,history", None) for i, r in enumerate(rows)], snapshots.MANIFEST_SCHEMA)
 
 
 @pytest.mark.parametrize(
@@ -41,7 +41,7 @@ def test_write_restore_and_fallback(spark):
     snapshots.write(one, none, base, slot=10, block_hash="x")
     snapshots.write(two, none, base, slot=20, block_hash="y")
     assert snapshots.restore(spark, base)[0].count() == 2
-    lost = spark.createDataFrame([(f"{base}/none", 30, "z", V, True, "0:0,0:0")], snapshots.MANIFEST_SCHEMA)
+    lost = spark.createDataFrame([(f"{base}/none", 30, "z", V, True, "0:0,0:0", None, None)], snapshots.MANIFEST_SCHEMA)
     lost.write.mode("append").parquet(f"{base}/manifest")
     assert snapshots.restore(spark, base)[0].count() == 2
     lost.write.mode("append").parquet(f"{base}/manifest")

@@ -1,8 +1,11 @@
+import re
+
 import pytest
 from ledgers import SCHEMA, random_ledger
 from pyspark.sql import functions as F
 
-from rollbook.operators import fold, rollback
+from rollbook.operators import fold, holders, rollback
+from rollbook.plans.ledger_queries import default_events
 from rollbook.session import scratch_dir
 from rollbook.sources import snapshots
 from rollbook.streaming.registry_stream import ROLLBACK, RegistryStream
@@ -33,8 +36,13 @@ def test_batches_with_rollbacks_equal_one_fold(spark, n, width):
     for i, batch in enumerate(batches(mixed, n, 240)):
         stream.process(batch, i)
     stream.process(batches(mixed, n, 240)[-1], n - 1)  # a batch that is run again changes nothing
-    want = fold.current_state(fold.annotate(rollback.canonical(ledger, control), detail=True))
+    folded = fold.annotate(rollback.canonical(ledger, control), detail=True)
+    want = fold.current_state(folded)
     assert states(stream.registry()) == states(want)
+    saves = lambda df: {r["name"]: r["last_saved_seq"] for r in df.collect()}
+    assert saves(stream.registry()) == saves(want)
+    picked = holders.manual_defaults(holders.held(want), default_events(folded))
+    assert sorted(map(tuple, stream.holder_table().collect())) == sorted(map(tuple, picked.collect()))
     snapshots_dir = scratch_dir(spark, "snapshots")
     stream.snapshot(snapshots_dir, slot=2390, block_hash="h")
     restored, history = snapshots.restore(spark, snapshots_dir)
@@ -55,7 +63,7 @@ def test_any_order_of_arrival_gives_one_result(spark, n, seed):
     stream = RegistryStream(spark, scratch_dir(spark, "registry"), 16, compact_every=3)
     for i in range(n):
         stream.process(mixed.where(F.pmod(F.xxhash64("seq", F.lit(seed)), F.lit(n)) == i), i)
-    want = fold.annotate(rollback.canonical(ledger, control), detail=True)
+    want = fold.annotate(rollback.canonical(ledger, control), whole=True)
     assert states(stream.registry()) == states(fold.current_state(want))
     saved = {r["name"]: r["last_saved_seq"] for r in fold.current_state(want).collect()}
     assert {r["name"]: r["last_saved_seq"] for r in stream.registry().collect()} == saved
@@ -102,3 +110,77 @@ def test_quarantine_holds_the_rejected_rows_of_the_canonical_fold(spark, n, seed
     rejected = sorted((r["seq"], r["name"], r["reason"]) for r in want.select("seq", "name", reason).collect())
     assert len(rejected) > 5
     assert sorted((r["seq"], r["name"], r["reason"]) for r in stream.quarantine().collect()) == rejected
+
+
+def event(name, seq, slot, kind, pick=False):
+    return (seq, name, slot, kind, "h", f"u{seq}", 1, pick, "{}" if kind == "reference" else None)
+
+
+def back_to(slot, seq):
+    return (seq, None, slot, ROLLBACK, *[None] * 5)
+
+
+@pytest.mark.parametrize("compact_every", [1, 2, 50])
+def test_the_log_does_not_depend_on_compaction(spark, compact_every):
+    """Entries that a compaction put aside come back into the window when a rollback lowers the newest slot."""
+    stream = RegistryStream(spark, scratch_dir(spark, "registry"), compact_every=compact_every)
+    sent = [
+        [event("a", 0, 10, "mint"), event("a", 1, 20, "transfer"), event("b", 2, 15, "mint"), event("b", 3, 16, "reference", True)],
+        [event("c", 4, 100_000, "mint")],
+        [back_to(50, 4)],
+        [back_to(15, 5), event("b", 6, 17, "transfer")],
+    ]
+    logs = []
+    for i, rows in enumerate(sent):
+        stream.process(spark.createDataFrame(rows, SCHEMA), i)
+        if i > 1:
+            logs.append(sorted((r["slot"], r["seq"]) for r in stream.history().collect()))
+            defaults = [(r["default_handle"], r["manually_set"]) for r in stream.holder_table().collect()]
+    assert logs == [[(10, 0), (15, 2), (16, 3), (20, 1)], [(10, 0), (15, 2), (17, 6)]]
+    assert defaults == [("a", False)]
+    assert sorted((r["name"], r["last_saved_seq"], r["utxo"]) for r in stream.registry().collect()) == [("a", 0, "u0"), ("b", 6, "u6")]
+
+
+def test_a_rollback_reads_what_it_needs_only(spark):
+    stream = RegistryStream(spark, scratch_dir(spark, "registry"), compact_every=2)
+    for i in range(5):
+        stream.process(spark.createDataFrame([event("a", 2 * i, 10 * i, "mint"), event("b", 2 * i + 1, 10 * i, "mint")], SCHEMA), i)
+    files = lambda df: {r[0] for r in df.select(F.input_file_name()).distinct().collect()}
+    folders = lambda df: sorted({int(f.split("batch_id=")[1].split("/")[0]) for f in files(df) if "batch_id=" in f})
+    assert folders(stream._ledger_from(4, 7)) == [3, 4]
+    # entries from a slot on: batches below theirs are not listed
+    assert re.search(r"batch_id#\d+L? >= 4", stream.journal(5, from_slot=40)._jdf.queryExecution().optimizedPlan().toString())
+    left = {int(f.split("=")[1]) for f in _names(spark, f"{stream.base}/delta")}
+    assert left <= {-1, 2, 3, 4}  # folders below the compaction before the last are gone
+    assert _names(spark, f"{stream.base}/compact") == ["upto=1", "upto=3"]
+
+
+def _names(spark, path):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return sorted(s.getPath().getName() for s in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where))
+
+
+def test_a_stream_goes_on_from_a_snapshot(spark):
+    base = scratch_dir(spark, "resume")
+    first = RegistryStream(spark, f"{base}/first", snapshots_to=f"{base}/snapshots", snapshot_slots=5)
+    sent = [
+        [event("a", 0, 100_000, "mint"), event("b", 1, 100_001, "mint"), event("a", 2, 100_020, "transfer")],
+        [event("b", 3, 100_010, "transfer"), event("a", 4, 100_003, "reference", True)],
+        [back_to(100_015, 5), event("c", 6, 100_030, "mint")],
+    ]
+    for i, rows in enumerate(sent[:2]):
+        first.process(spark.createDataFrame(rows, SCHEMA), i)
+    assert [r["slot"] for r in snapshots.read_manifest(spark, f"{base}/snapshots").orderBy("slot").collect()] == [100_010, 100_020]
+    again = RegistryStream(spark, f"{base}/again", compact_every=1)
+    assert again.resume(f"{base}/snapshots") == (100_020, 2)
+    for i, rows in enumerate(sent[1:]):
+        again.process(spark.createDataFrame(rows, SCHEMA), i)
+    first.process(spark.createDataFrame(sent[2], SCHEMA), 2)
+    assert states(again.registry()) == states(first.registry())
+    assert {r["name"]: r["last_saved_seq"] for r in again.registry().collect()} == {"a": 4, "b": 3, "c": 6}
+    assert sorted(map(tuple, again.holder_table().collect())) == sorted(map(tuple, first.holder_table().collect()))
+    log = lambda s: sorted((r["slot"], r["seq"], r["name"], r["changed"]) for r in s.history().collect())
+    assert log(again) == log(first) and len(log(first)) == 5
+    with pytest.raises(ValueError, match="older one"):
+        again.process(spark.createDataFrame([back_to(10, 9)], SCHEMA), 2)
+    assert RegistryStream(spark, f"{base}/none").resume(scratch_dir(spark, "nothing")) is None
