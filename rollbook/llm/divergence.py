@@ -40,7 +40,7 @@ LEAST_DOCS, PRIOR, SCALE = 30, 5, 10**9
 #: Terms kept in the report of a group.
 TOP = 50
 #: Terms a block and sources a tile, about.
-BLOCK_TERMS, TILE = 4096, 64
+BLOCK_TERMS, TILE = 512, 64
 #: Rows of a table about languages that is broadcast; a longer one is joined by a shuffle.
 FEW = 1 << 16
 #: Entries of the word counts that a task holds before it passes them on, and bytes of a text that are read at once.
