@@ -36,7 +36,7 @@ SAMPLE, CALIBRATION = 20_000, 256
 #: Vectors a leaf is meant for, children of a node, and the least sampled vectors of a leaf.
 LEAF, BRANCHES, LEAST = 192, 8, 8
 #: Recall that calibration asks for.
-RECALL = 0.95
+RECALL = 0.97
 #: Entries and queries of a leaf that one task compares.
 BLOCK_ENTRIES, BLOCK_QUERIES = 2048, 2048
 
@@ -205,14 +205,15 @@ def _best(found: DataFrame, k: int, query: str = "query") -> DataFrame:
 def fit(entries: DataFrame, total: int, k: int, sample: int = SAMPLE, calibration: int = CALIBRATION, recall: float = RECALL):
     """The tree, and how many leaves a query has to visit to reach ``recall``.
 
-    The calibration queries are compared with all entries where these are read; each
+    The calibration queries are not among the vectors that the tree is fitted to (unless there is one vector only). The calibration queries are compared with all entries where these are read; each
     task returns the best few of each query.
     """
     spark = entries.sparkSession
-    rows = entries.select("entry", "vec").orderBy(F.xxhash64("entry"), "entry").limit(sample).collect()
+    rows = entries.select("entry", "vec").orderBy(F.xxhash64("entry"), "entry").limit(sample + calibration).collect()
     data = np.array([r["vec"] for r in rows])
-    tree = fit_tree(units_of(data), max(1, min(total // LEAF, sample // LEAST)))
-    asked = list(zip([r["entry"] for r in rows[:calibration]], data[:calibration], strict=True))
+    cut = max(1, min(calibration, len(rows) // 4))
+    tree = fit_tree(units_of(data[cut:] if len(data) > 1 else data), max(1, min(total // LEAF, sample // LEAST)))
+    asked = list(zip([r["entry"] for r in rows[:cut]], data[:cut], strict=True))
     queries = spark.sparkContext.broadcast(asked)  # at most ``calibration`` vectors
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

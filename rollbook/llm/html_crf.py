@@ -14,7 +14,8 @@ comments and footers in many common markups around articles in as many.
 
 Results for odd rows: a null or empty page, or one without main text, has an empty
 text; pages are extracted one by one, so repeated rows give repeated results and other
-columns are ignored; unclosed tags, quotes and comments end with the page; an empty
+columns are ignored; unclosed tags, quotes and comments end with the page; very long texts
+and blocks are taken whole; formulas (without their annotations) and xmp are text like other text; an empty
 table gives an empty result (the field is then trained on stock texts).
 """
 
@@ -34,17 +35,20 @@ from rollbook.llm.common import in_batches, text_of
 
 #: Pages whose texts fill the labelled pages, and labelled pages: the bounds of training.
 SAMPLE_PAGES, LABELLED_PAGES = 200, 400
-#: Bytes of a sampled page that the driver looks at.
-SAMPLE_BYTES = 20_000
+#: Characters of a sampled page from which the driver takes texts for the labelled pages; extraction reads whole pages.
+SAMPLE_CHARS = 20_000
 
 # Kinds of elements in HTML: fixed values.
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    # formulas are text within a line
+    "math semantics mrow mi mn mo ms mtext mspace mstyle mpadded msup msub msubsup mfrac msqrt mroot munder mover munderover "
+    "mmultiscripts mfenced merror annotation annotation-xml".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head noscript template svg math select object canvas audio video datalist".split())
+UNSEEN = frozenset("head noscript template svg select object canvas audio video datalist annotation annotation-xml".split())
 P_ENDS = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 "
     "h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
@@ -164,7 +168,15 @@ def blocks_of(page: str) -> list[Block]:
         if tag in RAW:
             if not attributes.endswith("/") or tag in ("script", "style"):
                 end = re.compile(f"</{tag}[^>]*>?", re.I).search(page, at)
+                raw = page[at : len(page) if end is None else end.start()]
                 at = len(page) if end is None else end.end()
+                if tag == "xmp" and not unseen:  # shown as it stands, without references
+                    flush()
+                    path.append(_element(tag, attributes))
+                    parts.append(raw)
+                    if links:
+                        link_parts.append(raw)
+                    pop(len(path) - 1)
             continue
         if tag == "body" and unseen:  # a head without its end
             for k, (name, _) in enumerate(path):
@@ -240,7 +252,7 @@ def text_features(block: Block, place: int, total: int) -> list[str]:
         f"place {_level(place / total, (0.1, 0.9))}",
         f"ends {text[-1] in '.!?…:;»”'}",
     ]
-    if PHRASES.search(text if len(text) <= 400 else text[:200] + " " + text[-200:]):
+    if PHRASES.search(text):
         out.append(f"phrase {words >= 32}")
     return out
 
@@ -549,7 +561,7 @@ def fit_field(pages: DataFrame, sample: int = SAMPLE_PAGES, labelled: int = LABE
     """The field from ``labelled`` pages around texts of the ``sample`` pages whose ids hash lowest."""
     hashed = pages.filter("html is not null").withColumn("page_hash", F.xxhash64(F.col("page_id").cast("string")))
     lowest = {r[0] for r in hashed.select("page_hash").orderBy("page_hash").limit(sample).collect()}
-    start = F.substring(F.col("html").cast("string"), 1, SAMPLE_BYTES)
+    start = F.substring(F.col("html").cast("string"), 1, SAMPLE_CHARS)
     rows = hashed.filter(F.col("page_hash").isin(*lowest)).groupBy("page_hash").agg(F.min(start).alias("start")).collect()
     texts = (b.text for r in rows for b in blocks_of(r["start"]))
     pool = sorted({html.escape(t).translate({1: " ", 2: " "}) for t in texts})

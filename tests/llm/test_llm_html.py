@@ -84,3 +84,11 @@ def test_odd_pages(spark, field):
     assert by[1] == by[2] == by[5] == by[8] == "" and by[None] == "No id, but a page with a text."
     assert max(r["n_chars"] for r in got) == 999_999
     assert H.extract(pages.limit(0)).count() == 0
+
+
+def test_formulas_xmp_and_long_blocks_are_text():
+    page = "<p>The area is <math><mi>E</mi><mo>=</mo><mn>5</mn><annotation>x</annotation></math> here.</p><xmp>a &amp; <b></xmp>"
+    assert [b.text for b in H.blocks_of(page)] == ["The area is E=5 here.", "a &amp; <b>"]
+    middle = "word " * 200 + "all rights reserved " + "word " * 200
+    found = H.text_features(H.Block(middle.strip(), (), 0), 0, 1)
+    assert ("phrase True" in found) == bool(H.PHRASES.search(middle))
