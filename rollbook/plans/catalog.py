@@ -497,7 +497,8 @@ from reg where {LIVE} and rarity = 'basic' and name in (select name from found)
 )
 def j_list_search(spark, sf):
     reg = X.registry(spark, sf)
-    names = lookups.by_holder(reg, _asked_holders(spark, sf))
+    copies = (X.registry_by(spark, sf, key) for key in ("holder", "stake_key"))
+    names = lookups.by_holder(*copies, _asked_holders(spark, sf))
     rows = Q.matches(reg, Q.SearchSpec(rarity="basic", names=names)).select("name")
     page = Q.PageSpec(sort="desc", size=200)
     numbered = _numbered(Q.paged(rows, page), *Q.order_columns(page))
