@@ -166,7 +166,7 @@ def entries_of(vectors: DataFrame, k: int) -> DataFrame:
 
 
 def _top_of_block(k: int):
-    """For each query of a block its best ``k`` + 1 ids among the block's entries."""
+    """For each query of a block its best ``k`` + 1 ids among the block's entries, those below the query's floor left out."""
 
     def compare(queries: pa.Table, entries: pa.Table) -> pa.Table:
         out: list[tuple[int, int, float]] = []
@@ -176,9 +176,12 @@ def _top_of_block(k: int):
             asked = _matrix(queries.column("vec").combine_chunks())
             near = units_of(asked) @ units_of(rows).T
             few = min(k + 1, len(ids))
+            floors = queries.column("floor").to_pylist()
             for q, query in enumerate(queries.column("query").to_pylist()):
-                least = np.partition(near[q], -few)[-few] - 1e-9  # what rounding could have put below
+                least = max(np.partition(near[q], -few)[-few], floors[q]) - 1e-9  # what rounding could have put below
                 best = np.flatnonzero(near[q] >= least)
+                if not len(best):
+                    continue
                 scored = zip(_cosines(asked[q], rows[best]).tolist(), best.tolist(), strict=True)
                 pairs = ((-s, i, query) for s, e in scored for i in ids[e])
                 out += [(q_, i, -s) for s, i, q_ in heapq.nsmallest(k + 1, pairs)]
@@ -202,14 +205,22 @@ def _best(found: DataFrame, k: int, query: str = "query") -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _floors(units: np.ndarray, sample: np.ndarray, k: int) -> np.ndarray:
+    """The ``k`` + 1st best score of each query among the sampled vectors: nothing below it is among its best."""
+    if len(sample) <= k:
+        return np.full(len(units), -np.inf)
+    parts = [units[at : at + 256] @ sample.T for at in range(0, len(units), 256)]
+    return np.concatenate([np.partition(p, -(k + 1), axis=1)[:, -(k + 1)] for p in parts]) if parts else np.zeros(0)
+
+
 def fit(entries: DataFrame, total: int, k: int, sample: int = SAMPLE, calibration: int = CALIBRATION, recall: float = RECALL):
-    """The tree, and how many leaves a query has to visit to reach ``recall``.
+    """The tree, how many leaves a query has to visit to reach ``recall``, and the sampled entries.
 
     The calibration queries are not among the vectors that the tree is fitted to (unless there is one vector only). The calibration queries are compared with all entries where these are read; each
     task returns the best few of each query.
     """
     spark = entries.sparkSession
-    rows = entries.select("entry", "vec").orderBy(F.xxhash64("entry"), "entry").limit(sample + calibration).collect()
+    rows = entries.select("entry", "ids", "vec").orderBy(F.xxhash64("entry"), "entry").limit(sample + calibration).collect()
     data = np.array([r["vec"] for r in rows])
     cut = max(1, min(calibration, len(rows) // 4))
     tree = fit_tree(units_of(data[cut:] if len(data) > 1 else data), max(1, min(total // LEAF, sample // LEAST)))
@@ -239,7 +250,7 @@ def fit(entries: DataFrame, total: int, k: int, sample: int = SAMPLE, calibratio
     order = {q: {leaf: n for n, leaf in enumerate(tree.best_first(units_of(v[None])[0]))} for q, v in asked}
     needed = sorted(order[r["query"]][int(leaf)] + 1 for r, leaf in zip(found, homes, strict=True))
     visits = needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))] if needed else 1
-    return tree, visits
+    return tree, visits, pa.table({"ids": pa.array([r["ids"] for r in rows], pa.list_(pa.int64())), "vec": pa.array(list(data), pa.list_(pa.float64()))})
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPLE, recall: float = RECALL) -> DataFrame:
@@ -250,8 +261,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
     if not size["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     entries = entries.filter(F.size("vec") == size["x"]["d"])
-    tree, visits = fit(entries, size["n"], k, sample, recall=recall)
+    tree, visits, sampled = fit(entries, size["n"], k, sample, recall=recall)
     shipped = spark.sparkContext.broadcast((tree.centres, tree.children, tree.leaf, tree.leaves))
+    known = spark.sparkContext.broadcast(sampled)  # at most SAMPLE + CALIBRATION vectors
 
     def with_leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Tree(*shipped.value)
@@ -278,10 +290,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
     searched = asked.select("query").distinct().join(entries.select(F.col("entry").alias("query"), "vec"), "query")
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Tree(*shipped.value)
+        own, near = Tree(*shipped.value), units_of(_matrix(known.value.column("vec").combine_chunks()))
         for batch in batches:
             rows, leaves = [], []
-            for row, unit in enumerate(units_of(_matrix(batch.column(1)))):
+            units = units_of(_matrix(batch.column(1)))
+            batch = batch.append_column("floor", pa.array(_floors(units, near, k), pa.float64()))
+            for row, unit in enumerate(units):
                 seen = 0
                 for n, leaf in enumerate(own.best_first(unit)):
                     if n >= visits and seen > k:
@@ -293,10 +307,18 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
             for at in range(0, len(rows), 4096):
                 part = batch.take(pa.array(rows[at : at + 4096], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(leaves[at : at + 4096], pa.int64())], names=["query", "vec", "leaf"]
+                    [*part.columns, pa.array(leaves[at : at + 4096], pa.int64())], names=["query", "vec", "floor", "leaf"]
                 )
 
-    visited = searched.select("query", "vec").transform(in_batches, visit, "query long, vec array<double>, leaf long")
+    def among_sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compare = _top_of_block(k)
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = pa.Table.from_batches([batch.slice(at, 256)])
+                part = part.append_column("floor", pa.array([-np.inf] * len(part), pa.float64()))
+                yield from compare(part, known.value).to_batches()
+
+    visited = searched.select("query", "vec").transform(in_batches, visit, "query long, vec array<double>, floor double, leaf long")
     visited = stored_once(spark, visited, "visits")
     # how many blocks a leaf's entries and its queries are dealt to: a row a leaf
     asking = visited.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("sides"))
@@ -306,7 +328,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
         visited.join(shape, "leaf")
         .withColumn("side", F.pmod(F.xxhash64("query"), F.col("sides")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("leaf", "side", "part", "query", "vec")
+        .select("leaf", "side", "part", "query", "vec", "floor")
     )
     two = (
         indexed.join(shape, "leaf")
@@ -316,6 +338,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, sample: int = SAMPL
     )
     keys = ("leaf", "side", "part")
     found = one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(_top_of_block(k), FOUND)
+    # the sampled entries that gave a query its floor are found for certain, whatever leaves it visits
+    found = found.unionByName(searched.select("query", "vec").transform(in_batches, among_sampled, FOUND))
+    found = found.groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     best = _best(found, k + 1).drop("rank")
     return (
         _best(asked.join(best, "query").filter("vec_id != query_id"), k, "query_id")
