@@ -9,7 +9,9 @@ wanted recall. A query whose visited leaves hold too few vectors goes on to furt
 
 Equal vectors are one entry with the few smallest of their ids that can matter, so copies
 neither fill a leaf nor repeat a search. Entries of a leaf and queries that visit it meet
-in blocks of bounded size; each block gives the best few entries of each query.
+in blocks of bounded size; each block gives the best few entries of each query. The sampled
+vectors give every query a floor, the score of its best few among them: a block returns nothing
+below it, and those sampled vectors themselves count as found.
 
 Results for odd rows: vectors that are null, empty, zero or hold null or non-finite
 components take no part, nor do rows without vec_id or with another number of components
