@@ -1,27 +1,30 @@
-"""Benchmark decontamination: SimHash over item-sized windows, multi-index Hamming blocks, exact verification.
+"""Decontamination: SimHash over item-sized windows, multi-index Hamming blocks, exact verification.
 
 A window is a stretch of a document with as many words as an item has (a shorter
 document is one window as a whole). A window contaminates a document if the weighted
-Jaccard similarity of its five-word shingles to the item's (weights: how often each
-occurs) is at least 0.8. The way there:
-
-1. Only windows that share a shingle with an item can be near it. The documents'
-   shingles are looked up in the items' index, and a pair of document and item goes on
-   if together they share enough for the threshold.
-2. Each window around shared shingles gets a 128-bit SimHash. Its bits are kept in
-   blocks of eight; two fingerprints within RADIUS differ by at most RADIUS / 16 bits
-   in one of the sixteen blocks, so looking up each block's neighbourhood finds all
-   items within the radius.
-3. Fingerprints within RADIUS are candidates; the exact weighted similarity decides.
+Jaccard similarity of its shingles to the item's (weights: how often each occurs) is at
+least 0.8. Shingles have five words; for an item of fewer words, as many as it has. The
+way there:
+
+1. Each window gets a 128-bit SimHash, rolled on from the one before. Windows with too
+   few shingles that any item holds cannot reach the threshold and are passed over
+   (``skip=False`` takes them too, with the same result).
+2. Fingerprints of items of that size are indexed by sixteen blocks of eight bits. Two
+   fingerprints within RADIUS differ by at most RADIUS / 16 bits in one of the blocks, so
+   looking up the neighbourhood of each of a window's blocks finds every item within the
+   radius. Where the threshold allows no difference, the radius is 0.
+3. Fingerprints within the radius are candidates; the exact weighted similarity decides.
 
 The benchmark is the stated query set: it goes to the executors in blocks of bounded
-size, one scan of the documents for each block, whatever its size.
-
-Results for odd rows: null or empty texts and items match nothing; an item with fewer
-words than a shingle counts as one shingle of all its words; repeated items with the
-same text give one row an item; rows that share a doc_id give a row for each pair of
-id and item with the best of them; rows without doc_id or item_id are compared too
-and keep the null; empty tables give an empty result; other columns are ignored.
+size, one scan of the documents for each block, whatever its size; a worker holds the
+index of one block. Memory is linear in the longest text and the block of items.
+
+Results for odd rows: null or empty texts and items match nothing; very long texts and
+items are compared whole; an item longer than a document can still be near it, down to
+0.8; of windows that are equally near the first is named; repeated items with the same
+text give one row an item; rows that share a doc_id give a row for each pair of id and
+item with the best of them; rows without doc_id or item_id are compared too and keep the
+null; empty tables give an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,21 +42,35 @@ from rollbook.llm.common import PLAIN_WORDS, U64, in_batches, mix, per_process,
 
 WIDTH, PERCENT = 5, 80
 BITS, BLOCK_BITS, RADIUS = 128, 8, 40
+BLOCKS, VALUES = BITS // BLOCK_BITS, 1 << BLOCK_BITS
 #: Bytes of item texts that are shipped and compared at once.
 ITEM_BYTES = 4 << 20
+#: Shingles whose votes are held at once, and windows times items that are looked up at once.
+CHUNK, PAIRS = 4096, 1 << 20
+
+ONES = np.array([bin(v).count("1") for v in range(VALUES)], np.uint8)
+
+
+@dataclass
+class Sized:
+    """Items with equally many shingles, by the blocks of their fingerprints."""
+
+    size: int
+    ids: list[list]  # for each text the items that have it
+    bags: list  # for each text its distinct shingles and how often each occurs
+    prints: np.ndarray  # fingerprints in bytes
+    order: np.ndarray  # [block, place]: texts by the block's value
+    ends: np.ndarray  # [block, value]: where the texts of a value begin in order, one more at the end
 
 
 @dataclass
 class Items:
-    """Index of a block of items: their shingles, fingerprints and Hamming blocks."""
+    """Index of the items of a block whose shingles have ``width`` words."""
 
-    ids: list
-    sizes: np.ndarray  # words
+    width: int
     keys: np.ndarray  # distinct shingles, ascending
-    owners: list  # for each of keys the items that hold it
-    bags: list  # for each item its distinct shingles and how often each occurs
-    prints: np.ndarray  # fingerprints in bytes
-    near: np.ndarray  # [block, value, item]: whether the item's block is within RADIUS // blocks of the value
+    seen: np.ndarray  # low bits of the keys
+    sized: list[Sized]  # by size
 
 
 def signs(shingles: np.ndarray) -> np.ndarray:
@@ -62,100 +79,172 @@ def signs(shingles: np.ndarray) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
 
 
-def index_items(ids: list, texts: pa.Array) -> Items:
-    """The index of items whose texts hold at least one word."""
-    words, bounds, _ = words_of(texts, PLAIN_WORDS)
-    runs, at = shingles_of(words, bounds, WIDTH)
-    kept = np.flatnonzero(np.diff(at)).tolist()
-    own = [runs[at[k] : at[k + 1]] for k in kept]
-    bags = [np.unique(s, return_counts=True) for s in own]
-    keys = np.unique(np.concatenate(own)) if own else np.zeros(0, U64)
-    owners: list[list[int]] = [[] for _ in keys]
-    for item, (values, _) in enumerate(bags):
-        for place in np.searchsorted(keys, values):
-            owners[place].append(item)
-    prints = np.array([np.packbits(signs(s).sum(axis=0, dtype=np.int32) > 0) for s in own], np.uint8)
-    prints = prints.reshape(len(own), BITS // BLOCK_BITS)
-    ones = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).sum(axis=1)
-    blocks = BITS // BLOCK_BITS
-    values = np.arange(256, dtype=np.uint8)
-    near = np.array([ones[values[:, None] ^ prints[None, :, b]] <= RADIUS // blocks for b in range(blocks)])
-    return Items([ids[k] for k in kept], np.diff(bounds)[kept], keys, owners, bags, prints, near)
-
-
-def _matches(items: Items, item: int, run: np.ndarray) -> tuple[int, int, int] | None:
-    """Best window of a document with the shingles ``run``: (start, shared, number of windows near), or None."""
-    values, counts = items.bags[item]
-    size = int(counts.sum())
-    span = min(size, len(run))
-    place = np.minimum(np.searchsorted(values, run), len(values) - 1)
-    hit = values[place] == run
-    least = -(-PERCENT * (size + span) // (100 + PERCENT))  # shared weight that the threshold asks for
-    at = np.flatnonzero(hit)
-    if len(at) < least:
-        return None
-    # windows that hold a shared shingle, stretch by stretch
-    starts = np.unique(np.clip(at[:, None] - np.arange(span)[None, :], 0, len(run) - span))
-    first = np.searchsorted(at, starts)
-    starts = starts[np.searchsorted(at, starts + span) - first >= least]
-    if not len(starts):
-        return None
-    best, found = (0, -1), 0
-    for cut in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-        for low in range(0, len(cut), 4096):
-            own = cut[low : low + 4096]
-            part = run[own[0] : own[-1] + span]
-            votes = np.concatenate([np.zeros((1, BITS), np.int32), np.cumsum(signs(part), axis=0, dtype=np.int32)])
-            prints = np.packbits(votes[span:] - votes[:-span] > 0, axis=1)
-            near = np.zeros(len(own), bool)
-            for block in range(prints.shape[1]):
-                near |= items.near[block, prints[:, block], item]
-            apart = np.unpackbits(prints ^ items.prints[item], axis=1).sum(axis=1)
-            chosen = np.flatnonzero(near & (apart <= RADIUS))
-            if not len(chosen):
-                continue
-            held = np.zeros((len(part) + 1, len(values)), np.int32)
-            inside = np.flatnonzero(hit[own[0] : own[0] + len(part)])
-            held[inside + 1, place[own[0] + inside]] = 1
-            held = np.cumsum(held, axis=0)
-            shared = np.minimum(held[chosen + span] - held[chosen], counts).sum(axis=1)
-            good = 100 * shared >= PERCENT * (size + span - shared)
-            found += int(good.sum())
-            if good.any():
-                top = int(np.argmax(np.where(good, shared, -1)))
-                if shared[top] > best[1]:
-                    best = int(own[chosen[top]]), int(shared[top])
-    return (best[0], best[1], found) if found else None
-
-
-def matches(items: Items, texts: pa.Array) -> Iterator[tuple[int, int, int, int, float]]:
+def total_votes(run: np.ndarray) -> np.ndarray:
+    """Votes of a whole stretch of shingles."""
+    votes = np.zeros(BITS, np.int64)
+    for at in range(0, len(run), CHUNK):
+        votes += signs(run[at : at + CHUNK]).sum(axis=0, dtype=np.int64)
+    return votes
+
+
+def least_shared(size: int, span: int) -> int:
+    """Shared weight that the threshold asks for."""
+    return -(-PERCENT * (size + span) // (100 + PERCENT))
+
+
+def _sized(size: int, ids: list[list], runs: list[np.ndarray]) -> Sized:
+    prints = np.array([np.packbits(total_votes(run) > 0) for run in runs], np.uint8).reshape(len(runs), BLOCKS)
+    order = np.argsort(prints, axis=0, kind="stable").T
+    ends = np.array([np.searchsorted(prints[order[b], b], np.arange(VALUES + 1)) for b in range(BLOCKS)])
+    return Sized(size, ids, [np.unique(run, return_counts=True) for run in runs], prints, order, ends)
+
+
+def index_items(ids: list, texts: pa.Array) -> list[Items]:
+    """For each width of shingles the index of the items that have it; items without words are in none."""
+    owners: dict[str, list] = {}
+    for item, text in zip(ids, texts.to_pylist(), strict=True):
+        owners.setdefault(text, []).append(item)
+    words, bounds, _ = words_of(pa.array(list(owners), pa.large_string()), PLAIN_WORDS)
+    counts, held = np.diff(bounds), list(owners.values())
+    out = []
+    for width in range(1, WIDTH + 1):
+        chosen = np.flatnonzero(counts >= WIDTH if width == WIDTH else counts == width).tolist()
+        if not chosen:
+            continue
+        runs, at = shingles_of(words, bounds, width)
+        by_size: dict[int, list[int]] = {}
+        for k in chosen:
+            by_size.setdefault(int(at[k + 1] - at[k]), []).append(k)
+        sized = [_sized(s, [held[k] for k in own], [runs[at[k] : at[k + 1]] for k in own]) for s, own in sorted(by_size.items())]
+        keys = np.unique(np.concatenate([values for group in sized for values, _ in group.bags]))
+        seen = np.zeros(1 << 20, bool)
+        seen[(keys & U64((1 << 20) - 1)).astype(np.int64)] = True
+        out.append(Items(width, keys, seen, sized))
+    return out
+
+
+def stretches(hits: np.ndarray, least: int, span: int, last: int) -> list[tuple[int, int]]:
+    """First and last start, up to ``last``, of windows of ``span`` places that hold ``least`` of the places ``hits``."""
+    if len(hits) < least:
+        return []
+    low = np.maximum(hits[least - 1 :] - span + 1, 0)
+    high = np.minimum(hits[: len(hits) - least + 1], last)
+    some = np.flatnonzero(low <= high)
+    low, high = low[some], high[some]  # both ascend, so neighbours meet or stand apart
+    if not len(low):
+        return []
+    cut = np.flatnonzero(low[1:] > high[:-1] + 1) + 1
+    return list(zip(low[np.append(0, cut)].tolist(), high[np.append(cut - 1, len(high) - 1)].tolist(), strict=True))
+
+
+def fingerprints(run: np.ndarray, first: int, last: int, span: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Starts and SimHashes of the windows from ``first`` to ``last``, a chunk at a time, each rolled on from the one before."""
+    votes = total_votes(run[first : first + span])
+    for start in range(first, last + 1, CHUNK):
+        end = min(last + 1, start + CHUNK)
+        moves = signs(run[start + span : end + span]).astype(np.int64)
+        steps = np.zeros((end - start + 1, BITS), np.int64)
+        steps[1 : len(moves) + 1] = moves
+        steps[1:] -= signs(run[start:end])
+        steps[0] = votes
+        steps = np.cumsum(steps, axis=0)
+        votes = steps[-1]
+        yield start, np.packbits(steps[:-1] > 0, axis=1)
+
+
+def lookup(group: Sized, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs (window, text) of fingerprints within the radius."""
+    masks = np.flatnonzero(ONES <= radius // BLOCKS).astype(np.uint8)
+    step = max(1, PAIRS // len(group.bags))
+    found = []
+    for at in range(0, len(prints), step):
+        own = prints[at : at + step]
+        near = np.zeros((len(own), len(group.bags)), bool)
+        for block in range(BLOCKS):
+            values = own[:, block, None] ^ masks[None, :]
+            begin = group.ends[block, values].ravel()
+            many = group.ends[block, values.astype(np.int64) + 1].ravel() - begin
+            window = np.repeat(np.arange(len(many)) // len(masks), many)
+            within = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
+            near[window, group.order[block][np.repeat(begin, many) + within]] = True
+        window, text = np.nonzero(near)
+        close = ONES[own[window] ^ group.prints[text]].sum(axis=1, dtype=np.int64) <= radius
+        found.append((window[close] + at, text[close]))
+    return np.concatenate([w for w, _ in found]), np.concatenate([t for _, t in found])
+
+
+def shared_weights(run: np.ndarray, first: int, last: int, span: int, bag: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Weight that each window from ``first`` to ``last`` shares with a bag of shingles.
+
+    An occurrence counts in the windows that hold it but not as many earlier ones as
+    the bag has: a range of starts, so one running sum gives all windows.
+    """
+    values, counts = bag
+    part = run[first : last + span]
+    place = np.minimum(np.searchsorted(values, part), len(values) - 1)
+    at = np.flatnonzero(values[place] == part)
+    at = at[np.argsort(place[at], kind="stable")]
+    owner = place[at]
+    before = np.arange(len(at)) - counts[owner]
+    known = before >= np.searchsorted(owner, owner)
+    low = np.where(known, at[np.maximum(before, 0)] + 1, 0)
+    low = np.maximum(low, at - span + 1)
+    high = np.minimum(at, last - first)
+    some = low <= high
+    many = last - first + 2
+    return np.cumsum(np.bincount(low[some], minlength=many) - np.bincount(high[some] + 1, minlength=many))[:-1]
+
+
+def _near(group: Sized, run: np.ndarray, hits: np.ndarray | None) -> Iterator[tuple[int, int, int, float]]:
+    """(text, start of the best window, windows near, similarity) of a document; all windows where ``hits`` is None."""
+    span, size = min(group.size, len(run)), group.size
+    least = least_shared(size, span)
+    if least > span:
+        return
+    radius = 0 if least == size else RADIUS
+    best: dict[int, tuple[int, int, int]] = {}
+    for first, last in [(0, len(run) - span)] if hits is None else stretches(hits, least, span, len(run) - span):
+        chosen: dict[int, list[np.ndarray]] = {}
+        for start, prints in fingerprints(run, first, last, span):
+            window, text = lookup(group, prints, radius)
+            order = np.argsort(text, kind="stable")
+            window, text = window[order] + start, text[order]
+            for own in np.split(np.arange(len(text)), np.flatnonzero(np.diff(text)) + 1):
+                if len(own):
+                    chosen.setdefault(int(text[own[0]]), []).append(window[own])
+        for text, parts in chosen.items():
+            starts = np.concatenate(parts)
+            shared = shared_weights(run, int(starts[0]), int(starts[-1]), span, group.bags[text])[starts - starts[0]]
+            good = np.flatnonzero(shared >= least)
+            if len(good):
+                top = good[np.argmax(shared[good])]
+                same, place, windows = best.get(text, (-1, -1, 0))
+                if shared[top] > same:
+                    same, place = int(shared[top]), int(starts[top])
+                best[text] = same, place, windows + len(good)
+    for text, (same, place, windows) in best.items():
+        yield text, place, windows, same / (size + span - same)
+
+
+def matches(index: list[Items], texts: pa.Array, skip: bool = True) -> Iterator[tuple[int, int, int, int, float]]:
     """(row, item, word where the best window starts, windows near the item, similarity) of a column without nulls."""
-    if not len(items.ids):
+    if not index:
         return
-    seen = np.zeros(1 << 20, bool)
-    seen[(items.keys & U64((1 << 20) - 1)).astype(np.int64)] = True
     for a, b in text_slices(texts):
         words, bounds, _ = words_of(texts.slice(a, b - a), PLAIN_WORDS)
-        runs, at = shingles_of(words, bounds, WIDTH)
-        maybe = np.flatnonzero(seen[(runs & U64((1 << 20) - 1)).astype(np.int64)])
-        place = np.minimum(np.searchsorted(items.keys, runs[maybe]), len(items.keys) - 1)
-        sure = items.keys[place] == runs[maybe]
-        maybe, place = maybe[sure], place[sure]
-        rows = np.searchsorted(at, maybe, "right") - 1
-        for row in np.unique(rows).tolist():
-            shared: dict[int, int] = {}
-            for p in place[np.searchsorted(rows, row) : np.searchsorted(rows, row, "right")].tolist():
-                for item in items.owners[p]:
-                    shared[item] = shared.get(item, 0) + 1
-            run = runs[at[row] : at[row + 1]]
-            for item, weight in shared.items():
-                size = int(items.bags[item][1].sum())
-                span = min(size, len(run))
-                if weight * (100 + PERCENT) < PERCENT * (size + span):
-                    continue
-                if best := _matches(items, item, run):
-                    start, same, windows = best
-                    yield a + row, item, start, windows, same / (size + span - same)
+        for items in index:
+            runs, at = shingles_of(words, bounds, items.width)
+            held = np.flatnonzero(items.seen[(runs & U64((1 << 20) - 1)).astype(np.int64)])
+            held = held[items.keys[np.minimum(np.searchsorted(items.keys, runs[held]), len(items.keys) - 1)] == runs[held]]
+            edges = np.searchsorted(held, at)
+            for row in np.flatnonzero(np.diff(edges) if skip else np.diff(at)).tolist():
+                run, hits = runs[at[row] : at[row + 1]], held[edges[row] : edges[row + 1]] - at[row]
+                for group in items.sized:
+                    if least_shared(group.size, min(group.size, len(run))) > (len(hits) if skip else len(run)):
+                        break  # sizes ascend, and so does what they ask for
+                    for text, start, windows, similarity in _near(group, run, hits if skip else None):
+                        for item in group.ids[text]:
+                            yield a + row, item, start, windows, similarity
 
 
 def item_blocks(benchmark: DataFrame, limit: int = ITEM_BYTES) -> Iterator[tuple[str, list, list]]:
@@ -173,16 +262,20 @@ def item_blocks(benchmark: DataFrame, limit: int = ITEM_BYTES) -> Iterator[tuple
         yield f"items-{uuid.uuid4().hex}", ids, texts
 
 
-def _index(block: tuple[str, list, list]) -> Items:
-    """The index of a block of items, made once in each worker."""
+def _index(block: tuple[str, list, list]) -> list[Items]:
+    """The index of a block of items, made once in each worker; it takes the place of the one before."""
     name, ids, texts = block
-    return per_process(name, lambda: index_items(ids, pa.array(texts, pa.large_string())))
+    kept = per_process("decontam-items", dict)
+    if name not in kept:
+        kept.clear()
+        kept[name] = index_items(ids, pa.array(texts, pa.large_string()))
+    return kept[name]
 
 
 HITS = "doc_id long, item_id long, start_word long, n_windows long, similarity double"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = ITEM_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = ITEM_BYTES, skip: bool = True) -> DataFrame:
     """One row for each document and item near it: best window, windows near the item, similarity of the best."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -192,8 +285,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, limit: int = ITEM_BYTES)
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ids, items = batch.column(0).to_pylist(), _index(shipped.value)
-                rows = [(ids[r], items.ids[i], s, n, x) for r, i, s, n, x in matches(items, batch.column(1))]
+                ids, index = batch.column(0).to_pylist(), _index(shipped.value)
+                rows = [(ids[r], *hit) for r, *hit in matches(index, batch.column(1), skip)]
                 columns = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = [pa.int64()] * 4 + [pa.float64()]
                 yield pa.RecordBatch.from_arrays(

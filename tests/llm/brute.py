@@ -48,11 +48,13 @@ def near_duplicates(rows, width):
 def contaminated(docs, items):
     """(doc_id, item_id) -> (windows near the item, best similarity), over all windows."""
     out = {}
-    bags = [(i, collections.Counter(shingles(words(t, PLAIN), 5))) for i, t in items]
+    widths = [(i, words(t, PLAIN)) for i, t in items]
+    bags = [(i, min(5, len(w)), collections.Counter(shingles(w, 5))) for i, w in widths]
     for d, text in docs:
-        run = shingles(words(text, PLAIN), 5)
-        for i, bag in bags:
-            size = sum(bag.values())
+        found = words(text, PLAIN)
+        runs = {k: shingles(found, k) if len(found) >= k else [] for k in range(6)}
+        for i, width, bag in bags:
+            run, size = runs[width], sum(bag.values())
             span = min(size, len(run))
             if not size or not span or not set(run) & set(bag):
                 continue
