@@ -59,8 +59,8 @@ class Sized:
     ids: list[list]  # for each text the items that have it
     bags: list  # for each text its distinct shingles and how often each occurs
     prints: np.ndarray  # fingerprints in bytes
-    order: np.ndarray  # [block, place]: texts by the block's value
-    ends: np.ndarray  # [block, value]: where the texts of a value begin in order, one more at the end
+    order: np.ndarray  # block after block, its texts by the block's value
+    ends: np.ndarray  # for each block and value where its texts begin in order, one more after each block
 
 
 @dataclass
@@ -95,8 +95,8 @@ def least_shared(size: int, span: int) -> int:
 def _sized(size: int, ids: list[list], runs: list[np.ndarray]) -> Sized:
     prints = np.array([np.packbits(total_votes(run) > 0) for run in runs], np.uint8).reshape(len(runs), BLOCKS)
     order = np.argsort(prints, axis=0, kind="stable").T
-    ends = np.array([np.searchsorted(prints[order[b], b], np.arange(VALUES + 1)) for b in range(BLOCKS)])
-    return Sized(size, ids, [np.unique(run, return_counts=True) for run in runs], prints, order, ends)
+    ends = [np.searchsorted(prints[order[b], b], np.arange(VALUES + 1)) + b * len(runs) for b in range(BLOCKS)]
+    return Sized(size, ids, [np.unique(run, return_counts=True) for run in runs], prints, order.ravel(), np.concatenate(ends))
 
 
 def index_items(ids: list, texts: pa.Array) -> list[Items]:
@@ -155,18 +155,19 @@ def fingerprints(run: np.ndarray, first: int, last: int, span: int) -> Iterator[
 def lookup(group: Sized, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """All pairs (window, text) of fingerprints within the radius."""
     masks = np.flatnonzero(ONES <= radius // BLOCKS).astype(np.uint8)
-    step = max(1, PAIRS // len(group.bags))
+    step = max(1, min(CHUNK // BLOCKS, PAIRS // len(group.bags)))
+    rows = np.arange(BLOCKS)[:, None, None] * (VALUES + 1)
     found = []
     for at in range(0, len(prints), step):
         own = prints[at : at + step]
+        cells = ((own.T[:, :, None] ^ masks) + rows).ravel()  # by block, window and mask
+        begin = group.ends[cells]
+        many = group.ends[cells + 1] - begin
+        some = np.flatnonzero(many)
+        begin, many = begin[some], many[some]
+        place = np.arange(many.sum()) + np.repeat(begin - np.cumsum(many) + many, many)
         near = np.zeros((len(own), len(group.bags)), bool)
-        for block in range(BLOCKS):
-            values = own[:, block, None] ^ masks[None, :]
-            begin = group.ends[block, values].ravel()
-            many = group.ends[block, values.astype(np.int64) + 1].ravel() - begin
-            window = np.repeat(np.arange(len(many)) // len(masks), many)
-            within = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many)
-            near[window, group.order[block][np.repeat(begin, many) + within]] = True
+        near[np.repeat(some // len(masks) % len(own), many), group.order[place]] = True
         window, text = np.nonzero(near)
         close = ONES[own[window] ^ group.prints[text]].sum(axis=1, dtype=np.int64) <= radius
         found.append((window[close] + at, text[close]))
