@@ -52,6 +52,7 @@ from rollbook.llm.common import (
     words_of,
 )
 from rollbook.llm.components import components
+from rollbook.operators.skew import checked_lookup
 
 #: Minima in a band, and bands.
 ROWS, BANDS = 6, 40
@@ -178,8 +179,20 @@ def _linked(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return both.select("a", "b", "s", "t").transform(in_batches, run, "a long, b long")
 
 
+def _with_groups(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Rows (grp, doc, ...) with the columns of ``groups``, a stored table with one row a group.
+
+    The groups are counted: few are broadcast, of many only the hot ones, so that rows
+    of a large group stay where they are.
+    """
+    key = F.col("grp").cast("string")
+    found = checked_lookup(rows.withColumn("grp", key), groups.withColumn("grp", key), "grp", F.col("doc"), groups.count())
+    return found.withColumn("grp", F.col("grp").cast("long"))
+
+
 def _open(groups: DataFrame, members: DataFrame) -> DataFrame:
-    """grp, doc and component of the groups of three or more (grp, doc) that hold several components."""
+    """grp, doc and component of the groups of three or more (grp, doc) that hold several components; a stored table."""
+    spark = groups.sparkSession
     named = (
         groups.join(members.select(F.col("node").alias("doc"), "component"), "doc", "left")
         .withColumn("component", F.coalesce("component", "doc"))
@@ -190,7 +203,8 @@ def _open(groups: DataFrame, members: DataFrame) -> DataFrame:
         .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
         .filter("n > 2 and low < high")
     )
-    return named.join(several.select("grp"), "grp")
+    several = stored_once(spark, several.select("grp", F.lit(True).alias("several")), "several")
+    return stored_once(spark, _with_groups(named, several).filter("several").drop("several"), "open")
 
 
 def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -213,7 +227,7 @@ def _blocks(rows: DataFrame, sizes: DataFrame) -> DataFrame:
     rest = F.sequence(F.lit(0), F.col("rest_parts") - 1)
     every = F.sequence(-F.col("main_parts"), F.col("rest_parts") - 1)  # main blocks have negative numbers
     return (
-        sized.join(shape, "grp")
+        _with_groups(sized, stored_once(rows.sparkSession, shape, "shape"))
         .withColumn("part", F.when(main, -own - 1).otherwise(own))
         .withColumn("other", F.explode(F.when(main, rest).otherwise(every)))
         .withColumn("i", F.least("part", "other"))
@@ -324,7 +338,7 @@ def _widened(likely: DataFrame, buckets: DataFrame, signatures: DataFrame) -> tu
     """Likely pairs with those of blocks added, and the components they make."""
     spark = likely.sparkSession
     families = stored_once(spark, components(likely), "families")
-    rows = stored_once(spark, _open(buckets, families), "open")
+    rows = _open(buckets, families)
     last = stored_once(spark, _likely_blocks(rows, signatures), "likely")
     if not last.isEmpty():
         likely = likely.union(last)

@@ -7,6 +7,7 @@ import pytest
 
 from rollbook.llm import near_dup
 from rollbook.llm.components import components
+from rollbook.operators import skew
 from rollbook.session import read_table
 
 SCHEMA = "doc_id long, text string"
@@ -41,6 +42,15 @@ def test_families_equal_all_pairs(spark, monkeypatch, width):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_large_groups_among_many_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(skew, "MAX_HOT", 3)  # too many groups for a broadcast, of which the large ones are hot
+    monkeypatch.setattr(skew, "SPREAD", 4)
+    rows = list(enumerate(family(1, 60) + family(2, 10)))
+    want = brute.near_duplicates(rows, 2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in result(spark, rows)} == want
+
+
 def test_small_table(spark, small):
     docs = read_table(spark, small, "documents")
     want = brute.near_duplicates([(r["doc_id"], r["text"]) for r in docs.collect()], 2)
