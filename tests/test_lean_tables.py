@@ -13,6 +13,7 @@ from rollbook.operators import search as Q
 from rollbook.plans import stream_queries
 from rollbook.sources import blocks as B
 from rollbook.sources import fixtures as X
+from rollbook.streaming.registry_stream import RegistryStream
 
 
 def _bytes(path):
@@ -83,3 +84,19 @@ def test_stream_input_is_packed(spark, small):
         pass
     assert glob.glob(f"{base}/step*/*.json.gz") and not glob.glob(f"{base}/step*/*.json")
     assert spark.read.json(f"{base}/step*").count() == rows.count()
+
+
+@pytest.mark.parametrize("width", [5, 1 << 20])
+def test_marked_ends_give_the_same_states(spark, width):
+    ledger = spark.createDataFrame(random_ledger(300, 7, 5), SCHEMA)
+    ends = fold.annotate(ledger, width, whole=True, ends=True)
+    assert ends.where("is_end").count() == ends.select("name", "chunk").distinct().count() < ends.count()
+    want = fold.final_state(fold.annotate(ledger, width, whole=True))
+    assert sorted(map(str, fold.final_state(ends).collect())) == sorted(map(str, want.collect()))
+
+
+def test_the_work_of_a_batch_goes_with_it(spark, small):
+    stream = RegistryStream(spark, session.scratch_dir(spark, "registry"))
+    stream.process(X.ledger(spark, small), 0)
+    assert stream.registry().count() > 0
+    assert not [path for table in stream.WORK for path in glob.glob(f"{stream.base}/{table}/*")]
