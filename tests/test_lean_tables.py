@@ -8,9 +8,10 @@ from ledgers import SCHEMA, random_ledger
 from pyspark.sql import functions as F
 
 from rollbook import session
+from rollbook.functions import datum as D
 from rollbook.operators import fold
 from rollbook.operators import search as Q
-from rollbook.plans import stream_queries
+from rollbook.plans import QUERIES, stream_queries
 from rollbook.sources import blocks as B
 from rollbook.sources import fixtures as X
 from rollbook.streaming.registry_stream import RegistryStream
@@ -100,3 +101,43 @@ def test_the_work_of_a_batch_goes_with_it(spark, small):
     stream.process(X.ledger(spark, small), 0)
     assert stream.registry().count() > 0
     assert not [path for table in stream.WORK for path in glob.glob(f"{stream.base}/{table}/*")]
+
+
+@pytest.mark.parametrize("name", ["st_block_fold", "st_registry"])
+def test_events_are_made_once_for_counting_and_folding(spark, small, monkeypatch, name):
+    seen, folded = [], fold.folded
+    monkeypatch.setattr(session, "_STORED", {})
+    monkeypatch.setattr(fold, "folded", lambda events, fields: seen.append(events) or folded(events, fields))
+    QUERIES[name](spark, small)
+    plan = seen[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 1 and "Relation" in plan and "Generate" not in plan and "transform(" not in plan
+
+
+@pytest.mark.parametrize("width", [5, 1 << 20])
+def test_events_carry_what_the_fields_asked_for_come_from(spark, width):
+    ledger = spark.createDataFrame(random_ledger(300, 7, 3), SCHEMA)
+    fields = "amount", "updated", "holder", "reference_seq"
+    events = fold.lean(fold.coded(ledger), fields)
+    assert events.where("datum is not null or lovelace is not null").isEmpty() and not events.where("holder is not null").isEmpty()
+    want = fold.current(ledger, width, detail=True).select("name", *fields)
+    assert sorted(map(str, fold.folded(events, fields, width).select("name", *fields).collect())) == sorted(map(str, want.collect()))
+
+
+def test_numbers_follow_from_the_places_of_the_ledger(spark, small):
+    nested = X.blocks(spark, small)
+    rows = session.materialized(B.ledger_rows(nested, X.POLICIES, gaps=True, keep=B.PLACE), "rows")
+    got, want = B.numbers_of(rows.select("place.*")), B.numbers(nested, X.POLICIES)
+    assert got.count() == rows.select("seq").distinct().count() > 1000
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_texts_without_the_key_are_not_parsed(spark):
+    texts = [
+        '{"constructor_0":[1,"a",{"b":2}]}', '{"constructor\\u005f0":[1,2,3]}', '{"owner":7}', '{"constructor_1":[1]}', "{broken", "[[1,2],3]",
+        '{"constructor_0":{"a":1}}', '{"constructor_0":[1,2', '"constructor_0"', "", None,
+    ]
+    rows = spark.createDataFrame([(t,) for t in texts], "datum string")
+    plain = F.from_json("datum", "constructor_0 array<string>")["constructor_0"]
+    found = rows.select(D.parts(F.col("datum")).alias("got"), plain.alias("want")).collect()
+    assert [r["got"] for r in found] == [r["want"] for r in found] and found[1]["got"] == ["1", "2", "3"]
+    assert "constructor_0" in str(D.parts(F.col("datum"))._jc).partition("from_json(")[2].partition("THEN")[0]
