@@ -97,3 +97,13 @@ def test_chunks_of_a_hot_asset_within_one_block(spark, transactions):
     found = hot.groupBy("chunk").agg(F.count("seq").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("b")).orderBy("chunk").collect()
     assert sum(r["n"] for r in found) == 4000 and max(r["n"] for r in found) <= 200 and len(found) <= 41
     assert all(x["b"] < y["a"] for x, y in zip(found, found[1:], strict=False))
+
+
+def test_rollbacks_are_found_without_making_the_rows(spark, monkeypatch):
+    seen, sent = [], envelopes(spark, random_blocks(1), [(4, 20)])
+    stream = RegistryStream(spark, scratch_dir(spark, "registry"), seq="string")
+    monkeypatch.setattr(stream, "process", lambda *given: seen.extend(given))
+    stream.process_envelopes(X.POLICIES)(sent, 0)
+    rows, batch_id, marks = seen
+    assert batch_id == 0 and rows.where("kind = 'rollback'").isEmpty() and [r["slot"] for r in marks.collect()] == [20]
+    assert "Generate" not in marks._jdf.queryExecution().optimizedPlan().toString()
